@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, quality, warc
 
-_MODULES = (quality,)
+_MODULES = (quality, chat, warc)
 
 
 def queries() -> dict:
