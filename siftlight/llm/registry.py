@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, quality, warc
+from . import chat, quality, recompression, warc
 
-_MODULES = (quality, chat, warc)
+_MODULES = (quality, chat, recompression, warc)
 
 
 def queries() -> dict:
