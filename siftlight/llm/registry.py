@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, quality, recompression, warc
+from . import chat, quality, recompression, suffixes, warc
 
-_MODULES = (quality, chat, recompression, warc)
+_MODULES = (quality, chat, recompression, suffixes, warc)
 
 
 def queries() -> dict:
