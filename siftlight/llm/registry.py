@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, quality, recompression, suffixes, warc
+from . import chat, embeddings, minhash, quality, recompression, suffixes, warc
 
-_MODULES = (quality, chat, minhash, recompression, suffixes, warc)
+_MODULES = (quality, chat, embeddings, minhash, recompression, suffixes, warc)
 
 
 def queries() -> dict:
