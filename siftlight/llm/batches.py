@@ -21,13 +21,16 @@ from .common import parallelism, written
 from .textkit import squeeze, text_buffers, unsqueeze
 
 BATCH_BYTES = 2 << 20
-BATCH = "bid long, n_bytes long, n_docs long, ids binary, offsets binary, texts binary"
+BATCH = "bid long, n_bytes long, n_docs long, ids binary, offsets binary, texts binary, rest binary"
 #: Stands for a null id in order comparisons: after every other.
 NULL_ID = np.iinfo(np.int64).max
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, name: str = "batches") -> DataFrame:
-    """The texts as a written table of batches; inside a batch, texts stand in the order of their ids, nulls last."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, name: str = "batches", carry: bool = False) -> DataFrame:
+    """The texts as a written table of batches; inside a batch, texts stand in the order of their ids, nulls last.
+
+    ``carry`` keeps the other columns beside them, for ``carried``.
+    """
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -43,7 +46,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
             texts = b"".join(data[starts[i]:starts[i] + lengths[i]].tobytes() for i in order)
             offsets = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
             kept = np.where(null, NULL_ID, ids)[order].astype(np.int64)
-            row = {"bid": [(part << 32) | count], "n_bytes": [len(texts)], "n_docs": [len(ids)], "ids": [squeeze(kept)], "offsets": [squeeze(offsets)], "texts": [squeeze(texts)]}
+            rest = b""
+            if carry:
+                table = pa.Table.from_struct_array(pa.chunked_array([h[4] for h in held])).take(pa.array(order)).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
+                rest = squeeze(sink.getvalue().to_pybytes())
+            row = {"rest": [rest], "bid": [(part << 32) | count], "n_bytes": [len(texts)], "n_docs": [len(ids)], "ids": [squeeze(kept)], "offsets": [squeeze(offsets)], "texts": [squeeze(texts)]}
             count, held, size = count + 1, [], 0
             return pa.RecordBatch.from_pydict(row, schema)
 
@@ -57,7 +67,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
             while at < len(plain):
                 upto = int(np.searchsorted(offs, offs[at] + max(1, batch_bytes - size), "left"))
                 upto = min(max(upto, at + 1), len(plain))
-                held.append((plain[at:upto], null[at:upto], lengths[at:upto], data[offs[at]:offs[upto]]))
+                held.append((plain[at:upto], null[at:upto], lengths[at:upto], data[offs[at]:offs[upto]], b.column(2)[at:upto] if carry else None))
                 size += int(offs[upto] - offs[at])
                 at = upto
                 if size >= batch_bytes or sum(len(h[0]) for h in held) >= 20_000:
@@ -65,8 +75,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
         if held:
             yield close()
 
-    schema = pa.schema([("bid", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("texts", pa.binary())])
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    schema = pa.schema([("bid", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] * carry))
     return written(rows.mapInArrow(fold, BATCH), name)
 
 
@@ -80,6 +90,12 @@ class Texts:
         self.data = unsqueeze(row["texts"])
 
 
+def carried(row: dict) -> dict[str, pa.Array]:
+    """The other columns of a batch, in the order of its texts."""
+    table = pa.ipc.open_stream(unsqueeze(row["rest"]).tobytes()).read_all().combine_chunks()
+    return {n: table.column(n).combine_chunks() for n in table.column_names}
+
+
 def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 

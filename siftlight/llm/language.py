@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkit import text_buffers
 
@@ -162,8 +163,8 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, stretches: int = TRAI
     return network.fit(np.stack(x), np.array(label)) if x else network
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: one row per document."""
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score: one row per document; ``carry`` adds the input row as the struct ``row``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -185,10 +186,14 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
             names = np.array([*(network.languages if network else []), UNKNOWN], object)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0)),
-            ], names=["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+                *([b.column(2)] if carry else []),
+            ], names=["doc_id", "lang_pred", "score", "row"][:3 + carry])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] * carry))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if carry:
+        schema.add("row", docs.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .batches import ASKED, Texts, answered, asked, exchange, id_column, n_buckets, pack, rows_of, split
+from .batches import ASKED, Texts, answered, asked, carried, exchange, id_column, n_buckets, pack, rows_of, split
 from .common import written
 from .textkit import BYTE_NAMES, U, Spans, mix2, pad, ranges, squeeze, unsqueeze
 
@@ -162,14 +163,56 @@ def _strings(p: Blocks, replies: list | None, n: int) -> tuple:
     return state, places, distinct, core[at], inverse, counts > 1
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked) kept: the bytes left, joined.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left, joined).
 
     A byte goes if a string of ``length`` bytes (a multiple of 16, above 128) that covers it also starts anywhere else.
     """
+
+    def digest(row: dict, batch: Texts, p: Blocks, gone: np.ndarray) -> pa.RecordBatch:
+        edge = np.diff(gone.astype(np.int8), prepend=0) == 1
+        total = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[p.bounds])
+        hashes = [hashlib.sha256(k).hexdigest() for k in _rests(p, gone)]
+        cols = [id_column(batch.ids), pa.array(np.diff(batch.offsets), pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(edge), pa.int64()), pa.array(hashes, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _judged(docs, id_col, text_col, length, False, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The documents with their own columns and the text that is left; a character that lost a byte goes whole.
+
+    A text that loses everything stays as an empty one; a null text becomes empty.
+    """
+    schema = docs.withColumn(text_col, F.lit("").cast("string")).schema
+
+    def texts(row: dict, batch: Texts, p: Blocks, gone: np.ndarray) -> pa.RecordBatch:
+        character = np.cumsum((p.padded & 0xC0) != 0x80)
+        broken = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
+        broken[character[gone]] = True
+        kept = pa.array(list(_rests(p, broken[character])), pa.binary()).cast(pa.string())
+        cols = carried(row) | {text_col: kept}
+        return pa.RecordBatch.from_arrays([cols[f.name] for f in schema], names=schema.names)
+
+    return _judged(docs, id_col, text_col, length, True, texts, schema)
+
+
+def _rests(p: Blocks, gone: np.ndarray) -> Iterator[bytes]:
+    """What is left of each text."""
+    inside = np.ones(len(gone), bool)
+    inside[p.bounds[1:] - 1] = False
+    take = ~gone & inside
+    out = p.padded[take].tobytes()
+    at = np.concatenate([[0], np.cumsum(take)])[p.bounds].tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield out[a:b]
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: bool, result, schema) -> DataFrame:
+    """``result`` of every batch and its removed bytes."""
     if length % 16 or length <= 2 * BLOCK:
         raise ValueError("length: a multiple of 16 above 128")
-    batches = pack(docs, id_col, text_col, name="suffix-batches")
+    batches = pack(docs, id_col, text_col, name="suffix-batches", carry=carry)
     n = n_buckets(batches, 0.04)
 
     def ask_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,27 +238,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + length, -1)
             gone = np.cumsum(cover)[:-1] > 0
-            edge = np.diff(gone.astype(np.int8), prepend=0) == 1
-            inside = np.ones(len(gone), bool)
-            inside[p.bounds[1:] - 1] = False
-            take = ~gone & inside
-            out = p.padded[take].tobytes()
-            at = np.concatenate([[0], np.cumsum(take)])[p.bounds]
-            total = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[p.bounds])
-            kept = [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            cols = [id_column(batch.ids), pa.array(np.diff(batch.offsets), pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(edge), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            if texts:
-                cols.append(pa.array(kept, pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:len(cols)])
+            yield result(row, batch, p, gone)
 
     first = written(exchange(batches.mapInArrow(ask_blocks, ASKED), _judge_blocks), "suffix-blocks")
     later = exchange(batches.join(first, "bid", "left").mapInArrow(ask_strings, ASKED), _judge_strings).withColumnRenamed("replies", "later")
     joined = batches.join(first, "bid", "left").join(later, "bid", "left")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return joined.mapInArrow(finish, schema)
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}
