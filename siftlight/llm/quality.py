@@ -89,8 +89,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
         lambda acc: acc["n"],
     )).otherwise(F.lit(0).cast("bigint"))
-    return d.select(
-        "row",
+    # The optimizer moves filters below projections, which would repeat the expressions above for every use of a
+    # measure; it cannot move them below a generator.
+    return d.select("row", F.inline(F.array(F.struct(
         F.col("n").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -98,7 +99,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
-    )
+    ))))
 
 
 def ledger(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
