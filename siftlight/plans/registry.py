@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import jobs, review
+
 
 def queries() -> dict:
-    return {}
+    return review.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return review.ORACLE | jobs.ORACLE
