@@ -16,9 +16,9 @@ def slash(path):
     return F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The nested store; one JSON object per line or arrays of objects."""
-    return spark.read.schema(STORE).option("multiLine", True).json(path)
+def read_store(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """The nested store: an object per line as ``write_store`` leaves it, or one JSON array in a file (``array``)."""
+    return spark.read.schema(STORE).option("multiLine", array).json(path)
 
 
 def flat_records(store: DataFrame) -> DataFrame:
