@@ -31,7 +31,7 @@ from .textkit import text_buffers
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps at most; when full, the cache starts anew.
+#: Words of one generation of a worker's cache; a full generation becomes the old one, from which used words return.
 CACHE_WORDS = 500_000
 #: This special token never occurs inside a word handed to it; it separates words.
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
@@ -48,7 +48,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.old = Tokenizer.from_file(path), {}, {}
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -57,30 +57,34 @@ class WordTokenizer:
         return cls._of[path]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids.clear()
         plain = [w for w in words if b"<|" not in w]
-        for lo in range(0, len(plain), 256):
-            some = plain[lo:lo + 256]
-            got = np.array(self.tokenizer.encode(SEPARATOR.join(w.decode() for w in some), add_special_tokens=False).ids, np.uint32)
-            ends = np.append(np.flatnonzero(got == SEPARATOR_ID), len(got))
-            at = 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.ids[w] = got[at:end].tobytes()
-                at = end + 1
+        groups = [plain[lo:lo + 200] for lo in range(0, len(plain), 200)]
+        for lo in range(0, len(groups), 50):
+            some = groups[lo:lo + 50]
+            texts = [SEPARATOR.join([w.decode() for w in g]) for g in some]
+            for g, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                got = np.array(e.ids, np.uint32)
+                raw, ends, at = got.tobytes(), [*(np.flatnonzero(got == SEPARATOR_ID) * 4).tolist(), 4 * len(got)], 0
+                for w, end in zip(g, ends, strict=True):
+                    self.ids[w] = raw[at:end]
+                    at = end + 4
         for w in words:
             if b"<|" in w:
                 self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. bytes.split() cuts at ASCII white space."""
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids = self.ids, {}
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.ids)
-        if new:
-            size = len(self.ids) + len(new)
-            if size > CACHE_WORDS:
-                new = set().union(*split)
-            self.learn(list(new))
+        new = []
+        for w in set().union(*split).difference(self.ids):
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.ids[w] = known
+        self.learn(new)
         get = self.ids.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
