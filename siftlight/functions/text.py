@@ -113,9 +113,9 @@ def interpolation_quality(level: Column) -> Column:
 
 def image_capacity(megabytes: Column, size: Column, bytes_per_pixel: Column) -> Column:
     """Images of this size that fit; 0 if nothing can be computed."""
-    each = size * size * bytes_per_pixel
-    return F.when((each > 0) & (megabytes > 0), F.greatest(F.lit(1).cast("bigint"), F.floor(megabytes * MIB / F.nullif(each, F.lit(0))).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    each = size.cast("bigint") * size * bytes_per_pixel
+    return F.when((each > 0) & (megabytes > 0), F.greatest(F.lit(1).cast("bigint"), F.floor(megabytes.cast("bigint") * MIB / F.nullif(each, F.lit(0))).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
 def size_kilobytes(size: Column, bytes_per_pixel: Column) -> Column:
-    return F.floor(size * size * bytes_per_pixel / KIB).cast("bigint")
+    return F.floor(size.cast("bigint") * size * bytes_per_pixel / KIB).cast("bigint")
