@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import ASKED, Texts, answered, asked, carried, exchange, id_column, n_buckets, pack, rows_of, split
 from .common import written
@@ -184,7 +184,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text that loses everything stays as an empty one; a null text becomes empty.
     """
-    schema = docs.withColumn(text_col, F.lit("").cast("string")).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
 
     def texts(row: dict, batch: Texts, p: Blocks, gone: np.ndarray) -> pa.RecordBatch:
         character = np.cumsum((p.padded & 0xC0) != 0x80)
