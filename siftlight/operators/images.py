@@ -43,3 +43,15 @@ def largest_preview(candidates: DataFrame, key: str = "file") -> DataFrame:
 
 def needs_downsampling(w: Column, full_size: bool = False) -> Column:
     return w > (2 * MAX_WIDTH if full_size else MAX_WIDTH)
+
+
+def thumbnail(pixels: DataFrame, max_dimension: int, key: str = "image") -> DataFrame:
+    """Decoded pixels (x, y, r, g, b) averaged into a grid whose longer side is at most ``max_dimension``.
+
+    Smaller images keep their size. Averages combine on the map side, so an image may span any number of partitions.
+    """
+    size = pixels.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    side = F.greatest("w", "h")
+    cell = lambda v: F.when(side > max_dimension, F.floor(F.col(v) * max_dimension / side)).otherwise(F.col(v)).cast("int")
+    placed = pixels.join(size, key).select(key, cell("x").alias("x"), cell("y").alias("y"), "r", "g", "b")
+    return placed.groupBy(key, "x", "y").agg(*[F.floor(F.sum(c) / F.count("*")).cast("int").alias(c) for c in "rgb"])

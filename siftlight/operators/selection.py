@@ -70,3 +70,9 @@ def first_match(files: DataFrame) -> DataFrame:
 def unseen(catalogs: DataFrame, processed: DataFrame) -> DataFrame:
     """Catalogs that this session has not preloaded yet, once each."""
     return catalogs.select("catalog").distinct().join(processed, "catalog", "left_anti")
+
+
+def with_catalog(catalogs: DataFrame, name: str, url: str) -> DataFrame:
+    """The source list with one more folder; a folder that is there already is not added again."""
+    new = catalogs.sparkSession.createDataFrame([(name, url)], "name string, url string")
+    return catalogs.select("name", "url").unionByName(new.join(catalogs, "url", "left_anti").select("name", "url"))

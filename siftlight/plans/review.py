@@ -267,6 +267,15 @@ def histogram_normalised(spark, d) -> DataFrame:
     return images.normalised(images.histogram(s.pixels(spark, d)))
 
 
+@query("""WITH p AS (SELECT l_returnflag AS image, l_orderkey % 200 AS x, l_partkey % 90 AS y, l_orderkey % 256 AS r, l_partkey % 256 AS g, l_suppkey % 256 AS b FROM lineitem),
+z AS (SELECT image, greatest(max(x) + 1, max(y) + 1) AS side FROM p GROUP BY image),
+c AS (SELECT p.image, CASE WHEN side > 64 THEN floor(x * 64 / side) ELSE x END::INT AS x, CASE WHEN side > 64 THEN floor(y * 64 / side) ELSE y END::INT AS y, r, g, b FROM p JOIN z ON p.image = z.image)
+SELECT image, x, y, floor(sum(r) / count(*))::INT AS r, floor(sum(g) / count(*))::INT AS g, floor(sum(b) / count(*))::INT AS b FROM c GROUP BY image, x, y""")
+def thumbnail_pixels(spark, d) -> DataFrame:
+    at = [(F.col("l_orderkey") % 200).alias("x"), (F.col("l_partkey") % 90).alias("y")]
+    return images.thumbnail(s.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("image"), *at, *[(F.col(c) % 256).alias(k) for c, k in (("l_orderkey", "r"), ("l_partkey", "g"), ("l_suppkey", "b"))]), 64)
+
+
 @query("SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_evicted FROM events GROUP BY user_id")
 def success_count(spark, d) -> DataFrame:
     return s.table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("n_ok"), F.count_if(F.col("event_type") == "error").alias("n_evicted"))
