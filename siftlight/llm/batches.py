@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import parallelism, written, written_by
 from .textkit import squeeze, text_buffers, unsqueeze
 
 BATCH_BYTES = 2 << 20
@@ -26,10 +26,11 @@ BATCH = "bid long, n_bytes long, n_docs long, ids binary, offsets binary, texts
 NULL_ID = np.iinfo(np.int64).max
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, name: str = "batches", carry: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, name: str = "batches", carry: bool = False, level: int = 1, buckets: int = 0) -> DataFrame:
     """The texts as a written table of batches; inside a batch, texts stand in the order of their ids, nulls last.
 
-    ``carry`` keeps the other columns beside them, for ``carried``.
+    ``carry`` keeps the other columns beside them, for ``carried``; ``level`` is the compression's; ``buckets`` (if
+    any) lay the table out by bid, for joins that leave it in place.
     """
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +54,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
                 rest = squeeze(sink.getvalue().to_pybytes())
-            row = {"rest": [rest], "bid": [(part << 32) | count], "n_bytes": [len(texts)], "n_docs": [len(ids)], "ids": [squeeze(kept)], "offsets": [squeeze(offsets)], "texts": [squeeze(texts)]}
+            row = {"rest": [rest], "bid": [(part << 32) | count], "n_bytes": [len(texts)], "n_docs": [len(ids)], "ids": [squeeze(kept)], "offsets": [squeeze(offsets)], "texts": [squeeze(texts, level)]}
             count, held, size = count + 1, [], 0
             return pa.RecordBatch.from_pydict(row, schema)
 
@@ -77,7 +78,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
 
     schema = pa.schema([("bid", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] * carry))
-    return written(rows.mapInArrow(fold, BATCH), name)
+    out = rows.mapInArrow(fold, BATCH)
+    return written_by(out, name, "bid", buckets) if buckets else written(out, name)
 
 
 class Texts:

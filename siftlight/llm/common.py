@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As ``written``, in ``n`` hash buckets of ``key``: joins on the key with as many partitions don't shuffle it."""
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.option("compression", "zstd").option("path", scratch_path(df.sparkSession, name)).bucketBy(n, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_siftlight_path", None)

@@ -38,8 +38,11 @@ from .textkit import ranges
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LONGEST = 62
-BATCH_BYTES = 32 << 20
-BUCKET_UNITS = 150_000
+BATCH_BYTES = 16 << 20
+#: Bytes of text for each bucket of units.
+BUCKET_BYTES = 6 << 20
+#: Stands for a character that is no piece.
+NO_ID = (1 << 20) - 1
 
 
 def default_model() -> str:
@@ -83,26 +86,36 @@ def normalise(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """(unit, ids) of a DataFrame of distinct units (column ``unit``)."""
+def encode_units(units: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+    """(unit, ids) of a DataFrame of distinct units (column ``unit``), in ``parts`` partitions.
+
+    Exploding and the broadcast join leave the partitioning by unit in place, so grouping the edges moves nothing.
+    """
     spark, model = units.sparkSession, Model(path)
     n = F.char_length("unit")
-    u = units.repartition(parallelism(spark), "unit")
+    u = units.repartition(parts or parallelism(spark), "unit")
+    if len(model.pieces) >= NO_ID or model.longest > 31:
+        raise ValueError("the vocabulary does not fit the packed edges")
     cut = u.filter(n <= LONGEST).select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     cut = cut.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("m"))
     cut = cut.select("unit", "s", "m", F.expr("substring(unit, s + 1, m)").alias("piece"))
     edges = cut.join(F.broadcast(model.table(spark)), "piece", "left").filter("m = 1 or id is not null")
+    # An edge is one number, so that it sorts by rank, then place: rank, start (6 bits), length (5), id (20).
+    packed = f"shiftleft(coalesce(cast(rank as bigint), 0L), 31) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | coalesce(id, {NO_ID})"
+    lattice = edges.select("unit", F.expr(packed).alias("e")).groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     # ends: the two boundaries of the edge; mid: those strictly between
-    edges = edges.select("unit", F.expr("struct(rank, s, m, id, shiftleft(1L, s) | shiftleft(1L, s + m) as ends, (shiftleft(1L, s + m) - 1) ^ (shiftleft(2L, s) - 1) as mid) as e"))
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    lattice = lattice.select("unit", "edges", F.expr("filter(edges, e -> e.m > 1)").alias("merges"))
+    place = "cast(shiftright(e, 25) & 63 as int) as s, cast((shiftright(e, 25) & 63) + (shiftright(e, 20) & 31) as int) as t, cast(e & 1048575 as int) as id"
+    lattice = lattice.select("unit", F.expr(f"transform(edges, e -> struct({place}))").alias("edges"))
+    bits = "shiftleft(1L, e.s) | shiftleft(1L, e.t) as ends, (shiftleft(1L, e.t) - 1) ^ (shiftleft(2L, e.s) - 1) as mid"
+    lattice = lattice.select("unit", F.expr(f"transform(edges, e -> struct(e.s, e.id, {bits}))").alias("edges"))
+    lattice = lattice.select("unit", "edges", F.expr("filter(edges, e -> e.mid <> 0)").alias("merges"))
     folded = lattice.select("unit", "edges", F.expr("""aggregate(
         if(size(merges) = 0, array(), sequence(1, char_length(unit) - 1)),
         shiftleft(1L, char_length(unit)) * 2 - 1,
         (b, k) -> coalesce(b & ~get(filter(merges, e -> (b & e.ends) = e.ends and bit_count(b & e.mid) = 1), 0).mid, b))""").alias("b"))
     path_edges = F.expr("array_sort(transform(filter(edges, e -> (b & e.ends) = e.ends and (b & e.mid) = 0), e -> struct(e.s, e.id)))")
     tokens = folded.select("unit", path_edges.alias("tokens"))
-    ids = tokens.select("unit", F.expr(f"""flatten(transform(tokens, t -> if(t.id is not null, array(t.id),
+    ids = tokens.select("unit", F.expr(f"""flatten(transform(tokens, t -> if(t.id <> {NO_ID}, array(t.id),
         transform(sequence(1, octet_length(substring(unit, t.s + 1, 1))), k -> cast(conv(substring(hex(substring(unit, t.s + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + {model.first_byte}))))""").alias("ids"))
 
     def long_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +144,11 @@ def _bucket(unit: str, n: int) -> int:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (unsigned 32-bit little-endian), round_trip and (if asked) ids as array<int>."""
-    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches")
-    n = max(parallelism(docs.sparkSession), int((batches.agg(F.sum("n_bytes")).first()[0] or 0) / 6 // BUCKET_UNITS // 8))
+    shuffles = parallelism(docs.sparkSession)
+    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches", level=6, buckets=shuffles)
+    n = max(shuffles, int((batches.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
+    model = Model(model_path)
+    width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
 
     def units_of(row: dict) -> Iterator[tuple[int, str]]:
         t = Texts(row)
@@ -140,16 +156,23 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for i in range(len(offs) - 1):
             yield i, normalise(raw[offs[i]:offs[i + 1]].decode("utf-8", "replace"))
 
+    def by_bucket(row: dict) -> dict[int, list[str]]:
+        """The distinct units of a batch, sorted, by bucket."""
+        found: set[str] = set()
+        for _, text in units_of(row):
+            found.update(UNIT.findall(text))
+        by: dict[int, list[str]] = {}
+        for u in found:
+            by.setdefault(_bucket(u, n), []).append(u)
+        for units in by.values():
+            units.sort()
+        return by
+
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            found: set[str] = set()
-            for _, text in units_of(row):
-                found.update(UNIT.findall(text))
-            by: dict[int, list[str]] = {}
-            for u in found:
-                by.setdefault(_bucket(u, n), []).append(u)
+            by = by_bucket(row)
             keys = list(by)
-            bodies = [_squeeze(_joined(sorted(by[k]))) for k in keys]
+            bodies = [_squeeze(_joined(by[k])) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row["bid"]] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
 
     def distinct(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,26 +187,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for b in sent["body"]:
             got = [ids_of[u] for u in _parted(_unsqueeze(b))]
             sizes = np.array([len(g) for g in got], np.uint32)
-            bodies.append(_squeeze(sizes.tobytes() + np.concatenate([*got, np.empty(0, np.int32)]).astype(np.uint32).tobytes()))
-        return pd.DataFrame({"bid": sent["bid"], "bucket": sent["bucket"], "units": sent["body"], "body": bodies})
-
-    model_bytes = Model(model_path)
+            bodies.append(_squeeze(sizes.tobytes() + np.concatenate([*got, np.empty(0, np.int32)]).astype(width).tobytes()))
+        return pd.DataFrame({"bid": sent["bid"], "bucket": sent["bucket"], "body": bodies})
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             ids_of: dict[str, bytes] = {}
+            own = by_bucket(row)
             for r in row["replies"] or []:
-                names, raw = _parted(_unsqueeze(r["units"])), _unsqueeze(r["body"])
-                ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4 + 4 * len(names)).tolist()
-                at = 4 * len(names)
+                names, raw = own.pop(r["bucket"]), _unsqueeze(r["body"])
+                ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4).tolist()
+                wide, at = np.frombuffer(raw, width, offset=4 * len(names)).astype(np.uint32).tobytes(), 0
                 for u, end in zip(names, ends, strict=True):
-                    ids_of[u] = raw[at:end]
+                    ids_of[u] = wide[at:end]
                     at = end
             doc_ids, out = id_column(Texts(row).ids), []
             for i, text in units_of(row):
                 buf = b"".join(map(ids_of.__getitem__, UNIT.findall(text)))
                 tokens = np.frombuffer(buf, np.uint32)
-                same = model_bytes.decode(tokens) == text.encode().replace(SPACE.encode(), b" ")[1:]
+                same = model.decode(tokens) == text.encode().replace(SPACE.encode(), b" ")[1:]
                 out.append((doc_ids[i].as_py(), len(tokens), hashlib.sha256(buf).hexdigest(), same) + ((tokens.astype(np.int32).tolist(),) if ids else ()))
                 if len(out) == 2000:
                     yield _docs(out, ids)
@@ -193,9 +215,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     sent = written(batches.mapInArrow(send, "bucket long, bid long, body binary"), "lattice-units")
     unique = sent.groupBy("bucket").applyInPandas(distinct, "bucket long, unit string")
     # the bucket follows from the unit, so it is added again after the lattice
-    known = encode_units(unique.select("unit"), model_path).mapInArrow(_with_bucket(n), "bucket long, unit string, ids array<int>")
-    replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(reply, "bid long, bucket long, units binary, body binary")
-    by_batch = replies.groupBy("bid").agg(F.collect_list(F.struct("units", "body")).alias("replies"))
+    known = encode_units(unique.select("unit"), model_path, n).mapInArrow(_with_bucket(n), "bucket long, unit string, ids array<int>")
+    replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(reply, "bid long, bucket long, body binary")
+    by_batch = replies.groupBy("bid").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
     return batches.join(by_batch, "bid", "left").mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
 
 
