@@ -144,14 +144,21 @@ def _compare(k: int, cosine: float):
 def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a usable vector get it as unit doubles, others null."""
     for b in parts:
-        out = []
-        for v in b.column("embedding").to_pylist():
-            x = None if v is None or None in v else np.array(v, np.float64)
-            if x is not None and len(x) and np.isfinite(x).all() and x.any():
-                x = x / np.abs(x).max()
-                out.append((x / np.linalg.norm(x)).tobytes())
-            else:
-                out.append(None)
+        lists = b.column("embedding")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        out: list[bytes | None] = [None] * len(sizes)
+        for d in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == d)
+            x = values[(ends[rows] - d)[:, None] + np.arange(d)]
+            most = np.abs(x).max(1)
+            good = np.isfinite(most) & (most > 0)
+            x = x[good] / most[good, None]
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            for i, v in zip(rows[good].tolist(), x, strict=True):
+                out[i] = v.tobytes()
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
 
