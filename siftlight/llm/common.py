@@ -46,5 +46,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows in a record batch handed to Python; texts are long, and a batch is in memory several times.
+BATCH_ROWS = 1500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep record batches small for this session, whatever it is set to above that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkit import trimmed
+
 
 def by_group(df: DataFrame, n: int, keys: list[str], schema: str, fn: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``fn`` gets record batches that hold whole groups, and the bounds of the groups in them.
@@ -42,4 +44,4 @@ def by_group(df: DataFrame, n: int, keys: list[str], schema: str, fn: Callable[[
         if held is not None and held.num_rows:
             yield from emit(held, bounds_of(held))
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), schema)

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import text_buffers
+from .common import bound_batches
+from .textkit import text_buffers, trimmed
 
 HIDDEN = 8
 STRETCH = 128
@@ -144,23 +145,19 @@ class Network:
 
 def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, stretches: int = TRAIN_STRETCHES, width: int = TRAIN_BYTES) -> Network | None:
     """A network fitted to at most ``max_docs`` rows of (doc_id, text, lang), chosen by a hash of doc_id."""
-    # Ids are chosen first, so the ordering moves no texts.
     named = labelled.filter("doc_id is not null and text is not null and lang is not null")
+    # Ids are chosen first, so the ordering moves no texts; of the chosen rows only the stretches reach the driver.
     ids = named.select("doc_id", F.xxhash64("doc_id").alias("o")).distinct().orderBy("o", "doc_id").limit(max_docs).select("doc_id")
-    rows = sorted((r.doc_id, r.lang, r.text.encode()) for r in named.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.col("text")).collect())
-    languages = sorted({r[1] for r in rows})
+    raw, n = F.col("text").cast("binary"), F.octet_length("text")
+    starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), n - width + 1).cast("int") + 1 for k in range(stretches)]
+    cut = F.when(n >= width, F.array(*[F.substring(raw, p, F.lit(width)) for p in starts]))
+    rows = sorted(named.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", cut.alias("cut")).collect(), key=lambda r: (r.doc_id, r.lang))
+    languages = sorted({r.lang for r in rows})
     if not languages:
         return None
-    r = np.random.default_rng(7)
-    x, label = [], []
-    for _, lang, text in rows:
-        data = np.frombuffer(text, np.uint8)
-        for _ in range(stretches if len(data) >= width else 0):
-            at = int(r.integers(0, len(data) - width + 1))
-            x.append(data[at:at + width])
-            label.append(languages.index(lang))
+    cuts = [(np.frombuffer(c, np.uint8), languages.index(r.lang)) for r in rows for c in r.cut or []]
     network = Network(languages)
-    return network.fit(np.stack(x), np.array(label)) if x else network
+    return network.fit(np.stack([c[0] for c in cuts]), np.array([c[1] for c in cuts])) if cuts else network
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -193,7 +190,8 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if carry:
         schema.add("row", docs.schema)
-    return rows.mapInArrow(run, schema)
+    bound_batches(docs.sparkSession)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

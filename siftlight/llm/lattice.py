@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .batches import Texts, id_column, pack, rows_of
 from .common import parallelism, written
-from .textkit import ranges
+from .textkit import ranges, trimmed
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -212,13 +212,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     out = []
             yield _docs(out, ids)
 
-    sent = written(batches.mapInArrow(send, "bucket long, bid long, body binary"), "lattice-units")
+    sent = written(batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary"), "lattice-units")
     unique = sent.groupBy("bucket").applyInPandas(distinct, "bucket long, unit string")
     # the bucket follows from the unit, so it is added again after the lattice
     known = encode_units(unique.select("unit"), model_path, n).mapInArrow(_with_bucket(n), "bucket long, unit string, ids array<int>")
     replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(reply, "bid long, bucket long, body binary")
     by_batch = replies.groupBy("bid").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
-    return batches.join(by_batch, "bid", "left").mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
+    return batches.join(by_batch, "bid", "left").mapInArrow(trimmed(finish), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
 
 
 def _docs(rows: list[tuple], ids: bool) -> pa.RecordBatch:

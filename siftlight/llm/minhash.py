@@ -31,7 +31,7 @@ from .batches import NULL_ID, Texts, id_column, pack, rows_of
 from .common import parallelism, written
 from .components import components
 from .grouped import by_group
-from .textkit import LOWER, U, Spans, mix, pad, squeeze, unsqueeze, word_names, words
+from .textkit import LOWER, U, Spans, mix, pad, squeeze, trimmed, unsqueeze, word_names, words
 
 SHINGLE = 5
 PERCENT = 85
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest id of its group), kept (doc_id is that), one row per document."""
     spark = docs.sparkSession
     batches = pack(docs, id_col, text_col, name="minhash-batches")
-    signed = written(batches.mapInArrow(_sign(size), SIGNED), "minhash-signatures")
+    signed = written(batches.mapInArrow(trimmed(_sign(size)), SIGNED), "minhash-signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "bid", "place")
     # One representative per set; its row id is the rank of its place, unique and stable because the table is written.
     reps = signed.filter("digest is not null").groupBy("digest").agg(F.min_by(F.struct("bid", "place", "sig", "bands"), order).alias("r"), F.min(order).alias("o"))
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiles = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
         "bid", F.struct("place", F.col("node").alias("rid"), "component", (F.least(b, k) * (1 << 31) + F.greatest(b, k)).alias("tiles")).alias("w"))
     wanted = tiles.groupBy("bid").agg(F.collect_list("w").alias("wanted"))
-    sets = batches.join(wanted, "bid").mapInArrow(_fetch(size), "rid long, component long, tiles long, names binary")
+    sets = batches.join(wanted, "bid").mapInArrow(trimmed(_fetch(size)), "rid long, component long, tiles long, names binary")
     links = by_group(sets, parallelism(spark), ["component", "tiles"], "u long, v long", _confirm(percent))
     groups = components(links)
     ids = groups.join(reps.select(F.col("rid").alias("node"), "digest", "least_id"), "node")

@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .textkit import text_buffers
+from .common import bound_batches, written
+from .textkit import text_buffers, trimmed
 
 CAPACITY = 4096
 END_ID = 1
 #: Words of one generation of a worker's cache; a full generation becomes the old one, from which used words return.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: This special token never occurs inside a word handed to it; it separates words.
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 
@@ -115,7 +115,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return written(rows.mapInArrow(run, PIECES + ", ids binary" * ids), "pieces")
+    bound_batches(docs.sparkSession)
+    return written(rows.mapInArrow(trimmed(run), PIECES + ", ids binary" * ids), "pieces")
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .batches import ASKED, Texts, answered, asked, exchange, id_column, n_buckets, pack, rows_of, split
 from .common import written
-from .textkit import U, Spans, mix, mix2, pad, squeeze, unsqueeze, word_names, words
+from .textkit import U, Spans, mix, mix2, pad, squeeze, trimmed, unsqueeze, word_names, words
 
 WINDOW = 20
 ROUNDS = 3
@@ -237,11 +237,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][:len(cols)])
 
-    replies = exchange(batches.mapInArrow(ask_anchors, ASKED), _shared)
+    replies = exchange(batches.mapInArrow(trimmed(ask_anchors), ASKED), _shared)
     first = written(replies, "recompression-anchors")
-    later = exchange(batches.join(first, "bid", "left").mapInArrow(ask_windows, ASKED), _earlier).withColumnRenamed("replies", "later")
+    later = exchange(batches.join(first, "bid", "left").mapInArrow(trimmed(ask_windows), ASKED), _earlier).withColumnRenamed("replies", "later")
     joined = batches.join(first, "bid", "left").join(later, "bid", "left")
-    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return joined.mapInArrow(trimmed(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

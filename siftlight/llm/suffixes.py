@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .batches import ASKED, Texts, answered, asked, carried, exchange, id_column, n_buckets, pack, rows_of, split
 from .common import written
-from .textkit import BYTE_NAMES, U, Spans, mix2, pad, ranges, squeeze, unsqueeze
+from .textkit import BYTE_NAMES, U, Spans, mix2, pad, ranges, squeeze, trimmed, unsqueeze
 
 LENGTH = 400
 BLOCK = 64
@@ -240,10 +240,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
             gone = np.cumsum(cover)[:-1] > 0
             yield result(row, batch, p, gone)
 
-    first = written(exchange(batches.mapInArrow(ask_blocks, ASKED), _judge_blocks), "suffix-blocks")
-    later = exchange(batches.join(first, "bid", "left").mapInArrow(ask_strings, ASKED), _judge_strings).withColumnRenamed("replies", "later")
+    first = written(exchange(batches.mapInArrow(trimmed(ask_blocks), ASKED), _judge_blocks), "suffix-blocks")
+    later = exchange(batches.join(first, "bid", "left").mapInArrow(trimmed(ask_strings), ASKED), _judge_strings).withColumnRenamed("replies", "later")
     joined = batches.join(first, "bid", "left").join(later, "bid", "left")
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(trimmed(finish), schema)
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
