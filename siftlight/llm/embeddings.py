@@ -35,6 +35,8 @@ RECALL = 0.997
 BUCKET = 50
 SIGMAS = 4.0
 TILE = 1024
+#: Rows of a bucket list that may be broadcast.
+SHORT_LIST = 20_000
 SEED = 8
 
 
@@ -51,14 +53,14 @@ def plan(n: int, cosine: float = COSINE, recall: float = RECALL, bucket: int = B
     return k, math.ceil(math.log(1 - recall) / math.log(1 - same**k))
 
 
-BANDED = "dim int, band int, key long, rid long, keys binary, vec binary"
+BANDED = "dim int, band int, key long, rid long, weight long, keys binary, vec binary"
 
 
 def _band(k: int, bands: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for b in parts:
-            rid, vecs = np.asarray(b.column("rid")), [np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vec")]
+            rid, weight, vecs = np.asarray(b.column("rid")), np.asarray(b.column("weight")), [np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vec")]
             dims = np.array([len(v) for v in vecs])
             for d in np.unique(dims).tolist():
                 if d not in turned:
@@ -72,7 +74,7 @@ def _band(k: int, bands: int):
                     m = len(some)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(m * bands, d), pa.int32()), pa.array(np.tile(np.arange(bands), m), pa.int32()), pa.array(keys.ravel()),
-                        pa.array(np.repeat(rid[some], bands)), pa.array(np.repeat(np.array(raw, object), bands), pa.binary()),
+                        pa.array(np.repeat(rid[some], bands)), pa.array(np.repeat(weight[some], bands)), pa.array(np.repeat(np.array(raw, object), bands), pa.binary()),
                         pa.array(np.repeat(np.array([vecs[i].tobytes() for i in some], object), bands), pa.binary()),
                     ], names=[f.split()[0] for f in BANDED.split(", ")])
     return run
@@ -170,11 +172,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = units.filter("vec is not null").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.first("vec").alias("vec"), F.count("*").alias("size"))
     classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "embedding-classes")
     k, bands = plan(classes.count(), cosine, recall)
-    banded = classes.select("rid", "vec").mapInArrow(_band(k, bands), BANDED).join(classes.select("rid", F.col("size").alias("weight")), "rid")
+    banded = classes.select("rid", F.col("size").alias("weight"), "vec").mapInArrow(_band(k, bands), BANDED)
     bucket = ["dim", "band", "key"]
-    # The number of blocks of a bucket: most have one; the rest are joined in by their key.
-    large = banded.groupBy(*bucket).count().filter(F.col("count") > tile).select(*bucket, F.ceil(F.col("count") / tile).cast("int").alias("blocks"))
-    dealt = banded.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Most buckets are one block. The list of the others is joined in: as a broadcast while it is short, else by key.
+    large = written(banded.groupBy(*bucket).count().filter(F.col("count") > tile).select(*bucket, F.ceil(F.col("count") / tile).cast("int").alias("blocks")), "embedding-buckets")
+    known = F.broadcast(large) if large.count() <= SHORT_LIST else large
+    dealt = banded.join(known, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rid"), "blocks").cast("int")
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
         *bucket, F.least(mine, "k").alias("b1"), F.greatest(mine, "k").alias("b2"), "rid", "weight", "keys", "vec",
