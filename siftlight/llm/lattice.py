@@ -38,7 +38,7 @@ from .textkit import ranges, trimmed
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LONGEST = 62
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 #: Bytes of text for each bucket of units.
 BUCKET_BYTES = 6 << 20
 #: Stands for a character that is no piece.
@@ -129,7 +129,7 @@ def encode_units(units: DataFrame, path: str, parts: int | None = None) -> DataF
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
 def _unsqueeze(data: bytes) -> bytes:
