@@ -4,7 +4,8 @@ The model is BPE with byte fallback; a text becomes its characters with every sp
 No piece holds U+2581 after another character, so a text falls into units (a run of U+2581 and what follows) that are
 encoded by themselves, and each distinct unit is encoded once:
 
-1. batches send their distinct units, by hash, to buckets, which pass each unit on once;
+1. batches send their distinct units, by hash, to buckets, which pass each unit on once; both tables are laid out by
+   bucket, so nothing below moves units again;
 2. the lattice of a unit: its substrings up to the longest piece are exploded and equi-joined to the piece table (a
    broadcast bounded by the vocabulary), and the edges are grouped by unit;
 3. a higher-order aggregate folds over the edges. The state is the set of token boundaries as a bit mask; a step takes
@@ -12,7 +13,7 @@ encoded by themselves, and each distinct unit is encoded once:
    of piece scores, as Viterbi maximises it for unigram models, gives other tokens than a BPE model's own.
 4. the buckets answer each batch with the ids of its units, and the batch puts its documents together.
 
-Units beyond 62 characters do not fit the mask; the library encodes those by themselves.
+Units beyond 62 characters do not fit the mask; the buckets leave those to the library.
 
 Defined results: a null or empty text has no ids; null ids stay; repeated rows are encoded each; an empty table gives an
 empty result; other columns are not read. U+2581 in a text is a space to the model, and decodes as one.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import Texts, id_column, pack, rows_of
-from .common import parallelism, written
+from .common import parallelism, written_by
 from .textkit import ranges, trimmed
 
 SPACE = "▁"
@@ -86,47 +87,37 @@ def normalise(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def encode_units(units: DataFrame, path: str, parts: int | None = None) -> DataFrame:
-    """(unit, ids) of a DataFrame of distinct units (column ``unit``), in ``parts`` partitions.
+def encode_units(units: DataFrame, model: Model) -> DataFrame:
+    """(bucket, unit, ids) of a DataFrame of distinct units (columns ``bucket`` and ``unit``) of up to 62 characters.
 
-    Exploding and the broadcast join leave the partitioning by unit in place, so grouping the edges moves nothing.
+    Exploding and the broadcast join leave a partitioning by bucket in place, so grouping the edges moves nothing.
     """
-    spark, model = units.sparkSession, Model(path)
+    spark = units.sparkSession
     n = F.char_length("unit")
-    u = units.repartition(parts or parallelism(spark), "unit")
     if len(model.pieces) >= NO_ID or model.longest > 31:
         raise ValueError("the vocabulary does not fit the packed edges")
-    cut = u.filter(n <= LONGEST).select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    cut = cut.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("m"))
-    cut = cut.select("unit", "s", "m", F.expr("substring(unit, s + 1, m)").alias("piece"))
+    cut = units.filter(n <= LONGEST).select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    cut = cut.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("m"))
+    cut = cut.select("bucket", "unit", "s", "m", F.expr("substring(unit, s + 1, m)").alias("piece"))
     edges = cut.join(F.broadcast(model.table(spark)), "piece", "left").filter("m = 1 or id is not null")
     # An edge is one number, so that it sorts by rank, then place: rank, start (6 bits), length (5), id (20).
     packed = f"shiftleft(coalesce(cast(rank as bigint), 0L), 31) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | coalesce(id, {NO_ID})"
-    lattice = edges.select("unit", F.expr(packed).alias("e")).groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    lattice = edges.select("bucket", "unit", F.expr(packed).alias("e")).groupBy("bucket", "unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     # ends: the two boundaries of the edge; mid: those strictly between
     place = "cast(shiftright(e, 25) & 63 as int) as s, cast((shiftright(e, 25) & 63) + (shiftright(e, 20) & 31) as int) as t, cast(e & 1048575 as int) as id"
-    lattice = lattice.select("unit", F.expr(f"transform(edges, e -> struct({place}))").alias("edges"))
+    lattice = lattice.select("bucket", "unit", F.expr(f"transform(edges, e -> struct({place}))").alias("edges"))
     bits = "shiftleft(1L, e.s) | shiftleft(1L, e.t) as ends, (shiftleft(1L, e.t) - 1) ^ (shiftleft(2L, e.s) - 1) as mid"
-    lattice = lattice.select("unit", F.expr(f"transform(edges, e -> struct(e.s, e.id, {bits}))").alias("edges"))
-    lattice = lattice.select("unit", "edges", F.expr("filter(edges, e -> e.mid <> 0)").alias("merges"))
-    folded = lattice.select("unit", "edges", F.expr("""aggregate(
+    lattice = lattice.select("bucket", "unit", F.expr(f"transform(edges, e -> struct(e.s, e.id, {bits}))").alias("edges"))
+    lattice = lattice.select("bucket", "unit", "edges", F.expr("filter(edges, e -> e.mid <> 0)").alias("merges"))
+    folded = lattice.select("bucket", "unit", "edges", F.expr("""aggregate(
         if(size(merges) = 0, array(), sequence(1, char_length(unit) - 1)),
         shiftleft(1L, char_length(unit)) * 2 - 1,
         (b, k) -> coalesce(b & ~get(filter(merges, e -> (b & e.ends) = e.ends and bit_count(b & e.mid) = 1), 0).mid, b))""").alias("b"))
     path_edges = F.expr("array_sort(transform(filter(edges, e -> (b & e.ends) = e.ends and (b & e.mid) = 0), e -> struct(e.s, e.id)))")
-    tokens = folded.select("unit", path_edges.alias("tokens"))
-    ids = tokens.select("unit", F.expr(f"""flatten(transform(tokens, t -> if(t.id <> {NO_ID}, array(t.id),
+    tokens = folded.select("bucket", "unit", path_edges.alias("tokens"))
+    return tokens.select("bucket", "unit", F.expr(f"""flatten(transform(tokens, t -> if(t.id <> {NO_ID}, array(t.id),
         transform(sequence(1, octet_length(substring(unit, t.s + 1, 1))), k -> cast(conv(substring(hex(substring(unit, t.s + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + {model.first_byte}))))""").alias("ids"))
 
-    def long_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sentencepiece
-
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        for p in parts:
-            yield pd.DataFrame({"unit": p["unit"], "ids": [library.encode(x[1:]) for x in p["unit"]]})
-
-    return ids.unionByName(u.filter(n > LONGEST).mapInPandas(long_units, "unit string, ids array<int>"))
-
 
 def _squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=9).compress(data)
@@ -178,14 +169,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def distinct(rows: pd.DataFrame) -> pd.DataFrame:
         every: set[str] = set()
         for b in rows["body"]:
-            every.update(_parted(_unsqueeze(b)))
-        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "unit": list(every)})
+            every.update(u for u in _parted(_unsqueeze(b)) if len(u) <= LONGEST)
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "unit": sorted(every)})
 
     def reply(sent: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        ids_of = dict(zip(known["unit"], known["ids"], strict=True))
-        bodies = []
+        import sentencepiece
+
+        ids_of, library, bodies = dict(zip(known["unit"], known["ids"], strict=True)), None, []
         for b in sent["body"]:
-            got = [ids_of[u] for u in _parted(_unsqueeze(b))]
+            got = []
+            for u in _parted(_unsqueeze(b)):
+                if u not in ids_of:  # beyond the mask
+                    library = library or sentencepiece.SentencePieceProcessor(model_file=model_path)
+                    ids_of[u] = np.array(library.encode(u[1:]), np.int32)
+                got.append(ids_of[u])
             sizes = np.array([len(g) for g in got], np.uint32)
             bodies.append(_squeeze(sizes.tobytes() + np.concatenate([*got, np.empty(0, np.int32)]).astype(width).tobytes()))
         return pd.DataFrame({"bid": sent["bid"], "bucket": sent["bucket"], "body": bodies})
@@ -212,10 +209,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     out = []
             yield _docs(out, ids)
 
-    sent = written(batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary"), "lattice-units")
-    unique = sent.groupBy("bucket").applyInPandas(distinct, "bucket long, unit string")
-    # the bucket follows from the unit, so it is added again after the lattice
-    known = encode_units(unique.select("unit"), model_path, n).mapInArrow(_with_bucket(n), "bucket long, unit string, ids array<int>")
+    sent = batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(shuffles, "bucket")
+    sent = written_by(sent, "lattice-units", "bucket", shuffles)
+    unique = written_by(sent.groupBy("bucket").applyInPandas(distinct, "bucket long, unit string"), "lattice-distinct", "bucket", shuffles)
+    known = encode_units(unique, model)
     replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(reply, "bid long, bucket long, body binary")
     by_batch = replies.groupBy("bid").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
     return batches.join(by_batch, "bid", "left").mapInArrow(trimmed(finish), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
@@ -236,14 +233,6 @@ def _parted(data: bytes) -> list[str]:
     return data.decode().split(" ")
 
 
-def _with_bucket(n: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            buckets = pa.array([_bucket(u, n) for u in b.column("unit").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([buckets, b.column("unit"), b.column("ids")], names=["bucket", "unit", "ids"])
-    return run
-
-
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model(), ids=False)
 
