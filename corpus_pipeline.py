@@ -14,6 +14,8 @@ from siftlight.llm.common import written
 
 #: A document stays if its language was recognised with at least this pooled probability.
 MIN_LANGUAGE_SCORE = 0.4
+#: Stages on word shingles: sets of 5 words with a Jaccard similarity of at least 0.8 are near-duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = minhash.near_duplicates(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -1,6 +1,6 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, components.
 
-1. Each text becomes its set of distinct word shingles (64-bit names), ``N_HASHES`` minima and ``BANDS`` band keys.
+1. Each text becomes its set of distinct word shingles (64-bit names), its minima and their band keys.
    Texts with equal sets (128-bit digest) are one class, represented by the smallest id.
 2. Representatives that share a band key meet in a bucket. Signatures (8 bits of each minimum) estimate the Jaccard
    similarity; inside a bucket a search from one document to the next links what may be similar (five standard
@@ -10,7 +10,8 @@
    pairs of blocks, each block with each other, so no task holds a whole hot group and no link is lost.
 4. Components of the confirmed links name the groups.
 
-A pair at exactly the threshold shares a band with probability 1 - (1 - .85^5)^24 > 0.999999.
+Bands follow from the threshold: a pair at exactly that similarity shares none with a probability of at most ``MISS``.
+At 85 percent these are 24 bands of 5 minima, at 80 percent 35; low thresholds get shorter bands.
 
 Defined results: ASCII letters are lower-cased; a null or blank text has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle; rows that repeat an id are separate rows with equal ids; null ids come last in
@@ -19,7 +20,9 @@ order and name their group only if no id is there (component null, kept); an emp
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +38,32 @@ from .textkit import LOWER, U, Spans, mix, pad, squeeze, trimmed, unsqueeze, wor
 
 SHINGLE = 5
 PERCENT = 85
-ROWS, BANDS = 5, 24
-N_HASHES = ROWS * BANDS
+MISS = 1e-6
+#: Minima of a band, and the number of bands beyond which bands get shorter instead.
+MOST_ROWS, MANY_BANDS = 5, 128
 TILE = 1500
-_RNG = np.random.default_rng(85)
-_A = _RNG.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * U(2) + U(1)
-_B = _RNG.integers(0, 1 << 64, N_HASHES, dtype=np.uint64)
 _SALT = U(0x5EED0005)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Minima of a band, and bands, that a pair at the similarity threshold shares but for ``MISS``."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent: above 0, at most 100")
+    for rows in range(MOST_ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log(apart)) if apart else 1
+        if bands <= MANY_BANDS:
+            break
+    return rows, bands
+
+
+@functools.cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and summands of n universal hashes."""
+    rng = np.random.default_rng(85)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1), rng.integers(0, 1 << 64, n, dtype=np.uint64)
+
+
 def shingle_sets(batch: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle names of every document end to end (sorted inside a document), and the documents' bounds."""
     padded, bounds = pad(LOWER[batch.data], batch.offsets)
@@ -65,18 +85,19 @@ def shingle_sets(batch: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, U)), np.array(at)
 
 
-def signatures(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(names: np.ndarray, bounds: np.ndarray, n_hashes: int) -> np.ndarray:
     """Minima of the universal hashes a*x+b mod 2^64 over each (non-empty) set: one row per set."""
-    out = np.empty((len(bounds) - 1, N_HASHES), U)
+    factor, summand = _hashes(n_hashes)
+    out = np.empty((len(bounds) - 1, n_hashes), U)
     lo = 0
     while lo < len(bounds) - 1:  # some documents at a time, so that the work stays in the processor's cache
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 16384, "right")) - 1)
         hi = min(hi, len(bounds) - 1)
         x, cuts = names[bounds[lo]:bounds[hi]], bounds[lo:hi] - bounds[lo]
         y = np.empty_like(x)
-        for k in range(N_HASHES):
-            np.multiply(x, _A[k], out=y)
-            y += _B[k]
+        for k in range(n_hashes):
+            np.multiply(x, factor[k], out=y)
+            y += summand[k]
             out[lo:hi, k] = np.minimum.reduceat(y, cuts)
         lo = hi
     return out
@@ -85,25 +106,27 @@ def signatures(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 SIGNED = "bid long, place long, doc_id long, n long, digest binary, sig binary, bands array<long>"
 
 
-def _sign(size: int):
+def _sign(size: int, percent: int):
+    per_band, bands = banding(percent)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             batch = Texts(row)
             names, at = shingle_sets(batch, size)
             n = np.diff(at)
             full = np.flatnonzero(n)
-            sig = np.zeros((len(n), N_HASHES), U)
+            sig = np.zeros((len(n), per_band * bands), U)
             if len(full):
-                sig[full] = signatures(names, np.append(at[:-1][full], at[-1]))
+                sig[full] = signatures(names, np.append(at[:-1][full], at[-1]), per_band * bands)
             low = np.ascontiguousarray((sig >> U(56)).astype(np.uint8))
-            keys = mix(sig ^ U(0xBA4D)).reshape(len(n), BANDS, ROWS)
-            band = np.zeros((len(n), BANDS), U)
-            for r in range(ROWS):
+            keys = mix(sig ^ U(0xBA4D)).reshape(len(n), bands, per_band)
+            band = np.zeros((len(n), bands), U)
+            for r in range(per_band):
                 band = mix(band * U(31) + keys[:, :, r])
-            band = mix(band + np.arange(BANDS, dtype=U))
+            band = mix(band + np.arange(bands, dtype=U))
             raw = memoryview(np.ascontiguousarray(names)).cast("B")
             digest = [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            offsets = pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS), pa.int32())
+            offsets = pa.array(np.arange(0, (len(n) + 1) * bands, bands), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(n), row["bid"])), pa.array(np.arange(len(n))), id_column(batch.ids), pa.array(n, pa.int64()),
                 pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in low], pa.binary()),
@@ -114,9 +137,9 @@ def _sign(size: int):
 
 def _threshold(percent: int) -> float:
     """The lowest share of equal signature bytes that a pair at the similarity threshold may show."""
-    s = percent / 100
+    s, n = percent / 100, math.prod(banding(percent))
     share = s + (1 - s) / 256
-    return share - 5 * (share * (1 - share) / N_HASHES) ** 0.5
+    return share - 5 * (share * (1 - share) / n) ** 0.5
 
 
 def _search(m: int, linked) -> list[tuple[int, int]]:
@@ -134,11 +157,12 @@ def _search(m: int, linked) -> list[tuple[int, int]]:
 
 
 def _bucket_edges(percent: int):
-    least = _threshold(percent) * N_HASHES
+    n_hashes = math.prod(banding(percent))
+    least = _threshold(percent) * n_hashes
 
     def run(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         rid = np.asarray(b.column("rid"))
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, n_hashes)
         head = np.repeat(bounds[:-1], np.diff(bounds))
         near = np.concatenate([(sig[a:a + 8192] == sig[head[a:a + 8192]]).sum(1) for a in range(0, len(sig), 8192)]) >= least
         own = np.arange(len(head)) == head
@@ -207,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest id of its group), kept (doc_id is that), one row per document."""
     spark = docs.sparkSession
     batches = pack(docs, id_col, text_col, name="minhash-batches")
-    signed = written(batches.mapInArrow(trimmed(_sign(size)), SIGNED), "minhash-signatures")
+    signed = written(batches.mapInArrow(trimmed(_sign(size, percent)), SIGNED), "minhash-signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "bid", "place")
     # One representative per set; its row id is the rank of its place, unique and stable because the table is written.
     reps = signed.filter("digest is not null").groupBy("digest").agg(F.min_by(F.struct("bid", "place", "sig", "bands"), order).alias("r"), F.min(order).alias("o"))

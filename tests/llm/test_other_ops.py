@@ -184,3 +184,34 @@ def test_pipeline_stages_on_an_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, SF)
         assert out.count() == 0 and out.columns == docs.columns
+
+
+def test_pipeline_links_pairs_between_80_and_85_percent(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        w = [f"w{x}" for x in r.integers(0, 10**6, 200)]
+        tail = [f"e{i}x{x}" for x in range(20)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[20:] + tail))]  # 176 of 216 shingles: 0.81
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(d for d, (_, c) in brute.linked_shingles(rows, percent=80).items() if c == d)
+    assert want == list(range(0, 80, 2)) and len(brute.linked_shingles(rows)) == len({c for _, c in brute.linked_shingles(rows).values()})
+    assert sorted(x.doc_id for x in corpus_pipeline.minhash_dedup(spark, df, SF).collect()) == want
+
+
+def test_bands_follow_from_the_threshold():
+    from siftlight.llm import minhash
+
+    assert minhash.banding(85) == (5, 24)
+    for percent in (100, 95, 85, 80, 70, 50, 20, 5):
+        rows, bands = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+
+
+def test_pipeline_equals_brute_force_at_80_percent(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(brute, "linked_shingles", partial(brute.linked_shingles, percent=80))
+    test_pipeline_equals_brute_force(spark)
