@@ -8,9 +8,10 @@ that decide it, and a symbol whose certificates lie inside a window appears in e
 
 Two Spark rounds settle the windows. First, each window picks its anchor: the smallest name among the certified symbols
 of its highest round that has any; batches ask which anchors occur elsewhere, and windows with an anchor of their own
-are unique. Second, the remaining windows are verified by a second, independent name of all their words: the bucket of
-the anchor tells each window whether an equal one starts in an earlier document. Effective width: 64 bits plus the
-logarithm of the number of buckets.
+are unique. Second, the remaining windows are verified by a second, independent name of all their words: a bucket tells
+each window whether an equal one starts in an earlier document. Buckets are chosen by anchor and second name mixed, so
+equal windows meet and an anchor that many documents hold is spread over all buckets. Effective width: 64 bits, plus the
+logarithm of the number of buckets for windows whose anchors differ.
 
 Defined results: a null or empty text has no words and keeps the empty string; texts shorter than a window lose
 nothing; rows that repeat a document id are ordered by their place in the input; null ids come after all others; an
@@ -186,8 +187,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     again[np.searchsorted(names, p.anchor[d:][second[d:] == second[:-d]])] = True
             yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, a[m]]))) for k, (a, m) in split(names, n, names, again)])
 
-    def chosen_of(p: Parsed, replies: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows with a shared anchor: the first of each kind in its batch, and those that follow another."""
+    def chosen_of(p: Parsed, replies: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows with a shared anchor: the first of each kind in its batch with its second name and the key of its
+        bucket, and those that follow another."""
         names = np.unique(p.anchor)
         hit = answered(replies, names, n).astype(bool)
         chosen = np.flatnonzero(hit[np.searchsorted(names, p.anchor)]) if len(names) else np.empty(0, np.int64)
@@ -196,22 +198,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = np.sort(first)
         again = np.ones(len(chosen), bool)
         again[first] = False
-        return chosen[first], second[first], chosen[again]
+        return chosen[first], second[first], mix2(p.anchor[chosen[first]], second[first], 17), chosen[again]
 
     def ask_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             batch = Texts(row)
             p = Parsed(batch, window, rounds)
-            chosen, second, _ = chosen_of(p, row["replies"])
+            chosen, second, key, _ = chosen_of(p, row["replies"])
             ids = batch.ids[p.doc[chosen]].view(np.uint64) if len(chosen) else np.empty(0, U)
-            yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, d]))) for k, (a, d) in split(p.anchor[chosen], n, second, ids)])
+            yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, d]))) for k, (a, d) in split(key, n, second, ids)])
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             batch = Texts(row)
             p = Parsed(batch, window, rounds)
-            chosen, second, again = chosen_of(p, row["replies"])
-            late = chosen[answered(row["later"], p.anchor[chosen], n).astype(bool)]
+            chosen, _, key, again = chosen_of(p, row["replies"])
+            late = chosen[answered(row["later"], key, n).astype(bool)]
             cover = np.zeros(len(p.starts) + 1, np.int32)
             for w in (p.window_at[late], p.window_at[again]):
                 np.add.at(cover, w, 1)

@@ -151,7 +151,11 @@ def _judge_strings(rows: pd.DataFrame) -> list[bytes]:
 
 
 def _strings(p: Blocks, replies: list | None, n: int) -> tuple:
-    """State of each block, and the distinct strings that the unsettled ones ask about."""
+    """State of each block, and the distinct strings that the unsettled ones ask about.
+
+    The strings come with the keys that choose their buckets: mixed from core and name, so equal for equal strings, and
+    a core that many documents hold is spread over all buckets.
+    """
     cores, _, _, kind = p.distinct()
     state = answered(replies, cores, n)[kind] if len(kind) else np.empty(0, np.uint8)
     _, first = np.unique(kind, return_index=True)
@@ -160,7 +164,7 @@ def _strings(p: Blocks, replies: list | None, n: int) -> tuple:
     asking &= state >= ASK
     places, names, core = p.singles(np.flatnonzero(asking))
     distinct, at, inverse, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-    return state, places, distinct, core[at], inverse, counts > 1
+    return state, places, distinct, mix2(core[at], distinct, 15), inverse, counts > 1
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -222,15 +226,15 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
 
     def ask_strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            _, _, names, core, _, multi = _strings(Blocks(Texts(row), length), row["replies"], n)
-            yield asked([(k, row["bid"], len(a), squeeze(a.tobytes() + x.astype(np.uint8).tobytes())) for k, (a, x) in split(core, n, names, multi)])
+            _, _, names, key, _, multi = _strings(Blocks(Texts(row), length), row["replies"], n)
+            yield asked([(k, row["bid"], len(a), squeeze(a.tobytes() + x.astype(np.uint8).tobytes())) for k, (a, x) in split(key, n, names, multi)])
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             batch = Texts(row)
             p = Blocks(batch, length)
-            state, places, names, core, inverse, _ = _strings(p, row["replies"], n)
-            hit = places[answered(row["later"], core, n).astype(bool)[inverse]] if len(places) else places
+            state, places, names, key, inverse, _ = _strings(p, row["replies"], n)
+            hit = places[answered(row["later"], key, n).astype(bool)[inverse]] if len(places) else places
             cover = np.zeros(len(p.padded) + 1, np.int32)
             sure = np.flatnonzero((state == REPEATED) | (state == REPEATED_ASK))
             np.add.at(cover, p.at[p.head[sure]], 1)

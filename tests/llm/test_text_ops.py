@@ -236,3 +236,45 @@ def test_suffixes_of_random_overlaps(spark):
         rows.append((i, "".join(r.choice(list("xyz"), r.integers(0, 30))) + base[a:a + int(r.integers(150, 900))] + "".join(r.choice(list("uvw"), r.integers(0, 300)))))
     got = by_id(tuple(x) for x in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute.removed_bytes(rows, suffixes.LENGTH)
+
+
+# 3 and 10: what one passage in many surroundings sends
+
+def largest_share(spark, monkeypatch, module, run):
+    """The result of run() and the largest bucket's share of the names sent in round two, of 32 buckets."""
+    sent, real = [], module.exchange
+
+    def spy(df, answer):
+        sent.append(df)
+        return real(df, answer)
+
+    monkeypatch.setattr(module, "exchange", spy)
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        rows = run()
+        n = [r.n for r in sent[1].groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    return rows, max(n) / sum(n)
+
+
+def test_a_common_passage_is_spread_over_the_buckets(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    letters = list("abcdefghij")
+    passage = "".join(r.choice(letters, 450))
+    rows = [(i, "".join(r.choice(letters, 300)) + passage + "".join(r.choice(letters, 300))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, share = largest_share(spark, monkeypatch, suffixes, lambda: by_id(tuple(x) for x in suffixes.remove_repeats(df).collect()))
+    assert got == brute.removed_bytes(rows, suffixes.LENGTH) and share < 0.1
+
+
+def test_a_common_phrase_is_spread_over_the_buckets(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    phrase = " ".join(f"p{x}" for x in r.integers(0, 10**6, 18))
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    rows = [(i, f"{word(30)} {phrase} {word(30)}") for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, share = largest_share(spark, monkeypatch, recompression, lambda: by_id(tuple(x) for x in recompression.remove_repeats(df, texts=False).collect()))
+    assert got == brute.removed_windows(rows, recompression.WINDOW) and share < 0.1
