@@ -4,10 +4,12 @@
    Texts with equal sets (128-bit digest) are one class, represented by the smallest id.
 2. Representatives that share a band key meet in a bucket. Signatures (8 bits of each minimum) estimate the Jaccard
    similarity; inside a bucket a search from one document to the next links what may be similar (five standard
-   deviations below the threshold) without forming all pairs.
+   deviations below the threshold) without forming all pairs. Buckets of more than ``TILE`` members never meet in one
+   task: each member is tied to the bucket's smallest row id, which keeps them in one component, so step 3 decides.
 3. Components of these candidates (large-star, small-star) are confirmed on full sets, fetched once per candidate:
-   again a search, whose every link has the exact similarity. Candidates of more than ``TILE`` documents are dealt as
-   pairs of blocks, each block with each other, so no task holds a whole hot group and no link is lost.
+   again a search, whose every link has the exact similarity. Candidates of more than ``TILE`` documents or
+   ``TILE_BYTES`` of sets are dealt as pairs of blocks, each block with each other, so no task holds a whole hot group
+   and no link is lost.
 4. Components of the confirmed links name the groups.
 
 Bands follow from the threshold: a pair at exactly that similarity shares none with a probability of at most ``MISS``.
@@ -42,6 +44,8 @@ MISS = 1e-6
 #: Minima of a band, and the number of bands beyond which bands get shorter instead.
 MOST_ROWS, MANY_BANDS = 5, 128
 TILE = 1500
+#: Bytes of sets in a block, on average; a tile holds two blocks.
+TILE_BYTES = 8 << 20
 _SALT = U(0x5EED0005)
 
 
@@ -180,7 +184,7 @@ def _bucket_edges(percent: int):
 
 
 def _fetch(size: int):
-    """The full sets of the wanted places of a batch, once per tile that asks."""
+    """The full sets of the wanted places of a batch, each once; a batch never asks for more than its own documents."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             names, at = shingle_sets(Texts(row), size)
@@ -189,9 +193,9 @@ def _fetch(size: int):
                 some = want[k:k + 500]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([w["rid"] for w in some], pa.int64()), pa.array([w["component"] for w in some], pa.int64()),
-                    pa.array([w["tiles"] for w in some], pa.int64()),
+                    pa.array([w["blocks"] for w in some], pa.int64()),
                     pa.array([squeeze(names[at[w["place"]]:at[w["place"] + 1]]) for w in some], pa.binary()),
-                ], names=["rid", "component", "tiles", "names"])
+                ], names=["rid", "component", "blocks", "names"])
     return run
 
 
@@ -227,28 +231,30 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of its group), kept (doc_id is that), one row per document."""
     spark = docs.sparkSession
     batches = pack(docs, id_col, text_col, name="minhash-batches")
     signed = written(batches.mapInArrow(trimmed(_sign(size, percent)), SIGNED), "minhash-signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "bid", "place")
     # One representative per set; its row id is the rank of its place, unique and stable because the table is written.
-    reps = signed.filter("digest is not null").groupBy("digest").agg(F.min_by(F.struct("bid", "place", "sig", "bands"), order).alias("r"), F.min(order).alias("o"))
+    reps = signed.filter("digest is not null").groupBy("digest").agg(F.min_by(F.struct("bid", "place", "n", "sig", "bands"), order).alias("r"), F.min(order).alias("o"))
     reps = written(reps.select("digest", "r.*", F.col("o.doc_id").alias("least_id"), (F.shiftrightunsigned("r.bid", 32) * (1 << 40) + F.col("r.bid").bitwiseAND((1 << 32) - 1) * (1 << 16) + F.col("r.place")).alias("rid")), "minhash-representatives")
     keys = reps.select("rid", F.explode("bands").alias("key"))
-    shared = keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key")
-    members = shared.join(reps.select("rid", "sig"), "rid")
-    maybe = by_group(members, parallelism(spark), ["key"], "u long, v long", _bucket_edges(percent))
-    candidates = components(maybe)
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    placed = candidates.join(sizes, "component").join(reps.select(F.col("rid").alias("node"), "bid", "place"), "node")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rid").alias("head")).filter("members > 1")
+    shared = keys.join(buckets, "key")
+    stars = shared.filter((F.col("members") > tile) & (F.col("rid") > F.col("head"))).select(F.col("rid").alias("u"), F.col("head").alias("v"))
+    members = shared.filter(F.col("members") <= tile).select("rid", "key").join(reps.select("rid", "sig"), "rid")
+    maybe = by_group(members, parallelism(spark), ["key"], "u long, v long", _bucket_edges(percent)).union(stars)
+    candidates = components(maybe).join(reps.select(F.col("rid").alias("node"), "bid", "place", "n"), "node")
+    size_of = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("long")
+    placed = candidates.join(candidates.groupBy("component").agg(size_of.alias("blocks")), "component")
+    wanted = placed.groupBy("bid").agg(F.collect_list(F.struct("place", F.col("node").alias("rid"), "component", "blocks")).alias("wanted"))
+    sets = batches.join(wanted, "bid").mapInArrow(trimmed(_fetch(size)), "rid long, component long, blocks long, names binary")
     # A hot component is dealt as pairs of blocks: block b goes to the tiles (min(b, k), max(b, k)) of all k.
-    b, k = F.pmod(F.xxhash64("node"), "blocks").cast("long"), F.col("k").cast("long")
-    tiles = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
-        "bid", F.struct("place", F.col("node").alias("rid"), "component", (F.least(b, k) * (1 << 31) + F.greatest(b, k)).alias("tiles")).alias("w"))
-    wanted = tiles.groupBy("bid").agg(F.collect_list("w").alias("wanted"))
-    sets = batches.join(wanted, "bid").mapInArrow(trimmed(_fetch(size)), "rid long, component long, tiles long, names binary")
+    b, k = F.pmod(F.xxhash64("rid"), "blocks").cast("long"), F.col("k").cast("long")
+    sets = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
+        "rid", "component", (F.least(b, k) * (1 << 31) + F.greatest(b, k)).alias("tiles"), "names")
     links = by_group(sets, parallelism(spark), ["component", "tiles"], "u long, v long", _confirm(percent))
     groups = components(links)
     ids = groups.join(reps.select(F.col("rid").alias("node"), "digest", "least_id"), "node")

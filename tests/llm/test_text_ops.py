@@ -199,6 +199,38 @@ def test_minhash_tiles_lose_no_link(spark):
         assert by_id(tuple(x) for x in minhash.near_duplicates(df, tile=tile).collect()) == want
 
 
+def hot_group(n=60):
+    r = np.random.default_rng(3)
+    base = [f"w{x}" for x in r.integers(0, 5000, 200)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in r.integers(0, 200, 2):
+            w[k] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_minhash_hands_no_hot_group_to_one_task(spark, monkeypatch):
+    """Neither a band's members nor a component's sets reach Python as one group: bounded by count and by bytes."""
+    rows = hot_group()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(d, n, c, c == d) for d, (n, c) in sorted(brute.linked_shingles(rows).items())]
+    real = minhash.by_group
+    for limits in ({"tile": 10}, {"tile_bytes": 12_000}):
+        seen = []
+
+        def spy(frame, n, keys, schema, fn):
+            seen.append((frame, keys))  # noqa: B023
+            return real(frame, n, keys, schema, fn)
+
+        monkeypatch.setattr(minhash, "by_group", spy)
+        assert by_id(tuple(x) for x in minhash.near_duplicates(df, **limits).collect()) == want
+        sizes = [frame.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0 for frame, keys in seen]
+        assert len(sizes) == 2 and sizes[1] < 45
+        assert "tile" not in limits or sizes[0] <= limits["tile"]
+
+
 def test_minhash_edges(spark, odd):
     got = by_id(tuple(r) for r in minhash.near_duplicates(odd).collect())
     of = {r[0]: r for r in got}
