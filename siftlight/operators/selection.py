@@ -35,6 +35,23 @@ def ordered(files: DataFrame, *keys: Column) -> DataFrame:
     return files.orderBy(*(keys or (F.col("name"),)), F.col("file_key"))
 
 
+def numbered(files: DataFrame, path: str, *keys: Column) -> DataFrame:
+    """All files in the order of ``ordered``, with their ``place`` in it (from 1).
+
+    Sorted ranges are numbered inside, each from the count of those before it, so no task holds all rows. They are
+    written to ``path`` first: ranges are cut from a sample, and counts and numbers must see the same cut.
+    """
+    spark, order = files.sparkSession, (*(keys or (F.col("name"),)), F.col("file_key"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = ranges.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    placed = inside.join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + F.col("_inside")).cast("bigint"))
+    return placed.drop("_range", "_inside", "_before").orderBy("place")
+
+
 def rated_names(files: DataFrame, records: DataFrame, min_rating: int, query: str = "") -> DataFrame:
     """Names of searched files with at least the rating."""
     return visible(files, records, query, min_rating).select("catalog", "name")

@@ -45,9 +45,15 @@ def tag_store_stream(spark: SparkSession, d: str) -> DataFrame:
     return tags.store_of(spark.read.parquet(f"{path}/changes"))
 
 
-QUERIES = {f.__name__: f for f in (tag_store_json_roundtrip, include_list, tag_store_stream)}
+def sort_by_size_desc_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every file in order of size, not the first hundred."""
+    return selection.numbered(s.files(spark, d), _scratch(spark), F.col("size").desc()).select("name", "size", "place")
+
+
+QUERIES = {f.__name__: f for f in (tag_store_json_roundtrip, include_list, tag_store_stream, sort_by_size_desc_all)}
 ORACLE = {
     "tag_store_json_roundtrip": _REVIEW_SQL["tag_store_fold"],
     "tag_store_stream": _REVIEW_SQL["tag_store_fold"],
+    "sort_by_size_desc_all": f"WITH {s.FILES} SELECT name, size, row_number() OVER (ORDER BY size DESC, file_key) AS place FROM files",
     "include_list": f"WITH {s.RECORDS} SELECT DISTINCT name FROM rated WHERE rating >= 3",
 }

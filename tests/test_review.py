@@ -54,6 +54,20 @@ def test_first_record_wins_and_missing_ratings_are_zero(spark):
     assert got == {"a": (2, True), "b": (0, True), "c": (0, False), "d": (0, False)}
 
 
+def test_the_whole_table_is_sorted_and_numbered(spark, tmp_path):
+    from siftlight.plans import registry
+
+    r = random.Random(4)
+    rows = [(f"k{i:04}", r.choice([None, 7, 7, r.randint(0, 99)])) for i in range(700)]  # one size is hot
+    df = spark.createDataFrame(rows, "file_key string, size long").repartition(5)
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    got = selection.numbered(df, str(tmp_path / "n"), F.col("size").desc()).collect()
+    assert [(x.file_key, x.size) for x in got] == want and [x.place for x in got] == list(range(1, 701))
+    assert selection.numbered(df.filter("false"), str(tmp_path / "none"), F.col("size").desc()).count() == 0
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert files > 100 and registry.queries()["sort_by_size_desc_all"](spark, "/root/testdata/sf0.001").count() == files
+
+
 def log(n, seed):
     r = random.Random(seed)
     ops = r.choices(["toggle", "rate", "reset", "reset_all"], [60, 30, 3, 0.3], k=n)
