@@ -1,18 +1,18 @@
-"""The tag store and progress as streams: state per catalog, because a reset touches every file of a catalog."""
+"""The tag store and progress as streams.
 
-from __future__ import annotations
+A stream of operations is kept as a log of effective ones. A reset touches every file of a catalog, and is one row of the
+log; the store is folded from the log when it is read. So no task and no state row ever holds a catalog, and operations
+may arrive in any order of seq.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import tagging
 from ..operators.tagging import NEW_RATING
 
-CHANGES = "catalog string, name string, rating int, tagged boolean, seq long"
-
 
 def step(records: dict[str, int], name: str | None, op: str, rating: int | None, new_rating: int = NEW_RATING) -> list[tuple[str, int | None, bool]]:
     """Apply one operation; the changes it makes."""
@@ -35,24 +35,17 @@ def step(records: dict[str, int], name: str | None, op: str, rating: int | None,
 
 
 def tag_changes(ops: DataFrame) -> DataFrame:
-    """The changes that a stream of operations makes; operations of a batch are applied in order of seq."""
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        records = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-            rating = None if pd.isna(r.rating) else int(r.rating)
-            out += [(key[0], *c, r.seq) for c in step(records, r.name, r.op, rating)]
-        state.update((list(records), list(records.values())))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"rating": "Int32"})
-
-    return ops.groupBy("catalog").applyInPandasWithState(update, CHANGES, "names array<string>, ratings array<int>", "append", GroupStateTimeout.NoTimeout)
+    """The operations of a stream that can change a store: toggles and ratings of a name, and resets."""
+    resets = F.col("op").isin("reset", "reset_all")
+    rating = F.when(F.col("op") == "rate", F.col("rating")).cast("int").alias("rating")
+    return ops.filter(resets | F.col("op").isin("toggle", "rate") & F.col("name").isNotNull()).select(
+        "catalog", F.when(~resets, F.col("name")).alias("name"), "op", rating, "seq")
 
 
 def store_of(changes: DataFrame) -> DataFrame:
-    """The store after a log of changes: the last change of each name, if it left a tag."""
-    last = changes.groupBy("catalog", "name").agg(F.max_by(F.struct("rating", "tagged"), "seq").alias("s"))
-    return last.filter("s.tagged").select("catalog", "name", F.col("s.rating").alias("rating"))
+    """The store after a log of changes."""
+    # New names for the columns: the fold joins the log with its own resets, and a memory sink's table cannot be.
+    return tagging.fold(changes.select(*[F.col(c).alias(c) for c in ("catalog", "name", "op", "rating", "seq")]))
 
 
 def cache_counters(requests: DataFrame) -> DataFrame:

@@ -24,6 +24,20 @@ def test_tag_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert sorted(tags.store_of(spark.table("changes")).collect()) == sorted(batch.collect())
 
 
+def test_tag_stream_hands_no_catalog_to_one_task(spark, tmp_path):
+    """A hot catalog, resets of all catalogs and operations that arrive late; nothing is grouped while streaming."""
+    ops = [(s, "hot" if s % 3 else c, n, o, r) for s, c, n, o, r in log(400, 12)]
+    ops = [(s, None if o == "reset_all" else c, n, o, r) for s, c, n, o, r in ops]
+    schema = "seq long, catalog string, name string, op string, rating int"
+    for k in (300, 100, 200, 0):
+        spark.createDataFrame(ops[k:k + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ops"))
+    q = run(tags.tag_changes(source), "late", "append")
+    assert "FlatMapGroups" not in q._jsq.explainInternal(False) and not q.lastProgress["stateOperators"]
+    batch = tagging.fold(spark.createDataFrame(ops, schema))
+    assert sorted(tags.store_of(spark.table("late")).collect()) == sorted(batch.collect())
+
+
 def test_counters_and_progress(spark, tmp_path):
     spark.createDataFrame([("ram", "r", 4), ("ram", "r", 4), ("disk", "r", 4)], "tier string, run string, total int").write.parquet(str(tmp_path / "q"))
     source = lambda: spark.readStream.schema("tier string, run string, total int").parquet(str(tmp_path / "q"))
