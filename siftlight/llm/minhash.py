@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of distinct word shingles (64-bit names), its minima and their band keys.
    Texts with equal sets (128-bit digest) are one class, represented by the smallest id.
-2. Representatives that share a band key meet in a bucket. Signatures (8 bits of each minimum) estimate the Jaccard
+2. Representatives that share a band key meet in a bucket. Signatures (8 bits of each mixed minimum) estimate the Jaccard
    similarity; inside a bucket a search from one document to the next links what may be similar (five standard
    deviations below the threshold) without forming all pairs. Buckets of more than ``TILE`` members never meet in one
    task: each member is tied to the bucket's smallest row id, which keeps them in one component, so step 3 decides.
@@ -122,7 +122,7 @@ def _sign(size: int, percent: int):
             sig = np.zeros((len(n), per_band * bands), U)
             if len(full):
                 sig[full] = signatures(names, np.append(at[:-1][full], at[-1]), per_band * bands)
-            low = np.ascontiguousarray((sig >> U(56)).astype(np.uint8))
+            low = np.ascontiguousarray((mix(sig) >> U(56)).astype(np.uint8))  # minima of long sets are near 0: mixed first
             keys = mix(sig ^ U(0xBA4D)).reshape(len(n), bands, per_band)
             band = np.zeros((len(n), bands), U)
             for r in range(per_band):

@@ -199,6 +199,24 @@ def test_minhash_tiles_lose_no_link(spark):
         assert by_id(tuple(x) for x in minhash.near_duplicates(df, tile=tile).collect()) == want
 
 
+def test_signatures_tell_unrelated_long_sets_apart():
+    import pandas as pd
+    import pyarrow as pa
+    from siftlight.llm.textkit import squeeze
+
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**9, 1004)).encode() for _ in range(12)]
+    near = texts[0].split(b" ")
+    near[500:510] = [b"other"] * 10
+    texts.append(b" ".join(near))
+    row = {"bid": 0, "ids": squeeze(np.arange(13)), "offsets": squeeze(np.cumsum([0, *map(len, texts)])), "texts": squeeze(b"".join(texts))}
+    out = next(minhash._sign(5, 85)(iter([pa.RecordBatch.from_pandas(pd.DataFrame([row]))])))
+    assert out.column("n").to_pylist()[:12] == [1000] * 12
+    sig = np.array([np.frombuffer(x, np.uint8) for x in out.column("sig").to_pylist()])
+    share = (sig[:, None] == sig[None]).mean(2)
+    assert share[:12, :12][~np.eye(12, dtype=bool)].max() < 0.1 and share[0, 12] >= minhash._threshold(85)
+
+
 def hot_group(n=60):
     r = np.random.default_rng(3)
     base = [f"w{x}" for x in r.integers(0, 5000, 200)]
