@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parallelism, written, written_by
+from .common import bounded_batches, parallelism, written, written_by
 from .textkit import squeeze, text_buffers, trimmed, unsqueeze
 
 BATCH_BYTES = 1 << 20
@@ -78,9 +78,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
 
     schema = pa.schema([("bid", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] * carry))
-    bound_batches(docs.sparkSession)
     out = rows.mapInArrow(trimmed(fold), BATCH)
-    return written_by(out, name, "bid", buckets) if buckets else written(out, name)
+    with bounded_batches(docs.sparkSession):
+        return written_by(out, name, "bid", buckets) if buckets else written(out, name)
 
 
 class Texts:

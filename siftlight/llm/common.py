@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -46,15 +47,20 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows in a record batch handed to Python; texts are long, and a batch is in memory several times.
-BATCH_ROWS = 1500
+#: Bytes of a record batch handed to Python: a batch is in memory several times.
+BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep record batches small for this session, whatever it is set to above that."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession):
+    """Bound record batches by bytes while something is written; the session is left as it was found."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
 from .textkit import text_buffers, trimmed
 
 HIDDEN = 8
@@ -190,7 +189,6 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if carry:
         schema.add("row", docs.schema)
-    bound_batches(docs.sparkSession)
     return rows.mapInArrow(trimmed(run), schema)
 
 

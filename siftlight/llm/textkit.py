@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,8 +89,46 @@ def words(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words up to this many bytes are named lane by lane, longer ones by a cryptographic hash.
+LANES = 8
+
+
+def lanes(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number."""
+    raw = np.zeros(len(padded) + 8, np.uint8)
+    raw[:len(padded)] = padded
+    return np.ndarray((len(padded),), "<u8", raw, 0, (1,))
+
+
 def word_names(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(BYTE_NAMES[padded]).of(starts, ends)
+    """A 64-bit name for each word: eight bytes at a time are mixed in, so a name is no sum over its letters."""
+    size = ends - starts
+    at = lanes(padded)
+    out = mix(at[starts] & _LANE_MASKS[np.minimum(size, 8)] ^ size.astype(U) * _K1)
+    for k in range(1, LANES):
+        more = np.flatnonzero(size > 8 * k)
+        if not len(more):
+            return out
+        out[more] = mix(out[more] * _K2 + (at[starts[more] + 8 * k] & _LANE_MASKS[np.minimum(size[more] - 8 * k, 8)]))
+    for i in np.flatnonzero(size > 8 * LANES):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_words(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word is letter by letter the word numbered ``other``."""
+    size = ends - starts
+    at = lanes(padded)
+    same = size == size[other]
+    head = _LANE_MASKS[np.minimum(size, 8)]
+    same &= (at[starts] & head) == (at[starts[other]] & head)
+    more = np.flatnonzero(same & (size > 8))
+    same[more] = at[ends[more] - 8] == at[ends[other[more]] - 8]
+    for i in np.flatnonzero(same & (size > 16)):
+        j = other[i]
+        same[i] = i == j or np.array_equal(padded[starts[i]:ends[i]], padded[starts[j]:ends[j]])
+    return same
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

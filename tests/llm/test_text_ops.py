@@ -95,8 +95,49 @@ def test_best_fit_plan():
         assert total <= 1.23 * -(-int((lengths * counts).sum()) // 100) + 1
 
 
+def test_runs_of_words_give_the_tokenizer_s_ids(docs):
+    from siftlight.llm.textkit import text_buffers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.word_bpe())
+    odd = ["It's don't ÀÉß ŸČ ı İ x1y22 a.b,c** '' 's <|endoftext|>x é\u0301 \u00b5 ﬁ 日本 ١ a\u00a0b", "", " \t ", "x" * 5000 + " END", "".join(map(chr, range(1, 0x250)))]
+    texts = [r.text for r in docs.select("text").collect()] + odd
+    data, offsets = text_buffers(pa.array(texts))
+    ids, bounds = packing.WordTokenizer.at(packing.word_bpe()).encode(data, offsets)
+    assert all(ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids for t, a, b in zip(texts, bounds, bounds[1:]))
+
+
+def test_sweeps_are_as_tight_as_a_plan_on_one_machine(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 50)
+    for seed, most in ((0, 101), (1, 30), (2, 8)):
+        r = np.random.default_rng(seed)
+        lengths = r.integers(1, most, 300).tolist()
+        cut = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], packing.PIECES)
+        rows = packing.pack(cut, 100).collect()
+        assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+        assert gapless(rows, 100) <= 1.02 * packing.best_fit(*np.unique(lengths, return_counts=True), 100)[1] + 1
+
+
 # 3 substring dedup
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_different_words_are_never_one(spark, n):
+    a, b = thue_morse(n)
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([a] * 5)), (4, " ".join([b] * 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in recompression.remove_repeats(df).collect()] == [0] * 4
+    assert all(r.kept for r in minhash.near_duplicates(df.filter("doc_id > 2")).collect())
+
+
 def test_recompression_equals_brute_force(spark, docs, pairs):
     got = by_id(tuple(r) for r in recompression.remove_repeats(docs, texts=False).collect())
     assert got == brute.removed_windows(pairs, recompression.WINDOW)
