@@ -32,10 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """As ``written``, in ``n`` hash buckets of ``key``: joins on the key with as many partitions don't shuffle it."""
+    """As ``written``, in ``n`` hash buckets of ``key``: joins on the key with as many partitions don't shuffle it.
+
+    The catalog forgets the table at once; its files and the plan that reads them stay.
+    """
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.option("compression", "zstd").option("path", scratch_path(df.sparkSession, name)).bucketBy(n, key).saveAsTable(table)
-    return df.sparkSession.table(table)
+    out = df.sparkSession.table(table)
+    out.schema  # resolved before the name goes
+    df.sparkSession.sql(f"DROP TABLE {table}")
+    return out
 
 
 def discard(df: DataFrame) -> None:

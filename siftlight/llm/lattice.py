@@ -2,18 +2,21 @@
 
 The model is BPE with byte fallback; a text becomes its characters with every space written as U+2581 and one in front.
 No piece holds U+2581 after another character, so a text falls into units (a run of U+2581 and what follows) that are
-encoded by themselves, and each distinct unit is encoded once:
-
-1. batches send their distinct units, by hash, to buckets, which pass each unit on once; both tables are laid out by
-   bucket, so nothing below moves units again;
-2. the lattice of a unit: its substrings up to the longest piece are exploded and equi-joined to the piece table (a
-   broadcast bounded by the vocabulary), and the edges are grouped by unit;
-3. a higher-order aggregate folds over the edges. The state is the set of token boundaries as a bit mask; a step takes
-   the best edge that spans exactly two tokens, and drops the boundary between them. That is the path BPE takes: a sum
-   of piece scores, as Viterbi maximises it for unigram models, gives other tokens than a BPE model's own.
+encoded by themselves; a long unit also ends between two characters that stand together in no piece. Each distinct unit
+is encoded once:
+
+1. batches send their distinct units, by hash, to buckets, which number them; both tables are laid out by bucket, so
+   nothing below moves units again;
+2. the lattice of a unit: its substrings from two characters up to the longest piece are exploded and equi-joined to the
+   piece table (a broadcast bounded by the vocabulary), and the edges are grouped by unit, in order of rank, then place;
+3. a higher-order aggregate folds over the edges. The state is the set of token boundaries as a bit mask: an edge whose
+   two ends are still boundaries drops those between them. For that order of the edges this is the path BPE takes,
+   because the edges before a piece leave it as two tokens (``Model`` checks that for every piece). A sum of piece
+   scores, as Viterbi maximises it for unigram models, gives other tokens than a BPE model's own;
 4. the buckets answer each batch with the ids of its units, and the batch puts its documents together.
 
-Units beyond 62 characters do not fit the mask; the buckets leave those to the library.
+Units beyond the 62 characters of the mask have the same lattice; their edges are folded by the same rule over a byte
+for each boundary, in the bucket.
 
 Defined results: a null or empty text has no ids; null ids stay; repeated rows are encoded each; an empty table gives an
 empty result; other columns are not read. U+2581 in a text is a space to the model, and decodes as one.
@@ -22,11 +25,10 @@ empty result; other columns are not read. U+2581 in a text is a space to the mod
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +39,13 @@ from .common import parallelism, written_by
 from .textkit import ranges, trimmed
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-LONGEST = 62
+#: Characters of a unit whose boundaries fit a bit mask.
+MASK = 62
 BATCH_BYTES = 24 << 20
 #: Bytes of text for each bucket of units.
 BUCKET_BYTES = 6 << 20
-#: Stands for a character that is no piece.
-NO_ID = (1 << 20) - 1
+#: Bytes of input for each file of the tables that are laid out by bucket, and the most files there can be.
+FILE_BYTES, MOST_FILES = 256 << 20, 100_000
 
 
 def default_model() -> str:
@@ -70,12 +72,82 @@ class Model:
         self.sizes = np.array([len(b) for b in raw])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        normal = [p for p in self.pieces if p[3] == self.NORMAL]
+        #: Rank 0 is the best score; equal scores share a rank.
+        self.rank = {s: k for k, s in enumerate(sorted({p[2] for p in normal}, reverse=True))}
+        self.known = {p: (self.rank[s], i) for p, i, s, _ in normal}
+        self.neighbours = {p[k:k + 2] for p in self.known for k in range(len(p) - 1)}
+        self.single = {p: i for p, (_, i) in self.known.items() if len(p) == 1}
+        if len(self.pieces) >= 1 << 20 or self.longest > 31 or len(self.rank) >= 1 << 17:
+            raise ValueError("the vocabulary does not fit the packed edges")
+        runs = {p[0] for p in self.known if len(p) > 1 and p == p[0] * len(p)}
+        odd = next((p for p in self.known if len(p) > 1 and p != p[0] * len(p) and self._tokens_below(p) != 2), None)
+        odd = odd or next((c * n for c in runs for n in range(2, 3 * self.longest) if self._swept(c * n) != self._merged(c * n)), None)
+        if odd is not None:
+            raise ValueError(f"not a vocabulary of merges: {odd!r} is not made of two better pieces")
+
+    def _edges(self, text: str) -> list[tuple[int, int, int]]:
+        """(rank, start, end) of the pieces in a text, in the order of the fold."""
+        n = len(text)
+        return sorted((self.known[text[a:b]][0], a, b) for a in range(n) for b in range(a + 2, min(n, a + self.longest) + 1) if text[a:b] in self.known)
+
+    def _tokens_below(self, piece: str) -> int:
+        """Tokens that the edges before it leave of a piece: better-ranked ones, and shorter ones of its rank and start."""
+        top, n = self.known[piece][0], len(piece)
+        return len(self._swept(piece, (top, 0, n))) - 1
+
+    def _swept(self, text: str, upto: tuple | None = None) -> list[int]:
+        """Boundaries after a pass over the edges (before ``upto``)."""
+        alive = bytearray([1]) * (len(text) + 1)
+        for e in self._edges(text):
+            if (upto is None or e < upto) and alive[e[1]] and alive[e[2]]:
+                alive[e[1] + 1:e[2]] = bytes(e[2] - e[1] - 1)
+        return [k for k, x in enumerate(alive) if x]
+
+    def _merged(self, text: str) -> list[int]:
+        """Boundaries after merging the best neighbours, leftmost first, again and again: only for the check above."""
+        at = list(range(len(text) + 1))
+        while True:
+            found = [(self.known[text[a:b]][0], a, b) for a, b in zip(at[:-2], at[2:], strict=False) if text[a:b] in self.known]
+            if not found:
+                return at
+            _, a, b = min(found)
+            at = [k for k in at if not a < k < b]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, rank): rank 0 is the best score; equal scores share a rank."""
-        normal = [p for p in self.pieces if p[3] == self.NORMAL]
-        rank = {s: k for k, s in enumerate(sorted({p[2] for p in normal}, reverse=True))}
-        return spark.createDataFrame([(p, i, rank[s]) for p, i, s, _ in normal], "piece string, id int, rank int")
+        """(piece, id, rank) of the pieces of two characters and more."""
+        return spark.createDataFrame([(p, i, r) for p, (r, i) in self.known.items() if len(p) > 1], "piece string, id int, rank int")
+
+    def characters(self, text: str) -> list[int]:
+        """Ids of characters by themselves: pieces, or else their bytes."""
+        return [i for c in text for i in ([self.single[c]] if c in self.single else [self.first_byte + x for x in c.encode()])]
+
+    def cut(self, unit: str) -> list[str]:
+        """A long unit, cut between characters that stand together in no piece."""
+        if len(unit) <= MASK:
+            return [unit]
+        at = [0, *[k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in self.neighbours], len(unit)]
+        return [unit[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def ids(self, unit: str, edges: list[int]) -> list[int]:
+        """Ids of a unit from the edges on its path in order of place or, of a unit beyond the mask, all its edges."""
+        place = lambda e: (e >> 25 & (1 << 21) - 1, e >> 20 & 31)
+        if len(unit) > MASK:
+            alive, path = bytearray([1]) * (len(unit) + 1), {}
+            for e in edges:
+                s, m = place(e)
+                if alive[s] and alive[s + m]:
+                    alive[s + 1:s + m] = bytes(m - 1)
+                    path[s] = e
+            edges = [path[s] for s in sorted(path) if alive[s] and not any(alive[s + 1:s + place(path[s])[1]])]
+        out, at = [], 0
+        for e in edges:
+            s, m = place(e)
+            if s > at:
+                out += self.characters(unit[at:s])
+            out.append(e & (1 << 20) - 1)
+            at = s + m
+        return out + self.characters(unit[at:]) if at < len(unit) else out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids, UTF-8, without the space in front."""
@@ -83,40 +155,37 @@ class Model:
         return out[1:] if out[:1] == b" " else out
 
 
-def normalise(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+#: Starts in one block of a long unit: a substring costs its distance from the block's beginning.
+BLOCK = 64
+BLOCKS = "bucket long, k int, n int, base int, starts int, block string"
+
+
+def blocks(k: int, unit: str, longest: int) -> list[tuple[int, int, int, int, str]]:
+    """A unit's rows of ``BLOCKS``: of a long one, blocks that overlap by what a piece may reach beyond them."""
+    n = len(unit)
+    size = n if n <= MASK else BLOCK
+    return [(k, n, at, min(size, n - 1 - at), unit[at:at + size + longest - 1]) for at in range(0, n - 1, size)]
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(bucket, unit, ids) of a DataFrame of distinct units (columns ``bucket`` and ``unit``) of up to 62 characters.
+    """(bucket, k, edges) of distinct units (rows of ``BLOCKS``) that have an edge; see ``Model.ids``.
 
     Exploding and the broadcast join leave a partitioning by bucket in place, so grouping the edges moves nothing.
     """
-    spark = units.sparkSession
-    n = F.char_length("unit")
-    if len(model.pieces) >= NO_ID or model.longest > 31:
-        raise ValueError("the vocabulary does not fit the packed edges")
-    cut = units.filter(n <= LONGEST).select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    cut = cut.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("m"))
-    cut = cut.select("bucket", "unit", "s", "m", F.expr("substring(unit, s + 1, m)").alias("piece"))
-    edges = cut.join(F.broadcast(model.table(spark)), "piece", "left").filter("m = 1 or id is not null")
-    # An edge is one number, so that it sorts by rank, then place: rank, start (6 bits), length (5), id (20).
-    packed = f"shiftleft(coalesce(cast(rank as bigint), 0L), 31) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | coalesce(id, {NO_ID})"
-    lattice = edges.select("bucket", "unit", F.expr(packed).alias("e")).groupBy("bucket", "unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    # ends: the two boundaries of the edge; mid: those strictly between
-    place = "cast(shiftright(e, 25) & 63 as int) as s, cast((shiftright(e, 25) & 63) + (shiftright(e, 20) & 31) as int) as t, cast(e & 1048575 as int) as id"
-    lattice = lattice.select("bucket", "unit", F.expr(f"transform(edges, e -> struct({place}))").alias("edges"))
-    bits = "shiftleft(1L, e.s) | shiftleft(1L, e.t) as ends, (shiftleft(1L, e.t) - 1) ^ (shiftleft(2L, e.s) - 1) as mid"
-    lattice = lattice.select("bucket", "unit", F.expr(f"transform(edges, e -> struct(e.s, e.id, {bits}))").alias("edges"))
-    lattice = lattice.select("bucket", "unit", "edges", F.expr("filter(edges, e -> e.mid <> 0)").alias("merges"))
-    folded = lattice.select("bucket", "unit", "edges", F.expr("""aggregate(
-        if(size(merges) = 0, array(), sequence(1, char_length(unit) - 1)),
-        shiftleft(1L, char_length(unit)) * 2 - 1,
-        (b, k) -> coalesce(b & ~get(filter(merges, e -> (b & e.ends) = e.ends and bit_count(b & e.mid) = 1), 0).mid, b))""").alias("b"))
-    path_edges = F.expr("array_sort(transform(filter(edges, e -> (b & e.ends) = e.ends and (b & e.mid) = 0), e -> struct(e.s, e.id)))")
-    tokens = folded.select("bucket", "unit", path_edges.alias("tokens"))
-    return tokens.select("bucket", "unit", F.expr(f"""flatten(transform(tokens, t -> if(t.id <> {NO_ID}, array(t.id),
-        transform(sequence(1, octet_length(substring(unit, t.s + 1, 1))), k -> cast(conv(substring(hex(substring(unit, t.s + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + {model.first_byte}))))""").alias("ids"))
+    cut = units.select("bucket", "k", "n", "base", "block", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
+    reach = F.least(F.lit(model.longest), F.char_length("block") - F.col("s"))
+    cut = cut.select("bucket", "k", "n", "base", "block", "s", F.explode(F.sequence(F.lit(2), reach)).alias("m"))
+    cut = cut.select("bucket", "k", "n", (F.col("base") + F.col("s")).alias("s"), "m", F.expr("substring(block, s + 1, m)").alias("piece"))
+    edges = cut.join(F.broadcast(model.table(units.sparkSession)), "piece")
+    # An edge is one number, so that it sorts by rank, then place: rank (17 bits), start (21), length (5), id (20).
+    packed = "shiftleft(cast(rank as bigint), 46) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | id"
+    lattice = edges.select("bucket", "k", "n", F.expr(packed).alias("e")).groupBy("bucket", "k", "n").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    s, t = "cast(shiftright(e, 25) & 63 as int)", "cast((shiftright(e, 25) & 63) + (shiftright(e, 20) & 31) as int)"
+    ends, between = f"(shiftleft(1L, {s}) | shiftleft(1L, {t}))", f"((shiftleft(1L, {t}) - 1) ^ (shiftleft(2L, {s}) - 1))"
+    folded = lattice.select("bucket", "k", "n", "edges", F.expr(f"""if(n > {MASK}, 0L, aggregate(
+        edges, -1L, (b, e) -> if((b & {ends}) = {ends}, b & ~{between}, b)))""").alias("b"))
+    path = F.expr(f"array_sort(filter(edges, e -> (b & {ends}) = {ends} and (b & {between}) = 0), (x, y) -> cast((shiftright(x, 25) & 63) - (shiftright(y, 25) & 63) as int))")
+    return folded.select("bucket", "k", F.when(F.col("n") > MASK, F.col("edges")).otherwise(path).alias("edges"))
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -127,70 +196,100 @@ def _unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _bucket(unit: str, n: int) -> int:
+def _bucket(unit: bytes, n: int) -> int:
     import xxhash
 
     return xxhash.xxh32_intdigest(unit) % n
 
 
+def _words(text: bytes) -> list[bytes]:
+    """What stands between single spaces; further spaces stay in front of the word they precede."""
+    words = text.split(b" ") if text else []
+    if b"" not in words[:-1]:
+        return words
+    out, spaces = [], b""
+    for w in words[:-1]:
+        if w:
+            out.append(spaces + w)
+            spaces = b""
+        else:
+            spaces += b" "
+    return [*out, spaces + words[-1]]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (unsigned 32-bit little-endian), round_trip and (if asked) ids as array<int>."""
     shuffles = parallelism(docs.sparkSession)
-    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches", level=6, buckets=shuffles)
-    n = max(shuffles, int((batches.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    files = max(shuffles, min(size // FILE_BYTES, MOST_FILES))
+    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches", level=6, buckets=files)
+    n = max(files, size // BUCKET_BYTES)
     model = Model(model_path)
     width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
+    space = SPACE.encode()
 
-    def units_of(row: dict) -> Iterator[tuple[int, str]]:
+    def texts_of(row: dict) -> list[bytes]:
         t = Texts(row)
         raw, offs = t.data.tobytes(), t.offsets.tolist()
-        for i in range(len(offs) - 1):
-            yield i, normalise(raw[offs[i]:offs[i + 1]].decode("utf-8", "replace"))
-
-    def by_bucket(row: dict) -> dict[int, list[str]]:
-        """The distinct units of a batch, sorted, by bucket."""
-        found: set[str] = set()
-        for _, text in units_of(row):
-            found.update(UNIT.findall(text))
-        by: dict[int, list[str]] = {}
-        for u in found:
+        texts = [raw[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            texts = [x.decode("utf-8", "replace").encode() for x in texts]
+        return [x.replace(space, b" ") for x in texts] if space in raw else texts
+
+    def units_of(word: bytes) -> list[bytes]:
+        unit = space + word.replace(b" ", space)
+        return [unit] if len(word) < MASK else [u.encode() for u in model.cut(unit.decode())]
+
+    def by_bucket(found: set[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
+        """The distinct units of a batch, sorted, by bucket; and the units of each word."""
+        by: dict[int, list[bytes]] = {}
+        made = {w: units_of(w) for w in found}
+        for u in {u for units in made.values() for u in units}:
             by.setdefault(_bucket(u, n), []).append(u)
         for units in by.values():
             units.sort()
-        return by
+        return by, made
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            by = by_bucket(row)
+            by, _ = by_bucket({w for x in texts_of(row) for w in _words(x)})
             keys = list(by)
-            bodies = [_squeeze(_joined(by[k])) for k in keys]
+            bodies = [_squeeze(b" ".join(by[k])) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row["bid"]] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
 
-    def distinct(rows: pd.DataFrame) -> pd.DataFrame:
-        every: set[str] = set()
-        for b in rows["body"]:
-            every.update(u for u in _parted(_unsqueeze(b)) if len(u) <= LONGEST)
-        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "unit": sorted(every)})
-
-    def reply(sent: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        import sentencepiece
-
-        ids_of, library, bodies = dict(zip(known["unit"], known["ids"], strict=True)), None, []
-        for b in sent["body"]:
-            got = []
-            for u in _parted(_unsqueeze(b)):
-                if u not in ids_of:  # beyond the mask
-                    library = library or sentencepiece.SentencePieceProcessor(model_file=model_path)
-                    ids_of[u] = np.array(library.encode(u[1:]), np.int32)
-                got.append(ids_of[u])
-            sizes = np.array([len(g) for g in got], np.uint32)
-            bodies.append(_squeeze(sizes.tobytes() + np.concatenate([*got, np.empty(0, np.int32)]).astype(width).tobytes()))
-        return pd.DataFrame({"bid": sent["bid"], "bucket": sent["bucket"], "body": bodies})
+    def numbered(bodies: pa.ChunkedArray) -> list[bytes]:
+        """The distinct units of a bucket; their order numbers them."""
+        return sorted({u for b in bodies for u in _unsqueeze(b.as_py()).split(b" ")})
+
+    def distinct(rows: pa.Table) -> pa.Table:
+        made = [row for k, u in enumerate(numbered(rows.column("body"))) for row in blocks(k, u.decode(), model.longest)]
+        cols = list(zip(*made, strict=True)) or [[]] * 5
+        kinds = [pa.int32()] * 4 + [pa.string()]
+        return pa.table([pa.array([rows.column("bucket")[0].as_py()] * len(made), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+    def reply(sent: pa.Table, paths: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(paths.column("k")), kind="stable")
+        lists = paths.column("edges").combine_chunks().take(pa.array(order))
+        flat, ends = lists.flatten().to_pylist(), np.cumsum(np.asarray(lists.value_lengths(), np.int64)).tolist()
+        k_of, at, ids_of = np.asarray(paths.column("k"))[order].tolist(), 0, {}
+        units = numbered(sent.column("body"))
+        for k, end in zip(k_of, ends, strict=True):
+            ids_of[units[k]] = model.ids(units[k].decode(), flat[at:end])
+            at = end
+        bodies = []
+        for b in sent.column("body"):
+            got = [ids_of[u] if u in ids_of else model.characters(u.decode()) for u in _unsqueeze(b.as_py()).split(b" ")]
+            sizes = np.fromiter(map(len, got), np.uint32, len(got))
+            bodies.append(_squeeze(sizes.tobytes() + np.fromiter(chain.from_iterable(got), width, int(sizes.sum())).tobytes()))
+        return pa.table({"bid": sent.column("bid"), "bucket": sent.column("bucket"), "body": pa.array(bodies, pa.binary())})
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            ids_of: dict[str, bytes] = {}
-            own = by_bucket(row)
+            ids_of: dict[bytes, bytes] = {}
+            texts = texts_of(row)
+            own, made = by_bucket({w for x in texts for w in _words(x)})
             for r in row["replies"] or []:
                 names, raw = own.pop(r["bucket"]), _unsqueeze(r["body"])
                 ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4).tolist()
@@ -198,22 +297,21 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 for u, end in zip(names, ends, strict=True):
                     ids_of[u] = wide[at:end]
                     at = end
+            of_word = {w: ids_of[u[0]] if len(u) == 1 else b"".join(map(ids_of.__getitem__, u)) for w, u in made.items()}
             doc_ids, out = id_column(Texts(row).ids), []
-            for i, text in units_of(row):
-                buf = b"".join(map(ids_of.__getitem__, UNIT.findall(text)))
+            for i, text in enumerate(texts):
+                buf = b"".join(map(of_word.__getitem__, _words(text)))
                 tokens = np.frombuffer(buf, np.uint32)
-                same = model.decode(tokens) == text.encode().replace(SPACE.encode(), b" ")[1:]
-                out.append((doc_ids[i].as_py(), len(tokens), hashlib.sha256(buf).hexdigest(), same) + ((tokens.astype(np.int32).tolist(),) if ids else ()))
+                out.append((doc_ids[i].as_py(), len(tokens), hashlib.sha256(buf).hexdigest(), model.decode(tokens) == text) + ((tokens.astype(np.int32).tolist(),) if ids else ()))
                 if len(out) == 2000:
                     yield _docs(out, ids)
                     out = []
             yield _docs(out, ids)
 
-    sent = batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(shuffles, "bucket")
-    sent = written_by(sent, "lattice-units", "bucket", shuffles)
-    unique = written_by(sent.groupBy("bucket").applyInPandas(distinct, "bucket long, unit string"), "lattice-distinct", "bucket", shuffles)
-    known = encode_units(unique, model)
-    replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(reply, "bid long, bucket long, body binary")
+    sent = batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(files, "bucket")
+    sent = written_by(sent, "lattice-units", "bucket", files)
+    unique = written_by(sent.groupBy("bucket").applyInArrow(distinct, BLOCKS), "lattice-distinct", "bucket", files)
+    replies = sent.groupBy("bucket").cogroup(encode_units(unique, model).groupBy("bucket")).applyInArrow(reply, "bid long, bucket long, body binary")
     by_batch = replies.groupBy("bid").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
     return batches.join(by_batch, "bid", "left").mapInArrow(trimmed(finish), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
 
@@ -224,15 +322,6 @@ def _docs(rows: list[tuple], ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids"][:len(kinds)])
 
 
-def _joined(units: list[str]) -> bytes:
-    """Units hold no space (it is U+2581 in them), so a space separates them."""
-    return " ".join(units).encode()
-
-
-def _parted(data: bytes) -> list[str]:
-    return data.decode().split(" ")
-
-
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model(), ids=False)
 
