@@ -5,7 +5,8 @@ h U'), and h moves by z (c - h). Both states label every byte with a distributio
 probabilities are the mean over all its bytes. Texts are read whole, in stretches of ``STRETCH`` bytes.
 
 Training: numpy, backpropagation through time, on at most ``TRAIN_DOCS`` labelled documents (those with the smallest
-hash of their id among the training rows) and ``TRAIN_STRETCHES`` stretches of each; the bounds are parameters.
+hash of their id among the training rows, one row for each id) and ``TRAIN_STRETCHES`` stretches of each; the bounds are
+parameters. A shorter text is learned from whole: what pads it moves no state and counts for nothing.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything if no row is labelled;
 null ids are never held out and never learned from; repeated rows are judged alike; an empty table gives an empty
@@ -50,8 +51,8 @@ class Network:
         self.p |= {f"v{d}": r.normal(0, 0.3, (hidden, n)).astype(np.float32) for d in "fb"}
         self.p["b"] = np.zeros(n, np.float32)
 
-    def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H) after each byte of x (T, B), read forwards or backwards."""
+    def states(self, x: np.ndarray, d: str, keep: list | None = None, inside: np.ndarray | None = None) -> np.ndarray:
+        """States (T, B, H) after each byte of x (T, B), read forwards or backwards; bytes not ``inside`` change none."""
         w, u, h = self.p["w" + d], self.p["u" + d], self.h
         out = np.empty((*x.shape, h), np.float32)
         s = np.zeros((x.shape[1], h), np.float32)
@@ -61,6 +62,8 @@ class Network:
             np.tanh(a, out=a)
             z = a[:, :h] * 0.5
             z += 0.5
+            if inside is not None:
+                z *= inside[t][:, None]
             step = a[:, h:] - s
             if keep is not None:
                 keep.append((t, s, a, z, step))
@@ -78,13 +81,15 @@ class Network:
         y /= y.sum(1, keepdims=True)
         return y
 
-    def gradients(self, x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy over all bytes."""
+    def gradients(self, x: np.ndarray, label: np.ndarray, inside: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over all bytes (T, B), or those ``inside``."""
         kept = {"f": [], "b": []}
-        s = {d: self.states(x, d, kept[d]) for d in "fb"}
+        s = {d: self.states(x, d, kept[d], inside) for d in "fb"}
         y = self.shares(s["f"], s["b"])
         y[np.arange(len(y)), np.tile(label, len(x))] -= 1
-        y /= len(y)
+        if inside is not None:
+            y *= inside.reshape(-1, 1)
+        y /= len(y) if inside is None else max(1, int(inside.sum()))
         g = {"b": y.sum(0)}
         h = self.h
         for d in "fb":
@@ -96,6 +101,8 @@ class Network:
                 ds = into[t] + carry
                 da = np.empty_like(a)
                 da[:, :h] = ds * step * 0.5
+                if inside is not None:
+                    da[:, :h] *= inside[t][:, None]
                 da[:, h:] = ds * z
                 da *= 1 - a * a
                 carry = ds * (1 - z) + da @ self.p["u" + d].T
@@ -104,8 +111,8 @@ class Network:
             g["w" + d], g["u" + d] = gw, gu
         return g
 
-    def fit(self, x: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 6) -> Network:
-        """Adam over minibatches; x (N, T) bytes, label (N)."""
+    def fit(self, x: np.ndarray, label: np.ndarray, size: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = RATE, seed: int = 6) -> Network:
+        """Adam over minibatches; x (N, T) bytes, label (N), size (N): how many of a row's bytes count."""
         r, first, second, n = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
             order = r.permutation(len(x))
@@ -113,7 +120,8 @@ class Network:
             for lo in range(0, len(x), MINIBATCH):
                 some = order[lo:lo + MINIBATCH]
                 n += 1
-                for k, g in self.gradients(np.ascontiguousarray(x[some].T), label[some]).items():
+                inside = None if size is None or size[some].min() == x.shape[1] else (np.arange(x.shape[1])[:, None] < size[some]).astype(np.float32)
+                for k, g in self.gradients(np.ascontiguousarray(x[some].T), label[some], inside).items():
                     m = first[k] = 0.9 * first.get(k, 0) + 0.1 * g
                     q = second[k] = 0.99 * second.get(k, 0) + 0.01 * g * g
                     self.p[k] -= (step * (m / (1 - 0.9**n)) / (np.sqrt(q / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
@@ -136,27 +144,33 @@ class Network:
             at = start[some][:, None] + np.arange(t)
             inside = np.arange(t) < length[some][:, None]
             x = np.ascontiguousarray(np.where(inside, data[np.minimum(at, len(data) - 1)], 0).T)
-            y = self.shares(self.states(x, "f"), self.states(x, "b")).reshape(t, len(some), -1)
+            short = None if inside.all() else inside.T.astype(np.float32)
+            y = self.shares(self.states(x, "f"), self.states(x, "b", inside=short)).reshape(t, len(some), -1)
             y *= inside.T[:, :, None]
             np.add.at(total, doc[some], y.sum(0, dtype=np.float64))
         return total / np.maximum(sizes, 1)[:, None]
 
 
 def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, stretches: int = TRAIN_STRETCHES, width: int = TRAIN_BYTES) -> Network | None:
-    """A network fitted to at most ``max_docs`` rows of (doc_id, text, lang), chosen by a hash of doc_id."""
-    named = labelled.filter("doc_id is not null and text is not null and lang is not null")
-    # Ids are chosen first, so the ordering moves no texts; of the chosen rows only the stretches reach the driver.
+    """A network fitted to at most ``max_docs`` rows of (doc_id, text, lang), chosen by a hash of doc_id.
+
+    Rows without text teach nothing; without any other, there is no network.
+    """
+    named = labelled.filter("doc_id is not null and octet_length(text) > 0 and lang is not null")
+    # Ids are chosen first, so the ordering moves no texts; of the chosen rows, one for each id, only the stretches
+    # reach the driver.
     ids = named.select("doc_id", F.xxhash64("doc_id").alias("o")).distinct().orderBy("o", "doc_id").limit(max_docs).select("doc_id")
     raw, n = F.col("text").cast("binary"), F.octet_length("text")
-    starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), n - width + 1).cast("int") + 1 for k in range(stretches)]
-    cut = F.when(n >= width, F.array(*[F.substring(raw, p, F.lit(width)) for p in starts]))
-    rows = sorted(named.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", cut.alias("cut")).collect(), key=lambda r: (r.doc_id, r.lang))
-    languages = sorted({r.lang for r in rows})
-    if not languages:
+    starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(n - width + 1, F.lit(1))).cast("int") + 1 for k in range(stretches)]
+    cut = F.array(*[F.substring(raw, p, F.lit(width)) for p in starts])
+    chosen = named.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.struct("lang", cut.alias("cut")).alias("r"))
+    rows = chosen.groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
+    if not rows:
         return None
-    cuts = [(np.frombuffer(c, np.uint8), languages.index(r.lang)) for r in rows for c in r.cut or []]
-    network = Network(languages)
-    return network.fit(np.stack([c[0] for c in cuts]), np.array([c[1] for c in cuts])) if cuts else network
+    languages = sorted({r.lang for r in rows})
+    cuts = [(c, languages.index(r.lang)) for r in rows for c in r.cut]
+    x = np.frombuffer(b"".join(bytes(c).ljust(width, b"\0") for c, _ in cuts), np.uint8).reshape(-1, width)
+    return Network(languages).fit(x, np.array([k for _, k in cuts]), np.array([len(c) for c, _ in cuts]))
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
