@@ -1,9 +1,13 @@
 """WARC archives: a writer with identical-payload revisits and a reader that salvages what damaged archives still hold.
 
-Each record is one gzip member. Spark's text writer puts members into files, separated by an empty member, so archives
-live wherever Spark can write; whole files come back through the binary file source. The reader checks every record
-(version line, headers, length, block digest). After a failed check it searches for the next valid member or version
-line, goes on from there, and logs the bytes between as quarantined.
+Each record is one gzip member. Spark's text writer puts bundles of members into files, separated by an empty member, so
+archives live wherever Spark can write; whole files come back through the binary file source. Files are bounded by bytes:
+``FILE_BUNDLES`` bundles of ``BUNDLE_BYTES`` (a longer member is a bundle of its own).
+
+The reader takes members of one or many records, and archives without compression. It checks every record: version
+line, headers, length, end, and its digests if there are any of a known kind. After a failed check it searches for the
+next valid member or version line, inside a member too, goes on from there, and logs the bytes between as quarantined;
+of a member that breaks off or is damaged it reads what zlib gave before the fault, but for the record at the fault.
 
 Defined results: null html is an empty payload; a page without id is always written as a response; rows that repeat an
 id with the same payload are all responses if that id is the smallest; payloads under ``MIN_REVISIT`` bytes are
@@ -12,6 +16,7 @@ always responses; an empty table gives an archive without records; other columns
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -24,11 +29,14 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 4000
+BUNDLE_BYTES, FILE_BUNDLES = 4 << 20, 16
 #: A gzip member that holds nothing, and the profile of revisits by digest.
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "file string, start long, end long, kind string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, reason string"
+#: start, end: bytes of the member (or plain record) in the file; inside_start, inside_end: of a gap in its content.
+RECORDS = """file string, start long, end long, kind string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, reason string,
+record_id string, target_uri string, inside_start long, inside_end long"""
+VERSION = re.compile(rb"WARC/[01]\.\d{1,2}\r\n")
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -54,21 +62,34 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        urls, out = b.column("url").to_pylist(), []
-        for page, url, body, n, digest in zip(b.column("page_id").to_pylist(), urls, b.column("html"), b.column("payload_bytes").to_pylist(), b.column("digest").to_pylist(), strict=True):
+        out = []
+        for page, url, body, n, digest in zip(*(b.column(c).to_pylist() for c in ("page_id", "url")), b.column("html"), *(b.column(c).to_pylist() for c in ("payload_bytes", "digest")), strict=True):
             out.append(gzip_member(record(page, url, body.as_buffer().to_pybytes(), n, digest, None)))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("payload_bytes"), b.column("digest"), pa.array(out, pa.binary())], names=["page_id", "url", "payload_bytes", "digest", "member"])
 
 
-def _revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for page, url, n, digest, member, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "digest", "member", "refers_to")), strict=True):
-            out.append(member if first is None else gzip_member(record(page, url, None, n, digest, first)))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+def _bundles(most: int):
+    """Members, revisits made in passing, joined into bundles of at most so many bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([EMPTY_MEMBER.join(held)], pa.binary())], names=["member"])
+        for b in batches:
+            for page, url, n, digest, member, first in zip(*(b.column(c) for c in ("page_id", "url", "payload_bytes", "digest", "member", "refers_to")), strict=True):
+                first = first.as_py()
+                member = member.as_py() if first is None else gzip_member(record(page.as_py(), url.as_py(), None, n.as_py(), digest.as_py(), first))
+                if held and size + len(member) > most:
+                    yield row()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield row()
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> str:
+def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, bundle_bytes: int = BUNDLE_BYTES, file_bundles: int = FILE_BUNDLES) -> str:
     """Write a record per row (page_id, url, html) into gzip-per-record archives under ``path``."""
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", html.cast("binary").alias("html"), F.octet_length(html).cast("bigint").alias("payload_bytes"), F.sha2(html, 256).alias("digest"))
@@ -78,39 +99,53 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
     later = slim.join(firsts, "digest").filter(F.col("page_id") > F.col("refers_to")).distinct()
     members = p.mapInArrow(_members, "page_id long, url string, payload_bytes long, digest string, member binary")
     joined = members.join(later, ["page_id", "digest"], "left").select("page_id", "url", "payload_bytes", "digest", F.when(F.col("refers_to").isNull(), F.col("member")).alias("member"), "refers_to")
-    out = joined.mapInArrow(_revisits, "member binary").select(F.col("member").cast("string"))
+    out = joined.mapInArrow(_bundles(bundle_bytes), "member binary").select(F.col("member").cast("string"))
     (out.write.format("text").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-        .option("maxRecordsPerFile", RECORDS_PER_FILE).save(path))
+        .option("maxRecordsPerFile", file_bundles).save(path))
     return path
 
 
-def _member_at(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at ``at`` and its end, or None."""
-    unpacker, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpacker.eof:
-            if pos >= len(data):
-                return None
-            out.append(unpacker.decompress(data[pos:pos + 65536]))
-            pos = min(pos + 65536, len(data))
-        return b"".join(out), pos - len(unpacker.unused_data)
-    except zlib.error:
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds, and its end; None if it breaks off or is damaged."""
+    unpacker, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while not unpacker.eof and pos < len(data):
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(data[pos:pos + step]))
+            pos = min(pos + step, len(data))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), None
+            unpacker, step = before, 256 if step > 256 else 1  # up to the fault in smaller pieces
+    return b"".join(out), pos - len(unpacker.unused_data) if unpacker.eof else None
+
+
+def _agrees(given: str | None, content: bytes) -> bool | None:
+    """Whether a digest (algorithm:value in hex or base32) is that of the content; None if there is none to check."""
+    algorithm, _, value = (given or "").partition(":")
+    if algorithm.lower() not in ("md5", "sha1", "sha256", "sha512"):
         return None
+    real = hashlib.new(algorithm.lower(), content).digest()
+    return value.lower() == real.hex() or value.upper().rstrip("=") == base64.b32encode(real).decode().rstrip("=")
 
 
 def _record_at(data: bytes, at: int) -> tuple[dict, int] | str:
     """The checked record whose version line is at ``at`` and its end, or what is wrong."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data[at:at + 10]):
+    if not VERSION.match(data, at):
         return "no version line"
     head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
         return "headers do not end"
-    head = {}
+    head, name = {}, None
     for line in data[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name:  # a folded header
+            head[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        key, colon, value = line.partition(b":")
         if not colon:
             return "malformed header"
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = key.strip().lower().decode("latin-1")
+        head[name] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,18}", head.get("content-length", "")):
         return "no length"
     start = head_end + 4
@@ -118,79 +153,107 @@ def _record_at(data: bytes, at: int) -> tuple[dict, int] | str:
     if end > len(data):
         return "truncated block"
     block = data[start:end]
-    if head.get("warc-block-digest", "").removeprefix("sha256:") != hashlib.sha256(block).hexdigest():
+    checked = _agrees(head.get("warc-block-digest"), block)
+    if checked is False:
         return "block digest differs"
     if data[end:end + 4] != b"\r\n\r\n":
         return "no record end"
-    return head | {"block": block}, end + 4
+    return head | {"block": block, "checked": checked}, end + 4
 
 
 def _row(head: dict) -> dict | str:
-    """The fields of a checked record."""
+    """The fields of a checked record of any type."""
     urn = re.compile(r"<urn:page:(-?\d*)>")
     own, first = urn.fullmatch(head.get("warc-record-id", "")), urn.fullmatch(head.get("warc-refers-to", ""))
-    http, _, payload = head["block"].partition(b"\r\n\r\n")
-    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
-    kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha256:")
-    if not own or not length or kind not in ("response", "revisit") or (kind == "revisit" and not first):
-        return "not a page record"
-    row = {"kind": kind, "page_id": int(own[1]) if own[1] else None, "refers_to": int(first[1]) if kind == "revisit" else None, "payload_bytes": int(length[1]), "payload_digest": digest, "payload": None}
-    if kind == "response":
-        real = hashlib.sha256(payload).hexdigest()
-        if real != digest or len(payload) != row["payload_bytes"]:
+    kind, block, digest = head.get("warc-type"), head["block"], head.get("warc-payload-digest", "")
+    if not kind:
+        return "no record type"
+    page = lambda m: int(m[1]) if m and m[1] else None
+    row = {"kind": kind, "page_id": page(own), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "refers_to": page(first), "payload_digest": digest.removeprefix("sha256:") or None, "payload_bytes": None, "payload": None}
+    if kind == "revisit":
+        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", block.partition(b"\r\n\r\n")[0])
+        return row | {"payload_bytes": int(length[1]) if length else None}
+    payload = block
+    if kind in ("response", "request") and head.get("content-type", "application/http").startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    if kind in ("response", "resource", "conversion"):
+        # The digest of a payload may be taken before its transfer encoding: it decides only where no block digest did.
+        if not head["checked"] and _agrees(digest, payload) is False:
             return "payload digest differs"
-        row |= {"payload_bytes": len(payload), "payload_digest": real, "payload": payload}
-    return row
+        row["payload_digest"] = hashlib.sha256(payload).hexdigest()
+    return row | {"payload_bytes": len(payload), "payload": payload}
+
+
+def _records(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, end, record or what is wrong) over the content of a member; after a fault, on at the next good record."""
+    at = 0
+    while at < len(content):
+        got = _record_at(content, at)
+        row = got if isinstance(got, str) else _row(got[0])
+        if not isinstance(row, str):
+            yield at, got[1], row
+            at = got[1]
+            continue
+        start, why = at, row
+        while isinstance(row, str) and at < len(content):
+            nxt = VERSION.search(content, at + 1)
+            at = nxt.start() if nxt else len(content)
+            got = _record_at(content, at) if nxt else ""
+            row = got if isinstance(got, str) else _row(got[0])
+        yield start, at, why
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of one archive in order, and a row of kind ``quarantined`` for every gap of unusable bytes."""
-    view, at, gap, why = memoryview(data), 0, None, ""
-    starts = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+    view, at, gap, why, inside = memoryview(data), 0, None, "", {}
+    starts = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.")
     while at < len(data):
-        rows, end, bad = [], None, ""
+        rows, end, whole = [], None, True
         if data[at:at + 3] == b"\x1f\x8b\x08":
-            found = _member_at(view, at)
-            if found is None:
-                bad = "broken member"
-            else:
-                content, end = found
-                pos = 0
-                while pos < len(content) and not bad:
-                    got = _record_at(content, pos)
-                    row = got if isinstance(got, str) else _row(got[0])
-                    if isinstance(row, str):
-                        bad = row
-                    else:
-                        rows.append(row)
-                        pos = got[1]
+            content, end = _inflate(view, at)
+            whole = end is not None
+            rows = list(_records(content)) if whole or VERSION.match(content) else []
+            if not whole and rows and rows[-1][1] == len(content):
+                rows.pop()  # the record at the fault goes with it
+            bad = "" if whole or any(isinstance(r[2], dict) for r in rows) else "broken member"
+            if whole and len(rows) == 1 and isinstance(rows[0][2], str):
+                bad = rows[0][2]  # nothing but a fault: the member itself is the gap
         else:
             got = _record_at(data, at)
             row = got if isinstance(got, str) else _row(got[0])
-            if isinstance(row, str):
-                bad = row
-            else:
-                rows, end = [row], got[1]
+            bad = row if isinstance(row, str) else ""
+            if not bad:
+                rows, end = [(0, got[1] - at, row)], got[1]
+        nxt = starts.search(data, at + 1)
+        after = nxt.start() if nxt else len(data)
         if bad:
-            gap, why = (at, bad) if gap is None else (gap, why)
-            nxt = starts.search(data, at + 1)
-            at = nxt.start() if nxt else len(data)
+            gap, why, inside = (at, bad, {}) if gap is None else (gap, why, inside)
+            at = after
             continue
         if gap is not None:
-            yield {"start": gap, "end": at, "kind": "quarantined", "reason": why}
+            yield {"start": gap, "end": at, "kind": "quarantined", "reason": why} | inside
             gap = None
-        for row in rows:
-            yield row | {"start": at, "end": end}
-        at = end
+        upto = 0
+        for start, stop, row in rows:
+            if isinstance(row, dict):
+                yield row | {"start": at, "end": end}
+                upto = stop
+            elif whole:
+                yield {"start": at, "end": end, "kind": "quarantined", "reason": row, "inside_start": start, "inside_end": stop}
+        if whole:
+            at = end
+        else:  # the rest of a broken member is a gap up to where something valid begins
+            gap, why, inside, at = at, "broken member", {"inside_start": upto, "inside_end": len(content)}, after
     if gap is not None:
-        yield {"start": gap, "end": len(data), "kind": "quarantined", "reason": why}
+        yield {"start": gap, "end": len(data), "kind": "quarantined", "reason": why} | inside
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records under ``path`` and the quarantined gaps (columns: see ``RECORDS``)."""
-    names = [f.split()[0] for f in RECORDS.split(", ")]
+    fields = [f.split() for f in RECORDS.replace("\n", " ").split(",")]
+    names = [f[0] for f in fields]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in RECORDS.split(", ")])
+    schema = pa.schema([(name, types[kind]) for name, kind in fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
