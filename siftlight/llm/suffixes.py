@@ -167,10 +167,10 @@ def _strings(p: Blocks, replies: list | None, n: int) -> tuple:
     return state, places, distinct, mix2(core[at], distinct, 15), inverse, counts > 1
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left, joined).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left, joined) and, if asked, kept_text.
 
-    A byte goes if a string of ``length`` bytes (a multiple of 16, above 128) that covers it also starts anywhere else.
+    kept_text has the bytes left as text; a character that lost a byte goes whole. A byte goes if a string of ``length`` bytes (a multiple of 16, above 128) that covers it also starts anywhere else.
     """
 
     def digest(row: dict, batch: Texts, p: Blocks, gone: np.ndarray) -> pa.RecordBatch:
@@ -178,9 +178,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[p.bounds])
         hashes = [hashlib.sha256(k).hexdigest() for k in _rests(p, gone)]
         cols = [id_column(batch.ids), pa.array(np.diff(batch.offsets), pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(edge), pa.int64()), pa.array(hashes, pa.string())]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        if texts:
+            cols.append(_kept_text(p, gone))
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][:len(cols)])
 
-    return _judged(docs, id_col, text_col, length, False, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _judged(docs, id_col, text_col, length, False, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -191,16 +193,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
 
     def texts(row: dict, batch: Texts, p: Blocks, gone: np.ndarray) -> pa.RecordBatch:
-        character = np.cumsum((p.padded & 0xC0) != 0x80)
-        broken = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
-        broken[character[gone]] = True
-        kept = pa.array(list(_rests(p, broken[character])), pa.binary()).cast(pa.string())
-        cols = carried(row) | {text_col: kept}
+        cols = carried(row) | {text_col: _kept_text(p, gone)}
         return pa.RecordBatch.from_arrays([cols[f.name] for f in schema], names=schema.names)
 
     return _judged(docs, id_col, text_col, length, True, texts, schema)
 
 
+def _kept_text(p: Blocks, gone: np.ndarray) -> pa.Array:
+    """What is left of each text in whole characters."""
+    character = np.cumsum((p.padded & 0xC0) != 0x80)
+    broken = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
+    broken[character[gone]] = True
+    return pa.array(list(_rests(p, broken[character])), pa.binary()).cast(pa.string())
+
+
 def _rests(p: Blocks, gone: np.ndarray) -> Iterator[bytes]:
     """What is left of each text."""
     inside = np.ones(len(gone), bool)
@@ -251,7 +257,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=True)
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}

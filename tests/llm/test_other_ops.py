@@ -61,6 +61,59 @@ def test_salvage_skips_damage_and_logs_the_gap():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members():
+    five = records(5)
+    third = five[2].replace(b"<html>2", b"<html>X")
+    ids = lambda data: [r["page_id"] for r in warc.salvage(data) if r["kind"] == "response"]
+    data = warc.gzip_member(b"".join([*five[:2], third, *five[3:]])) + warc.gzip_member(records(6)[5])
+    rows = list(warc.salvage(data))
+    assert [r["page_id"] for r in rows if r["kind"] == "response"] == [0, 1, 3, 4, 5]
+    gap, = (r for r in rows if r["kind"] == "quarantined")
+    assert (gap["inside_start"], gap["inside_end"]) == (len(five[0] + five[1]), len(five[0] + five[1] + third))
+    whole = warc.gzip_member(b"".join(five))
+    assert set(ids(whole[:-12])) >= {0, 1, 2, 3}
+    flipped = bytearray(whole)
+    flipped[-3] ^= 1  # the member's own check fails after all content
+    assert ids(bytes(flipped) + warc.gzip_member(records(6)[5])) == [0, 1, 2, 3, 5]
+    cut = list(warc.salvage(whole[:len(whole) // 2] + warc.gzip_member(records(6)[5])))
+    assert cut[-1]["page_id"] == 5 and cut[-2]["kind"] == "quarantined" and cut[-2]["reason"] == "broken member"
+
+
+def test_reader_takes_other_writers_records():
+    import base64
+    import hashlib
+
+    def made(kind, block, *lines):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f0f>", "WARC-Target-URI: http://e/", *lines, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    good = [
+        made("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), made("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        made("response", block, http), made("response", block, http, f"WARC-Block-Digest: {sha1(block)}", f"WARC-Payload-Digest: {sha1(b'body')}", "X-Long: a\r\n b"),
+        made("metadata", b"k: v"), made("response", block, http, "WARC-Payload-Digest: other:1"), made("revisit", block[:-4], http), made("resource", b"plain"),
+    ]
+    for data in (b"".join(good), b"".join(map(warc.gzip_member, good)), warc.gzip_member(b"".join(good))):
+        rows = list(warc.salvage(data))
+        assert [r["kind"] for r in rows] == ["warcinfo", "request", "response", "response", "metadata", "response", "revisit", "resource"]
+        assert {r["record_id"] for r in rows} == {"<urn:uuid:0f0f>"} and [r["payload"] for r in rows if r["kind"] == "response"] == [b"body"] * 3
+    for bad in (made("response", block, http, f"WARC-Block-Digest: {sha1(b'x')}"), made("response", block, http, f"WARC-Payload-Digest: {sha1(b'x')}")):
+        assert [r["kind"] for r in warc.salvage(bad)] == ["quarantined"]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    import os
+
+    r = random.Random(3)
+    pages = spark.createDataFrame([(i, "u", "".join(r.choices("abcdefgh", k=3000))) for i in range(40)] + [(99, "u", "".join(r.choices("abcdefgh", k=90000)))], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, f"file://{tmp_path}/b", bundle_bytes=4000, file_bundles=2)
+    sizes = [f.stat().st_size for f in os.scandir(tmp_path / "b") if f.name.startswith("part")]
+    assert len(sizes) > 5 and sorted(sizes)[-2] < 2 * 4100
+    assert sorted(x.page_id for x in warc.read_archives(spark, path).collect()) == [*range(40), 99]
+
+
 def test_warc_edges(spark, tmp_path):
     long, odd = "x" * 100, "\r\n\r\nWARC/1.1\r\n\x00é" * 20
     rows = [(1, None), (2, ""), (3, long), (4, long), (5, "short"), (6, "short"), (None, long), (7, odd), (8, odd), (3, long), (9, "y" * 300000)]

@@ -172,6 +172,16 @@ def test_lattice_equals_the_library(spark, docs, odd, pairs, odd_pairs):
     assert model.decode(np.array(library.encode("a  b\nÉ日"))).decode() == "a  b\nÉ日"
 
 
+def test_lattice_takes_long_units_without_spaces(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=lattice.default_model())
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("abcdefghilmnorstu"), 5000)), "日本語の文章" * 900, "ab" * 2500, "x" * 61, "x" * 62, "y" * 63, "".join(r.choice(list("aé日9"), 4000)), "  " * 40 + "a", "aaaa " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id((x.doc_id, x.ids) for x in lattice.encode(df, lattice.default_model()).collect()) == [(i, library.encode(t)) for i, t in enumerate(texts)]
+
+
 # 5 language ID
 
 def test_language_held_out_accuracy(spark):
@@ -195,6 +205,41 @@ def test_language_edges(spark, odd):
     assert language.identify(odd, network, carry=True).select("row.*").schema == odd.schema
 
 
+def test_language_learns_from_short_texts(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(r.choice([["der", "und", "nicht", "ein"], ["the", "and", "not", "one"]][i % 2], 6)), ["de", "en"][i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows + [(7, "the und", "en")] * 50 + [(500, "", "xx"), (501, None, "yy"), (None, "nul", "zz")], "doc_id long, text string, lang string")
+    assert df.agg(F.max(F.octet_length("text"))).first()[0] < 64
+    network = language.train(df)
+    assert network.languages == ["de", "en"]
+    got = language.identify(df.filter("doc_id < 400 and doc_id <> 7"), network).join(df.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang = lang_pred").count() > 0.9 * got.count()
+    assert language.train(df.filter("doc_id >= 500")) is None
+
+
+def test_language_pools_every_text_by_itself():
+    """Against a plain pass over one text at a time: gates, states and shares written out."""
+    net = language.Network(["a", "b", "c"], hidden=4, seed=3)
+    r = np.random.default_rng(1)
+    texts = [r.integers(0, 256, n).astype(np.uint8) for n in (1, 5, 127, 128, 129, 300, 0)]
+    got = net.pooled(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for t, g in zip(texts, got):
+        total = np.zeros(3)
+        for lo in range(0, len(t), language.STRETCH):
+            part, h = t[lo:lo + language.STRETCH], {}
+            for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+                s, h[d] = np.zeros(4), np.zeros((len(part), 4))
+                for k in order:
+                    a = p["w" + d][part[k]] + s @ p["u" + d]
+                    z, c = (1 + np.tanh(a[:4])) / 2, np.tanh(a[4:])
+                    s = s + z * (c - s)
+                    h[d][k] = s
+            y = np.exp(h["f"] @ p["vf"] + h["b"] @ p["vb"] + p["b"])
+            total += (y / y.sum(1, keepdims=True)).sum(0)
+        assert np.allclose(g, total / max(1, len(t)), atol=1e-5)
+
+
 def test_language_gradients():
     net = language.Network(["a", "b", "c"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -305,6 +350,13 @@ def test_suffixes_equal_brute_force(spark, docs, pairs):
     assert by_id(tuple(r) for r in suffixes.remove_repeats(docs).collect()) == brute.removed_bytes(pairs, suffixes.LENGTH)
 
 
+def test_suffixes_kept_text(spark):
+    passage = "".join(map(chr, range(200, 420)))
+    rows = [(1, "A" + passage + "é!"), (2, "B" + passage + "è?"), (3, None), (4, "kept é")]  # é and è begin with one byte
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
+    assert {r.doc_id: r.kept_text for r in got} == {1: "A!", 2: "B?", 3: "", 4: "kept é"}
+
+
 def test_suffix_edges(spark, odd, odd_pairs):
     some = odd.filter("doc_id is null or doc_id not in (9, 10)")
     rows = [r for r in odd_pairs if r[0] not in (9, 10)]
