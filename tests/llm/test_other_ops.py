@@ -208,16 +208,16 @@ def test_pipeline_equals_brute_force(spark):
     groups = brute.linked_shingles(rows)
     rows = [(d, t) for d, t in rows if groups[d][1] == d]
     data = [(d, t.encode()) for d, t in rows]
-    seen = {}
+    seen, size = {}, corpus_pipeline.PASSAGE_BYTES
     for _, b in data:
-        for i in range(len(b) - 399):
-            seen[b[i:i + 400]] = seen.get(b[i:i + 400], 0) + 1
+        for i in range(len(b) - size + 1):
+            seen[b[i:i + size]] = seen.get(b[i:i + size], 0) + 1
     tok, want = Tokenizer.from_file(packing.word_bpe()), []
     for d, b in data:
         gone = [False] * len(b)
-        for i in range(len(b) - 399):
-            if seen[b[i:i + 400]] > 1:
-                gone[i:i + 400] = [True] * 400
+        for i in range(len(b) - size + 1):
+            if seen[b[i:i + size]] > 1:
+                gone[i:i + size] = [True] * size
         text, at = "", 0
         for c in b.decode():
             n = len(c.encode())
@@ -268,3 +268,15 @@ def test_pipeline_equals_brute_force_at_80_percent(spark, monkeypatch):
 
     monkeypatch.setattr(brute, "linked_shingles", partial(brute.linked_shingles, percent=80))
     test_pipeline_equals_brute_force(spark)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Null and repeated ids and clashing names go through the last three stages; all but the last keep the columns."""
+    import corpus_pipeline
+
+    near = corpus_pipeline.minhash_dedup(spark, odd, SF)
+    assert near.columns == odd.columns and {r.doc_id for r in near.collect()} == {1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, -1}
+    left = corpus_pipeline.suffix_array_dedup(spark, odd.withColumn("n_chars", F.lit(1).cast("long")), SF)
+    assert left.count() == odd.count() and all(r.n_chars == len(r.text) for r in left.collect())
+    packed = corpus_pipeline.best_fit_packing(spark, odd, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in odd.collect()}
