@@ -41,9 +41,9 @@ def grid_days(d: Column, first_dow: int = 2) -> Column:
     return F.sequence(grid_start(d, first_dow), F.last_day(d), F.expr("interval 1 day"))
 
 
-def weekday_letters(first_dow: int = 2) -> Column:
-    """Seven short weekday letters, beginning with ``first_dow`` (2024-01-07 is a Sunday)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.substring(F.date_format(F.date_add(F.lit("2024-01-07").cast("date"), F.lit(first_dow - 1) + k), "E"), 1, 1))
+def weekday_symbols(first_dow: int = 2) -> Column:
+    """The seven short weekday names, beginning with ``first_dow`` (2024-01-07 is a Sunday)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.date_format(F.date_add(F.lit("2024-01-07").cast("date"), F.lit(first_dow - 1) + k), "E"))
 
 
 def month_names() -> Column:

@@ -67,13 +67,24 @@ def bytes_unit(n: Column) -> Column:
     return F.when(n < KIB, "B").when(n < MIB, "KB").when(n < GIB, "MB").otherwise("GB")
 
 
-def bytes_human(n: Column, strict: bool = False) -> Column:
-    """1024-based size with one decimal. ``strict`` keeps the label GB from one TiB on while dividing by 1024^4."""
-    units = [(1024**4, "GB" if strict else "TB"), (GIB, "GB"), (MIB, "MB"), (KIB, "KB")]
-    out = F.when(n >= units[0][0], F.concat(one_decimal(n / units[0][0]), F.lit(f" {units[0][1]}")))
-    for size, label in units[1:]:
-        out = out.when(n >= size, F.concat(one_decimal(n / size), F.lit(f" {label}")))
-    return out.when(n > 0, F.concat(n.cast("string"), F.lit(" B"))).when(n == 0, "0 B")
+def _tenths(n: Column, bits: int) -> Column:
+    """n / 2^bits with one decimal, an exact tie to the even digit, in long arithmetic."""
+    five = 5 * F.expr(f"1L * {(1 << bits) - 1}").bitwiseAND(n)
+    half = max(bits - 1, 0)  # ten times the rest, over 2^bits
+    if not bits:
+        return F.concat(n.cast("string"), F.lit(".0"))
+    digit, rest = F.shiftrightunsigned(five, half), five.bitwiseAND((1 << half) - 1)
+    up = (rest > 1 << half - 1) | ((rest == 1 << half - 1) & (digit % 2 == 1))
+    tenths = F.shiftright(n, bits) * 10 + digit + up.cast("bigint")
+    return F.concat(F.expr("1L * 0").bitwiseOR(F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def bytes_human(n: Column) -> Column:
+    """Size over the largest power of 1024 that it reaches, with one decimal; "0 B" for nothing. Labels end at GB."""
+    out = F.when(n == 0, "0 B")
+    for k, label in reversed(list(enumerate(["B", "KB", "MB", "GB", "GB", "GB", "GB"]))):
+        out = out.when(n >= 1 << 10 * k, F.concat(_tenths(n, 10 * k), F.lit(f" {label}")))
+    return out
 
 
 def file_size_text(n: Column) -> Column:

@@ -52,6 +52,18 @@ def pressure_limit(levels: DataFrame, key: str, start: int, strict: bool = True)
     return levels.groupBy(key).agg(events.alias("events")).select(key, F.aggregate("events", F.lit(start).cast("bigint"), after).alias("limit_bytes"))
 
 
+def cleared(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Clearing the caches: the statistics it reports, and the counters after it. Cached files go by an age of 0 days
+    (``copyplan.prune_candidates``)."""
+    zero = [F.lit(0).cast("bigint").alias(f"{c}_after") for c in ("hits", "misses", "evictions")]
+    return statistics(requests, by).select("*", *zero)
+
+
+def used_memory(wired: Column, active: Column, compressed: Column, page_size: Column, total: Column) -> Column:
+    """Bytes of wired, active and compressed pages, at most the total."""
+    return F.least((wired + active + compressed) * page_size, total)
+
+
 def memory_gauges(m: DataFrame) -> DataFrame:
     """Used of total, app of used, threshold (80 %) of total; 0 where the denominator is 0."""
     threshold = F.floor(F.col("total") * F.lit(0.8)).cast("bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,10 @@ def copy_summary(plan: DataFrame) -> DataFrame:
 
 
 def status_text(n_transferred, transferred_bytes):
-    files = F.when(n_transferred == 1, "1 file").otherwise(F.concat(n_transferred.cast("string"), F.lit(" files")))
-    size = F.when(transferred_bytes == 1, "1 byte").otherwise(F.concat(transferred_bytes.cast("string"), F.lit(" bytes")))
-    return F.concat(files, F.lit(", "), size)
+    """Two lines on what a copy transfers, or one that there is nothing to do."""
+    files = F.when(n_transferred == 1, "1 file changed").otherwise(F.concat(n_transferred.cast("string"), F.lit(" files changed")))
+    size = F.when(transferred_bytes == 1, "byte for transfer").otherwise(F.concat(transferred_bytes.cast("string"), F.lit(" bytes for transfer")))
+    return F.when(n_transferred > 0, F.concat(files, F.lit("\n"), size)).otherwise("No data to synchronize")
 
 
 def write_include_list(names: DataFrame, path: str) -> None:
@@ -35,7 +36,9 @@ def write_include_list(names: DataFrame, path: str) -> None:
 
 
 def _from_end(lines: DataFrame, key: str) -> DataFrame:
-    return lines.withColumn("_total", F.count("*").over(Window.partitionBy(key)))
+    """Lines with the number of their output's lines, counted apart: no output is gathered in one task."""
+    total = lines.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_total"))
+    return lines.join(total, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def tail(lines: DataFrame, key: str, n: int = 20) -> DataFrame:

@@ -36,8 +36,9 @@ def width(pixel: Column, tiff: Column, exif: Column) -> Column:
 
 
 def largest_preview(candidates: DataFrame, key: str = "file") -> DataFrame:
-    """The widest JPEG of each file (idx, width, jpeg); the lowest index wins ties; files without one are absent."""
-    c = candidates.filter("jpeg").groupBy(key).agg(F.max(F.struct("width", (-F.col("idx")).alias("minus"))).alias("m"))
+    """The widest JPEG of each file (idx, width, jpeg); the lowest index wins ties; a width must be above 0;
+    files without one are absent."""
+    c = candidates.filter("jpeg and width > 0").groupBy(key).agg(F.max(F.struct("width", (-F.col("idx")).alias("minus"))).alias("m"))
     return c.select(key, (-F.col("m.minus")).alias("idx"), F.col("m.width").alias("width"))
 
 

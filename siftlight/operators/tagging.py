@@ -1,7 +1,8 @@
 """The tag store as a function of its operation log (toggle, rate, reset), in closed form.
 
 After a catalog's last reset, a name is tagged if it was toggled an odd number of times; its rating is the last one
-given since its last toggle, or the rating of new tags.
+given since its last toggle, or the rating of new tags. A catalog enters the store with its first toggle. A reset keeps
+its entry, without records; resetting everything removes all entries.
 """
 
 from __future__ import annotations
@@ -23,12 +24,41 @@ def rate_expansion(ops: DataFrame) -> DataFrame:
 
 def fold(ops: DataFrame, new_rating: int = NEW_RATING) -> DataFrame:
     """(catalog, name, rating) after all operations; ops: seq, catalog, name, op, rating (``reset_all`` clears all)."""
+    return records(ops, new_rating).select("catalog", "name", "rating")
+
+
+def _started(store: DataFrame) -> DataFrame:
+    """Records of a store (catalog, name, dateTagged, dateCopied, rating) as toggles before all others."""
+    return store.select("catalog", "name", F.lit("toggle").alias("op"), F.col("rating").cast("int").alias("rating"), F.lit(-1).cast("bigint").alias("seq"), F.struct("dateTagged", "dateCopied", "rating").alias("was"))
+
+
+def records(ops: DataFrame, new_rating: int = NEW_RATING, store: DataFrame | None = None) -> DataFrame:
+    """(catalog, name, rating, tagged_seq, dateTagged, dateCopied) after all operations on ``store`` (flat records).
+
+    A record that was in the store and not toggled keeps its texts and has no ``tagged_seq``; a new one has the seq of
+    the toggle that made it, and no texts yet. Stored records are distinct by (catalog, name); seq is 0 or more.
+    """
+    ops = ops.select("catalog", "name", "op", "rating", F.col("seq").cast("bigint").alias("seq"))
+    was = "struct<dateTagged: string, dateCopied: string, rating: int>"
     resets = ops.filter("op = 'reset'").groupBy("catalog").agg(F.max("seq").alias("reset_at"))
     everything = ops.filter("op = 'reset_all'").agg(F.max("seq").alias("all_at"))
-    live = ops.filter("op in ('toggle', 'rate') and name is not null").join(resets, "catalog", "left")
-    live = live.filter(F.col("seq") > F.coalesce(F.greatest(F.col("reset_at"), everything.scalar()), F.lit(-1)))
+    live = ops.filter("op in ('toggle', 'rate') and name is not null").withColumn("was", F.lit(None).cast(was))
+    if store is not None:
+        live = live.unionByName(_started(store.filter("name is not null")).withColumn("was", F.col("was").cast(was)))
+    live = live.join(resets, "catalog", "left").filter(F.col("seq") > F.coalesce(F.greatest(F.col("reset_at"), everything.scalar()), F.lit(-2)))
     w = Window.partitionBy("catalog", "name").orderBy("seq")
     n = live.withColumn("n", F.sum(F.when(F.col("op") == "toggle", 1).otherwise(0)).over(w))
-    last = n.groupBy("catalog", "name", "n").agg(F.max_by("rating", F.when(F.col("op") == "rate", F.col("seq"))).alias("rating"))
-    final = last.groupBy("catalog", "name").agg(F.max_by(F.struct("n", "rating"), "n").alias("s"))
-    return final.filter("s.n % 2 = 1").select("catalog", "name", F.coalesce("s.rating", F.lit(new_rating)).cast("int").alias("rating"))
+    rated, tagged = (F.when(F.col("op") == op, F.col("seq")) for op in ("rate", "toggle"))
+    last = n.groupBy("catalog", "name", "n").agg(F.count(rated).alias("n_rated"), F.max_by("rating", rated).alias("rating"), F.max(tagged).alias("tagged_seq"), F.max_by("was", tagged).alias("was"))
+    final = last.groupBy("catalog", "name").agg(F.max_by(F.struct("n", "n_rated", "rating", "tagged_seq", "was"), "n").alias("s")).filter("s.n % 2 = 1")
+    rating = F.when(F.col("s.rating").isNotNull(), F.col("s.rating")).when(F.col("s.was").isNotNull(), F.col("s.was.rating")).otherwise(F.lit(new_rating))
+    return final.select("catalog", "name", rating.cast("int").alias("rating"), F.nullif("s.tagged_seq", F.lit(-1)).alias("tagged_seq"), "s.was.dateTagged", "s.was.dateCopied")
+
+
+def entries(ops: DataFrame) -> DataFrame:
+    """(catalog, started_seq, has_records): the catalogs of a store that began empty, after all operations."""
+    everything = F.coalesce(ops.filter("op = 'reset_all'").agg(F.max("seq").alias("all_at")).scalar(), F.lit(-1))
+    of = ops.filter("op = 'toggle' and name is not null or op = 'reset'").filter(F.col("seq") > everything)
+    toggle, reset = (F.when(F.col("op") == op, F.col("seq")) for op in ("toggle", "reset"))
+    seen = of.groupBy("catalog").agg(F.min(toggle).alias("started_seq"), F.max(toggle).alias("toggled"), F.max(reset).alias("reset_at"))
+    return seen.filter("started_seq is not null").select("catalog", "started_seq", (F.col("toggled") > F.coalesce("reset_at", F.lit(-1))).alias("has_records"))

@@ -2,33 +2,88 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import copyplan, selection, tagging
 from ..sources import store
-from ..streaming import tags
+from ..streaming import output, tags
 from . import standins as s
 from .review import ORACLE as _REVIEW_SQL
+from .scratch import scratch
+
+
+#: Many small catalogs with frequent resets, so that some end without records.
+RESET_OPS = s.TAG_OPS.replace("user_id % 5", "user_id % 400").replace("event_id % 200 = 0", "event_id % 2 = 0")
+
+
+def _reset_ops(spark: SparkSession, d: str) -> DataFrame:
+    e = s.table(spark, d, "events")
+    op = (F.when(F.col("event_type").isin("view", "click"), "toggle").when(F.col("event_type") == "purchase", "rate")
+          .when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "reset"))
+    return e.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), (F.col("user_id") % 400).cast("string").alias("catalog"), F.col("user_id").cast("string").alias("name"),
+                    op.alias("op"), F.when(op == "rate", 1 + F.col("event_id") % 5).cast("int").alias("rating")).filter("op is not null")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-siftlight-")
-    return f"{base.rstrip('/')}/review-{uuid.uuid4().hex}"
+def _stored(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and entries of the store after ``ops`` (seq in microseconds), with their date texts."""
+    at = lambda c: dates.store_text(F.timestamp_micros(c))
+    r = tagging.records(ops).withColumn("dateTagged", F.coalesce("dateTagged", at("tagged_seq")))
+    return r, tagging.entries(ops).select("catalog", at("started_seq").alias("dateStart"), "has_records")
 
 
 def tag_store_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark)
-    flat = tagging.fold(s.tag_ops(spark, d)).withColumn("dateTagged", F.lit("16 Feb 2026 10:59"))
-    store.write_store(store.nested(flat, F.lit("16 Feb 2026 10:59")), path)
-    return store.flat_records(store.read_store(spark, path)).select("catalog", "name", "rating")
+    """Written and read back: a row per record, and one for a catalog that has none."""
+    path = scratch(spark)
+    store.write_store(store.nested(*_stored(_reset_ops(spark, d))), path)
+    back = store.read_store(spark, path)
+    r = store.flat_records(back).select(F.col("catalog").alias("of"), "name", "dateTagged", "dateCopied", "rating")
+    return store.entries(back).join(r, F.col("catalog") == F.col("of"), "left").drop("of")
+
+
+def settings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Settings written and read back; what was not set comes at its default."""
+    path = scratch(spark)
+    n = s.table(spark, d, "region").agg((F.count("*") * 100).cast("int").alias("memoryCacheSizeMB"), F.lit(256).alias("thumbnailSizeGrid"))
+    store.write_settings(n, path)
+    return store.read_settings(spark, path)
+
+
+def catalog_list(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogs of all files, one of them added again."""
+    c = s.files(spark, d).select(F.col("catalog").alias("name"), F.concat(F.lit("/photos/"), "catalog", F.lit("/")).alias("url")).distinct()
+    return selection.with_catalog(c, "again", "/photos/src1/")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+
+
+def _kept(stream: DataFrame, path: str) -> DataFrame:
+    """Everything an append stream gives, written and read back."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def copy_completion(spark: SparkSession, d: str) -> DataFrame:
+    """Process output as a stream without directory lines; at its end, every line with the number of lines."""
+    path = scratch(spark)
+    lines = _streamed(spark, s.lines(spark, d), path)
+    return output.completion(_kept(copyplan.without_directories(lines), path))
+
+
+def progress_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Completed items of each run as they stand at the end of the stream."""
+    path = scratch(spark)
+    done = _streamed(spark, s.completions(spark, d).select("run", "total"), path)
+    return tags.progress(_kept(done, path))
 
 
 def include_list(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     names = selection.rated_names(s.files(spark, d), s.records(spark, d), 3).select("name").distinct()
     copyplan.write_include_list(names, path)
     return spark.read.text(path).select(F.col("value").alias("name"))
@@ -36,7 +91,7 @@ def include_list(spark: SparkSession, d: str) -> DataFrame:
 
 def tag_store_stream(spark: SparkSession, d: str) -> DataFrame:
     """The operation log as a stream of files; the store it leaves."""
-    path = _scratch(spark)
+    path = scratch(spark)
     ops = s.tag_ops(spark, d)
     ops.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{path}/ops")
     source = spark.readStream.schema(ops.schema).parquet(f"{path}/ops")
@@ -47,12 +102,19 @@ def tag_store_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def sort_by_size_desc_all(spark: SparkSession, d: str) -> DataFrame:
     """Every file in order of size, not the first hundred."""
-    return selection.numbered(s.files(spark, d), _scratch(spark), F.col("size").desc()).select("name", "size", "place")
+    return selection.numbered(s.files(spark, d), scratch(spark), F.col("size").desc()).select("name", "size", "place")
 
 
-QUERIES = {f.__name__: f for f in (tag_store_json_roundtrip, include_list, tag_store_stream, sort_by_size_desc_all)}
+QUERIES = {f.__name__: f for f in (tag_store_json_roundtrip, include_list, tag_store_stream, sort_by_size_desc_all, settings_roundtrip, catalog_list, copy_completion, progress_stream)}
 ORACLE = {
-    "tag_store_json_roundtrip": _REVIEW_SQL["tag_store_fold"],
+    "tag_store_json_roundtrip": f"""WITH {RESET_OPS}, entry AS (SELECT catalog, min(seq) FILTER (op = 'toggle') AS started, max(seq) FILTER (op = 'toggle') > coalesce(max(seq) FILTER (op = 'reset'), -1) AS has_records FROM ops GROUP BY catalog),
+r AS (SELECT catalog, name, max(seq) FILTER (op = 'toggle') AS tagged FROM live GROUP BY catalog, name)
+SELECT e.catalog, strftime(make_timestamp(started), '%d %b %Y %H:%M') AS dateStart, has_records, s.name, strftime(make_timestamp(tagged), '%d %b %Y %H:%M') AS dateTagged, NULL AS dateCopied, s.rating
+FROM entry AS e LEFT JOIN (store AS s JOIN r ON s.catalog = r.catalog AND s.name = r.name) ON e.catalog = s.catalog WHERE started IS NOT NULL""",
+    "settings_roundtrip": "SELECT count(*)::INT * 100 AS memoryCacheSizeMB, 256 AS thumbnailSizeGrid, 1024 AS thumbnailSizePreview, 8700 AS thumbnailSizeFullSize, 4 AS thumbnailCostPerPixel, 100 AS thumbnailSizeGridView, false AS useThumbnailAsZoomPreview FROM region",
+    "catalog_list": "SELECT DISTINCT source AS name, '/photos/' || source || '/' AS url FROM documents",
+    "copy_completion": f"WITH {s.LINES} SELECT output, line_no, record, count(*) OVER (PARTITION BY output) AS n_lines FROM lines WHERE record NOT LIKE '%/'",
+    "progress_stream": "SELECT user_id AS run, count(*) AS n, count(*) + 25 AS total, count(*)::DOUBLE / (count(*) + 25) AS fraction FROM events GROUP BY user_id",
     "tag_store_stream": _REVIEW_SQL["tag_store_fold"],
     "sort_by_size_desc_all": f"WITH {s.FILES} SELECT name, size, row_number() OVER (ORDER BY size DESC, file_key) AS place FROM files",
     "include_list": f"WITH {s.RECORDS} SELECT DISTINCT name FROM rated WHERE rating >= 3",

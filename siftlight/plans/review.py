@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import cache, copyplan, images, progress, selection, tagging
 from . import standins as s
+from .scratch import scratch
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -64,10 +65,9 @@ def search_ci(spark, d) -> DataFrame:
     return s.files(spark, d).filter(selection.matches(F.col("name"), "dSc0012")).select("catalog", "name")
 
 
-@query(f"WITH {s.FILES} SELECT name, size, row_number() OVER (ORDER BY size DESC, file_key) AS place FROM files QUALIFY place <= 100")
+@query(f"WITH {s.FILES} SELECT name, size, row_number() OVER (ORDER BY size DESC, file_key) AS place FROM files ")
 def sort_by_size_desc(spark, d) -> DataFrame:
-    top = selection.ordered(s.files(spark, d), F.col("size").desc()).limit(100)
-    return top.select("name", "size", F.row_number().over(Window.orderBy(F.col("size").desc(), "file_key")).cast("bigint").alias("place"))
+    return selection.numbered(s.files(spark, d), scratch(spark), F.col("size").desc()).select("name", "size", "place")
 
 
 @query(f"WITH {s.FILES} SELECT path, size FROM files WHERE file_key = md5('/photos/src0/_DSC00020.jpg') OR file_key = md5('/photos/src1/_DSC00001.arw')")
@@ -147,11 +147,10 @@ def exif_format(spark, d) -> DataFrame:
                     text.aperture_text(F.col("l_tax") * 100 + 1).alias("aperture"), text.iso_text(F.col("l_extendedprice")).alias("iso"))
 
 
-_SIZES = "x AS (SELECT o_orderkey, (o_orderkey * o_orderkey * o_orderkey) AS n FROM orders)"
+_SIZES = "x AS (SELECT *, CASE WHEN n > 0 THEN trunc(log2(n) / 10)::INT END AS k FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS n FROM orders))"
 
 
-@query(f"""WITH {_SIZES} SELECT o_orderkey, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576)
-  WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS human,
+@query(f"""WITH {_SIZES} SELECT o_orderkey, CASE WHEN n = 0 THEN '0 B' ELSE printf('%.1f', n / pow(1024, k)) || ' ' || CASE k WHEN 0 THEN 'B' WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' ELSE 'GB' END END AS human,
   CASE WHEN n < 1024 THEN 'B' WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS unit,
   CASE WHEN n >= 1000000000 THEN printf('%.1f GB', n / 1000000000) WHEN n >= 1000000 THEN printf('%.1f MB', n / 1000000) WHEN n >= 1000 THEN round_even(n / 1000, 0)::BIGINT || ' KB' ELSE n || ' bytes' END AS decimal_text,
   CASE WHEN n >= 1073741824 THEN round_even(n / 1073741824, 0)::BIGINT || ' GB' ELSE round_even(n / 1048576, 0)::BIGINT || ' MB' END AS memory, (n // 1073741824) || ' GB' AS gib FROM x""")
@@ -220,9 +219,9 @@ def calendar_grid(spark, d) -> DataFrame:
     return m.select(F.date_format("m", "yyyy-MM").alias("month"), F.explode(F.transform(dates.grid_days(F.col("m")), lambda x: x.cast("string"))).alias("day"))
 
 
-@query("SELECT array_to_string(list_transform(range(12), lambda k: strftime(DATE '2024-01-01' + to_months(k::INT), '%B')), ',') AS months, 'MTWTFSS' AS letters")
+@query("SELECT array_to_string(list_transform(range(12), lambda k: strftime(DATE '2024-01-01' + to_months(k::INT), '%B')), ',') AS months, array_to_string(list_transform(range(7), lambda k: strftime(DATE '2024-01-08' + to_days(k::INT), '%a')), ',') AS weekdays")
 def calendar_names(spark, d) -> DataFrame:
-    return spark.range(1).select(F.array_join(dates.month_names(), ",").alias("months"), F.array_join(dates.weekday_letters(), "").alias("letters"))
+    return spark.range(1).select(F.array_join(dates.month_names(), ",").alias("months"), F.array_join(dates.weekday_symbols(), ",").alias("weekdays"))
 
 
 # -- aggregates --------------------------------------------------------------------------------------------------
@@ -288,6 +287,17 @@ def memory_percentages(spark, d) -> DataFrame:
     return cache.memory_gauges(s.table(spark, d, "customer").select("c_custkey", (k % 4 * F.lit(4 * text.GIB)).alias("total"), (k % 3 * F.lit(text.GIB)).alias("used"), (k % 7 * text.MIB).alias("app")))
 
 
+@query(f"WITH {s.REQUESTS} SELECT user_id, count(*) FILTER (tier = 'ram') AS hits, count(*) FILTER (tier = 'disk') AS misses, count(*) FILTER (tier = 'extract') AS extractions, coalesce(count(*) FILTER (tier = 'ram') * 100::DOUBLE / nullif(count(*) FILTER (tier <> 'extract'), 0), 0) AS hit_rate, 0::BIGINT AS hits_after, 0::BIGINT AS misses_after, 0::BIGINT AS evictions_after FROM requests GROUP BY user_id")
+def clear_caches(spark, d) -> DataFrame:
+    return cache.cleared(s.requests(spark, d), ["user_id"])
+
+
+@query("SELECT c_custkey, least((c_custkey * 1000 + c_custkey % 97 * 5000 + c_nationkey * 300) * 16384, 8589934592) AS used FROM customer")
+def memory_used_pages(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    return s.table(spark, d, "customer").select("c_custkey", cache.used_memory(k * 1000, k % 97 * 5000, F.col("c_nationkey").cast("bigint") * 300, F.lit(16384), F.lit(8 * text.GIB)).alias("used"))
+
+
 # -- progress ----------------------------------------------------------------------------------------------------
 
 @query(f"WITH {s.COMPLETIONS} SELECT run, n, mean_micros, eta FROM t")
@@ -361,7 +371,7 @@ def copy_plan(spark, d) -> DataFrame:
 
 @query(f"""WITH {_PLAN}, x AS (SELECT count(*) AS n_files, coalesce(sum(size), 0)::BIGINT AS total_bytes, count(*) FILTER (action <> 'skip') AS n_transferred, coalesce(sum(size) FILTER (action <> 'skip'), 0)::BIGINT AS transferred_bytes,
   count(*) FILTER (action = 'create') AS n_created, count(*) FILTER (action = 'update') AS n_updated FROM plan)
-SELECT *, CASE n_transferred WHEN 1 THEN '1 file' ELSE n_transferred || ' files' END || ', ' || CASE transferred_bytes WHEN 1 THEN '1 byte' ELSE transferred_bytes || ' bytes' END AS status FROM x""")
+SELECT *, CASE WHEN n_transferred = 0 THEN 'No data to synchronize' ELSE CASE n_transferred WHEN 1 THEN '1 file changed' ELSE n_transferred || ' files changed' END || chr(10) || CASE transferred_bytes WHEN 1 THEN 'byte for transfer' ELSE transferred_bytes || ' bytes for transfer' END END AS status FROM x""")
 def copy_summary(spark, d) -> DataFrame:
     return copyplan.copy_summary(_plan(spark, d)).withColumn("status", copyplan.status_text(F.col("n_transferred"), F.col("transferred_bytes")))
 

@@ -59,8 +59,14 @@ class CatalogReader(DataSourceReader):
                     todo.append(e.path)
                 if not e.name.lower().endswith(RAW_EXTENSION) or (self.regular and not e.is_file()):
                     continue
-                s = e.stat()
-                yield (hashlib.md5(e.path.encode()).hexdigest(), e.path, folder.rstrip("/") + "/", e.name, s.st_size, RAW_TYPE, datetime.fromtimestamp(s.st_mtime, timezone.utc))
+                try:
+                    s = e.stat()
+                    known = (s.st_size, RAW_TYPE, datetime.fromtimestamp(s.st_mtime, timezone.utc))
+                except OSError:  # a link to nowhere has a name but no size or time
+                    if self.regular:
+                        continue
+                    known = (None, RAW_TYPE, None)
+                yield (hashlib.md5(e.path.encode()).hexdigest(), e.path, folder.rstrip("/") + "/", e.name, *known)
 
 
 def scan(spark: SparkSession, *folders: str) -> DataFrame:

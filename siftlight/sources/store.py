@@ -22,15 +22,24 @@ def read_store(spark: SparkSession, path: str, array: bool = False) -> DataFrame
 
 
 def flat_records(store: DataFrame) -> DataFrame:
-    """(catalog, name, dateTagged, rating, position); catalogs without records give no rows."""
+    """(catalog, name, dateTagged, dateCopied, rating, position); catalogs without records give no rows: see ``entries``."""
     r = store.select("catalog", F.posexplode("filerecords").alias("position", "r"))
-    return r.select("catalog", F.col("r.fileName").alias("name"), F.col("r.dateTagged").alias("dateTagged"), F.col("r.rating").alias("rating"), F.col("position").cast("long").alias("position"))
+    return r.select("catalog", F.col("r.fileName").alias("name"), *[F.col(f"r.{c}").alias(c) for c in ("dateTagged", "dateCopied", "rating")], F.col("position").cast("long").alias("position"))
 
 
-def nested(records: DataFrame, started) -> DataFrame:
-    """Flat records as a store: one row per catalog, its records in order of name."""
-    entry = F.struct(F.col("name").alias("fileName"), F.col("dateTagged"), F.lit(None).cast("string").alias("dateCopied"), F.col("rating").cast("int").alias("rating"))
-    return records.groupBy("catalog").agg(F.sort_array(F.collect_list(entry)).alias("filerecords")).select("catalog", started.alias("dateStart"), "filerecords")
+def entries(store: DataFrame) -> DataFrame:
+    """(catalog, dateStart, has_records): every catalog of the store; a reset one has null records."""
+    return store.select("catalog", "dateStart", F.col("filerecords").isNotNull().alias("has_records"))
+
+
+def nested(records: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """A store from flat records and the entries (catalog, dateStart, has_records): records in order of name, an empty
+    list where all are gone, null where the catalog was reset."""
+    entry = F.struct(F.col("name").alias("fileName"), "dateTagged", "dateCopied", F.col("rating").cast("int").alias("rating"))
+    held = records.groupBy(F.col("catalog").alias("of")).agg(F.sort_array(F.collect_list(entry)).alias("held"))
+    empty = F.array().cast("array<struct<fileName: string, dateTagged: string, dateCopied: string, rating: int>>")
+    joined = catalogs.join(held, F.col("catalog").eqNullSafe(F.col("of")), "left")
+    return joined.select("catalog", "dateStart", F.when(F.col("has_records"), F.coalesce("held", empty)).alias("filerecords"))
 
 
 def write_store(store: DataFrame, path: str) -> None:

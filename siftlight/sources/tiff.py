@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ def directory(data: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
         size = TYPE_SIZE.get(kind, 1) * count
+        if size > len(data):
+            raise IndexError("more values than the file has room for")
         where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
         if kind == 2:
             fields[tag] = [data[where:where + count].split(b"\0")[0].decode("utf-8", "replace")]
@@ -63,7 +66,7 @@ def describe(data: bytes) -> dict:
         if exif is not None:
             get = lambda tag: (exif.get(tag) or [None])[0]
             out |= {"has_exif": True, "shutter": get(EXPOSURE), "aperture": get(APERTURE), "iso": get(ISO), "focal": get(FOCAL), "lens": get(LENS)}
-    except (KeyError, struct.error, IndexError):
+    except (KeyError, struct.error, IndexError, TypeError, ValueError, OverflowError):  # malformed: what was found so far
         return out
     return out
 
@@ -76,9 +79,9 @@ def extract(files: DataFrame) -> DataFrame:
             rows = []
             for path in part["path"]:
                 try:
-                    with open(path, "rb") as f:
-                        rows.append({"path": path} | describe(f.read()))
-                except OSError:
+                    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                        rows.append({"path": path} | describe(data))  # only the pages with directories are read
+                except (OSError, ValueError):  # no file, or an empty one
                     rows.append({"path": path} | describe(b""))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")[:8]] + ["previews"])
 

@@ -1,5 +1,6 @@
 """Edge rows of the review engine against literal simulations."""
 
+import fractions
 import random
 
 from pyspark.sql import functions as F
@@ -24,9 +25,15 @@ def test_capture_texts(spark):
 
 def test_byte_units(spark):
     n = [0, 1, 1023, 1024, 1024**2, 1024**3, 2 * 1024**4]
-    df = spark.createDataFrame([(x,) for x in n], "n long").select("n", text.bytes_human(F.col("n")).alias("a"), text.bytes_human(F.col("n"), strict=True).alias("b"))
-    assert [r.a for r in df.orderBy("n").collect()] == ["0 B", "1 B", "1023 B", "1.0 KB", "1.0 MB", "1.0 GB", "2.0 TB"]
-    assert [r.b for r in df.orderBy("n").collect()][-1] == "2.0 GB"
+    df = spark.createDataFrame([(x,) for x in n], "n long").select("n", text.bytes_human(F.col("n")).alias("a"))
+    assert [r.a for r in df.orderBy("n").collect()] == ["0 B", "1.0 B", "1023.0 B", "1.0 KB", "1.0 MB", "1.0 GB", "2.0 GB"]
+    r = random.Random(1)
+    n = [r.randint(1, 2 ** r.randint(1, 62)) for _ in range(300)] + [1024**k * m // 20 for k in range(1, 7) for m in range(20, 60)] + [2**63 - 1]
+    rows = spark.createDataFrame([(x,) for x in n], "n long").select("n", text.bytes_human(F.col("n")).alias("a")).collect()
+    for x in rows:
+        k = (x.n.bit_length() - 1) // 10
+        tenths = round(fractions.Fraction(10 * x.n, 1024**k))  # ties to even
+        assert x.a == f"{tenths // 10}.{tenths % 10} {['B', 'KB', 'MB', 'GB'][min(k, 3)]}"
 
 
 def test_costs_and_capacity(spark):
@@ -88,6 +95,32 @@ def test_tag_fold_equals_a_literal_fold(spark):
         assert got == {(c, n): v for c, names in store.items() for n, v in names.items()}
 
 
+def test_store_keeps_dates_and_reset_catalogs(spark, tmp_path):
+    from siftlight.sources import store
+
+    ops = [(1, "a", "p", "toggle", None), (2, "a", "q", "toggle", None), (3, "b", "p", "toggle", None), (4, "b", None, "reset", None), (5, "c", "p", "toggle", None), (6, "c", "p", "toggle", None), (7, "a", "p", "rate", 5), (8, "d", None, "reset", None)]
+    df = spark.createDataFrame(ops, "seq long, catalog string, name string, op string, rating int")
+    entries = tagging.entries(df)
+    assert {(r.catalog, r.started_seq, r.has_records) for r in entries.collect()} == {("a", 1, True), ("b", 3, False), ("c", 5, True)}
+    records = tagging.records(df).withColumn("dateTagged", F.concat(F.lit("day "), "tagged_seq"))
+    nested = store.nested(records, entries.withColumn("dateStart", F.concat(F.lit("day "), "started_seq")))
+    store.write_store(nested, str(tmp_path / "s"))
+    got = {r.catalog: r for r in store.read_store(spark, str(tmp_path / "s")).collect()}
+    assert [(x.fileName, x.dateTagged, x.rating) for x in got["a"].filerecords] == [("p", "day 1", 5), ("q", "day 2", 3)]
+    assert got["b"].filerecords is None and got["b"].dateStart == "day 3" and got["c"].filerecords == []
+    stored = spark.createDataFrame([("a", "p", "1 Jan", "2 Jan", 4), ("a", "q", "3 Jan", None, None), ("b", "p", "4 Jan", None, 1)], "catalog string, name string, dateTagged string, dateCopied string, rating int")
+    ops = [(0, "a", "q", "toggle", None), (1, "a", "q", "toggle", None), (2, "b", None, "reset", None), (3, "b", "r", "toggle", None)]
+    after = tagging.records(spark.createDataFrame(ops, df.schema), store=stored).collect()
+    assert sorted((r.catalog, r.name, r.rating, r.tagged_seq, r.dateTagged, r.dateCopied) for r in after) == [("a", "p", 4, None, "1 Jan", "2 Jan"), ("a", "q", 3, 1, None, None), ("b", "r", 3, 3, None, None)]
+    everything = spark.createDataFrame([(9, None, None, "reset_all", None)], df.schema).union(df)
+    assert tagging.entries(everything).count() == 0 and tagging.records(everything, store=stored).count() == 0
+
+
+def test_status_texts(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 30)], "n long, b long").select(copyplan.status_text(F.col("n"), F.col("b")).alias("t"))
+    assert [r.t for r in df.collect()] == ["No data to synchronize", "1 file changed\nbyte for transfer", "2 files changed\n30 bytes for transfer"]
+
+
 def test_eta_equals_a_literal_simulation(spark):
     for seed, items in ((1, 9), (2, 10), (3, 11), (4, 120)):
         r = random.Random(seed)
@@ -127,7 +160,7 @@ def test_histogram_edges(spark):
 
 
 def test_largest_preview_ties(spark):
-    df = spark.createDataFrame([("f", 0, 100, False), ("f", 1, 90, True), ("f", 2, 90, True), ("g", 0, 5, False)], "file string, idx int, width int, jpeg boolean")
+    df = spark.createDataFrame([("f", 0, 100, False), ("f", 1, 90, True), ("f", 2, 90, True), ("g", 0, 5, False), ("h", 0, 0, True)], "file string, idx int, width int, jpeg boolean")
     assert [(r.file, r.idx) for r in images.largest_preview(df).collect()] == [("f", 1)]
     assert one(spark, images.width(F.lit(None).cast("double"), F.lit(7.9), F.lit(3.0))) == 7
 

@@ -18,6 +18,8 @@ def test_scan_sees_underscored_names(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1] for r in catalog.discover(spark, str(tmp_path)).collect()}
     assert found == {"_DSC1.ARW", "DSC2.ARW", "DSC3.arw", "._DSC4.ARW", "DSC5.ARW"}
     assert catalog.scan(spark, str(tmp_path / "missing")).count() == 0
+    (tmp_path / "x.ARW").symlink_to(tmp_path / "nowhere")
+    assert catalog.scan(spark, str(tmp_path)).count() == 3 and catalog.discover(spark, str(tmp_path)).count() == 6
 
 
 def test_store_and_settings(spark, tmp_path):
@@ -67,6 +69,12 @@ def test_raw_metadata_and_previews(spark, tmp_path):
     assert (e.shutterSpeed, e.focalLength, e.aperture, e.iso, e.camera, e.lensModel) == ("1/200", "50.0mm", "ƒ/2.8", "ISO 100", "CAM-1", "L 50")
     best = tiff.embedded_previews(raw).collect()
     assert [(r.width, bytes(r.jpeg)) for r in best] == [(6000, b"large-jpeg-bytes")]
+    whole = bytearray(raw_file(b"a", b"b"))
+    huge = bytes(whole).replace(struct.pack("<HHI", 0x0110, 2, 6), struct.pack("<HHI", 0x0110, 3, 0xFFFFFFFF))
+    text_sizes = bytes(whole).replace(struct.pack("<HHI", 0x0117, 4, 1), struct.pack("<HHI", 0x0117, 2, 1))
+    for bad in (huge, text_sizes, bytes(whole[:60]), b"II*\0"):
+        tiff.describe(bad)
+    assert tiff.describe(huge)["camera"] is None
     missing = tiff.extract(spark.createDataFrame([("/no/such.ARW",)], "path string")).first()
     assert not missing.has_exif and missing.previews == []
     assert tiff.exif_texts(raw).filter(F.col("exif").isNull()).count() == 1

@@ -58,6 +58,17 @@ def test_output_lines(spark, tmp_path):
     assert seen == [3]
 
 
+def test_refresh_and_replacement(spark, tmp_path):
+    spark.createDataFrame([("ram",)], "tier string").write.parquet(str(tmp_path / "q"))
+    source = spark.readStream.schema("tier string").parquet(str(tmp_path / "q"))
+    first = output.replacing(spark, "shown", output.refreshed(tags.cache_counters(source), 1).format("memory"))
+    first.processAllAvailable()
+    second = output.replacing(spark, "shown", output.refreshed(tags.cache_counters(source), 1).format("memory"))
+    second.processAllAvailable()
+    assert not first.isActive and second.isActive and spark.table("shown").first().n == 1
+    second.stop()
+
+
 def test_catalog_list(spark):
     c = spark.createDataFrame([("a", "/a/")], "name string, url string")
     more = selection.with_catalog(selection.with_catalog(c, "b", "/b/"), "again", "/a/")
