@@ -41,7 +41,7 @@ from .textkit import ranges, trimmed
 SPACE = "▁"
 #: Characters of a unit whose boundaries fit a bit mask.
 MASK = 62
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 #: Bytes of text for each bucket of units.
 BUCKET_BYTES = 6 << 20
 #: Bytes of input for each file of the tables that are laid out by bucket, and the most files there can be.
@@ -242,19 +242,31 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         unit = space + word.replace(b" ", space)
         return [unit] if len(word) < MASK else [u.encode() for u in model.cut(unit.decode())]
 
-    def by_bucket(found: set[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
-        """The distinct units of a batch, sorted, by bucket; and the units of each word."""
+    def by_bucket(texts: list[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
+        """The distinct units of a batch, sorted, by bucket; and the units of each word that has several."""
         by: dict[int, list[bytes]] = {}
-        made = {w: units_of(w) for w in found}
-        for u in {u for units in made.values() for u in units}:
-            by.setdefault(_bucket(u, n), []).append(u)
+        many, rest, found = {}, set(), {w for x in texts for w in _words(x)}
+        for w in found:
+            units = units_of(w)
+            if len(units) == 1:
+                by.setdefault(_bucket(units[0], n), []).append(units[0])
+            else:
+                many[w] = units
+                rest.update(units)
+        for u in rest:
+            if key(u) not in found:  # else it is there as that word's
+                by.setdefault(_bucket(u, n), []).append(u)
         for units in by.values():
             units.sort()
-        return by, made
+        return by, many
+
+    def key(unit: bytes) -> bytes:
+        """The word that a unit is; a unit inside a word, which has no space in front, gets a key that is no word."""
+        return unit.replace(space, b" ")[1:] if unit.startswith(space) else b" \0 " + unit
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            by, _ = by_bucket({w for x in texts_of(row) for w in _words(x)})
+            by, _ = by_bucket(texts_of(row))
             keys = list(by)
             bodies = [_squeeze(b" ".join(by[k])) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row["bid"]] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
@@ -287,20 +299,21 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            ids_of: dict[bytes, bytes] = {}
+            ids_of: dict[bytes, bytes] = {}  # by word; by unit, where that is no word
             texts = texts_of(row)
-            own, made = by_bucket({w for x in texts for w in _words(x)})
+            own, many = by_bucket(texts)
             for r in row["replies"] or []:
                 names, raw = own.pop(r["bucket"]), _unsqueeze(r["body"])
                 ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4).tolist()
                 wide, at = np.frombuffer(raw, width, offset=4 * len(names)).astype(np.uint32).tobytes(), 0
                 for u, end in zip(names, ends, strict=True):
-                    ids_of[u] = wide[at:end]
+                    ids_of[key(u)] = wide[at:end]
                     at = end
-            of_word = {w: ids_of[u[0]] if len(u) == 1 else b"".join(map(ids_of.__getitem__, u)) for w, u in made.items()}
+            for w, units in many.items():
+                ids_of[w] = b"".join([ids_of[key(u)] for u in units])
             doc_ids, out = id_column(Texts(row).ids), []
             for i, text in enumerate(texts):
-                buf = b"".join(map(of_word.__getitem__, _words(text)))
+                buf = b"".join(map(ids_of.__getitem__, _words(text)))
                 tokens = np.frombuffer(buf, np.uint32)
                 out.append((doc_ids[i].as_py(), len(tokens), hashlib.sha256(buf).hexdigest(), model.decode(tokens) == text) + ((tokens.astype(np.int32).tolist(),) if ids else ()))
                 if len(out) == 2000:
