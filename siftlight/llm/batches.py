@@ -3,11 +3,13 @@
 A batch is one row with some megabytes of whole texts, compressed. Operators that ask "which of my names occur
 elsewhere?" send each batch's distinct names, split by name range into buckets, through one shuffle; a bucket task
 answers for its range with one byte per name, and the answers come back to the batch by its id. A name that every
-document holds costs one entry per batch, so hot names are combined before the shuffle.
+document holds costs one entry per batch, so hot names are combined before the shuffle. Successive batches share their
+messages, the more of them the more buckets there are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,31 +133,74 @@ def split(names: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int
         yield int(k), [c[part] for c in columns]
 
 
-ASKED = "bucket long, bid long, n long, body binary"
-ANSWERED = "bid long, bucket long, body binary"
+ASKED = "bucket long, gid long, n long, segs binary, body binary"
+ANSWERED = "gid long, bucket long, segs binary, body binary"
+#: Names that a message shall hold on average, and the batches that may share messages.
+MESSAGE_NAMES, FEWEST_BATCHES, MOST_BATCHES = 256, 8, 512
 
 
-def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "bid", "n", "body"])
+def group_size(n: int, per_byte: float, batch_bytes: int = BATCH_BYTES) -> int:
+    """Batches that send to ``n`` buckets together. It grows with the buckets, so that messages grow with the input and
+    not with its square, up to ``MOST_BATCHES``."""
+    return min(MOST_BATCHES, max(FEWEST_BATCHES, math.ceil(MESSAGE_NAMES * n / (per_byte * batch_bytes))))
+
+
+def messages(parts: Iterator[pa.RecordBatch], group: int, gather: Callable[[dict], Iterator[tuple[int, list[np.ndarray]]]], encode: Callable[..., bytes]) -> Iterator[pa.RecordBatch]:
+    """One message (see ``ASKED``) for each bucket and group of successive batches.
+
+    ``gather`` gives a batch's columns by bucket, ``encode`` the body of a message from its columns. ``segs`` tells
+    whose names a message holds, in order: pairs (bid, number).
+    """
+    held: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+    gid = -1
+
+    def flush() -> pa.RecordBatch:
+        cols = ([], [], [], [], [])
+        for k in sorted(held):
+            segs = np.array([(bid, len(c[0])) for bid, c in held[k]], np.int64)
+            body = encode(*[np.concatenate(c) for c in zip(*(c for _, c in held[k]), strict=True)])
+            for col, v in zip(cols, (k, gid, int(segs[:, 1].sum()), segs.tobytes(), body), strict=True):
+                col.append(v)
+        held.clear()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in ASKED.split(", ")])
+
+    for row in rows_of(parts):
+        own = row["bid"] >> 32 << 32 | (row["bid"] & 0xFFFFFFFF) // group
+        if own != gid and held:
+            yield flush()
+        gid = own
+        for k, cols in gather(row):
+            held.setdefault(k, []).append((row["bid"], cols))
+    if held:
+        yield flush()
 
 
 def exchange(sent: DataFrame, answer: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
-    """``answer`` gets all rows of one bucket (ordered by bid) and returns one body per row; one row per batch comes out."""
+    """``answer`` gets all messages of one bucket (in order of bid) and returns one body for each, a byte for a name; one
+    row per batch comes out, with its bytes in order of bucket."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bid", kind="stable")
-        return pd.DataFrame({"bid": rows["bid"], "bucket": rows["bucket"], "body": answer(rows)})
+        first = [np.frombuffer(b, np.int64, 1)[0] for b in rows["segs"]]
+        rows = rows.iloc[np.argsort(first, kind="stable")]
+        return pd.DataFrame({"gid": rows["gid"], "bucket": rows["bucket"], "segs": rows["segs"], "body": answer(rows)})
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        of: dict[int, list[np.ndarray]] = {}
+        rows = rows.sort_values("bucket", kind="stable")
+        for segs, body in zip(rows["segs"], rows["body"], strict=True):
+            segs = np.frombuffer(segs, np.int64).reshape(-1, 2)
+            for bid, part in zip(segs[:, 0].tolist(), np.split(unsqueeze(body), np.cumsum(segs[:-1, 1])), strict=True):
+                of.setdefault(bid, []).append(part)
+        return pd.DataFrame({"bid": list(of), "replies": [squeeze(np.concatenate(p)) for p in of.values()]})
 
     replies = sent.groupBy("bucket").applyInPandas(one, ANSWERED)
-    return replies.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("bucket", "body"))).alias("replies"))
+    return replies.groupBy("gid").applyInPandas(deal, "bid long, replies binary")
 
 
-def answered(replies: list | None, names: np.ndarray, n: int) -> np.ndarray:
+def answered(replies: bytes | None, names: np.ndarray, n: int) -> np.ndarray:
     """The reply byte of each name, in the order in which they were sent."""
     out = np.zeros(len(names), np.uint8)
     if replies:
-        order = np.argsort(bucket_of(names, n), kind="stable")
-        out[order] = np.concatenate([unsqueeze(r["body"]) for r in replies])
+        out[np.argsort(bucket_of(names, n), kind="stable")] = unsqueeze(replies)
     return out

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import ASKED, Texts, answered, asked, exchange, id_column, n_buckets, pack, rows_of, split
+from .batches import ASKED, Texts, answered, exchange, group_size, id_column, messages, n_buckets, pack, rows_of, split
 from .common import written
 from .textkit import U, Spans, mix, mix2, pad, squeeze, trimmed, unsqueeze, word_names, words
 
@@ -168,9 +168,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     batches = pack(docs, id_col, text_col, name="recompression-batches")
     n = n_buckets(batches, 0.035)
+    group = group_size(n, 0.035)
 
     def ask_anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(parts):
+        def gather(row: dict) -> Iterator:
             p = Parsed(Texts(row), window, rounds)
             names = np.unique(p.anchor)
             # One symbol serves a run of neighbouring windows. It occurs twice in the batch if its windows lie apart,
@@ -185,9 +186,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 second = p.verify(slice(None), window)
                 for d in range(1, window + 1):
                     again[np.searchsorted(names, p.anchor[d:][second[d:] == second[:-d]])] = True
-            yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, a[m]]))) for k, (a, m) in split(names, n, names, again)])
+            return split(names, n, names, again)
+
+        return messages(parts, group, gather, lambda a, m: squeeze(np.concatenate([a, a[m]])))
 
-    def chosen_of(p: Parsed, replies: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def chosen_of(p: Parsed, replies: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows with a shared anchor: the first of each kind in its batch with its second name and the key of its
         bucket, and those that follow another."""
         names = np.unique(p.anchor)
@@ -201,12 +204,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return chosen[first], second[first], mix2(p.anchor[chosen[first]], second[first], 17), chosen[again]
 
     def ask_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(parts):
+        def gather(row: dict) -> Iterator:
             batch = Texts(row)
             p = Parsed(batch, window, rounds)
             chosen, second, key, _ = chosen_of(p, row["replies"])
             ids = batch.ids[p.doc[chosen]].view(np.uint64) if len(chosen) else np.empty(0, U)
-            yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, d]))) for k, (a, d) in split(key, n, second, ids)])
+            return split(key, n, second, ids)
+
+        return messages(parts, group, gather, lambda a, d: squeeze(np.concatenate([a, d])))
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):

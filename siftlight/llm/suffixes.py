@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import ASKED, Texts, answered, asked, carried, exchange, id_column, n_buckets, pack, rows_of, split
+from .batches import ASKED, Texts, answered, carried, exchange, group_size, id_column, messages, n_buckets, pack, rows_of, split
 from .common import written
 from .textkit import BYTE_NAMES, U, Spans, mix2, pad, ranges, squeeze, trimmed, unsqueeze
 
@@ -150,7 +150,7 @@ def _judge_strings(rows: pd.DataFrame) -> list[bytes]:
     return [squeeze(p) for p in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def _strings(p: Blocks, replies: list | None, n: int) -> tuple:
+def _strings(p: Blocks, replies: bytes | None, n: int) -> tuple:
     """State of each block, and the distinct strings that the unsettled ones ask about.
 
     The strings come with the keys that choose their buckets: mixed from core and name, so equal for equal strings, and
@@ -224,16 +224,21 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
         raise ValueError("length: a multiple of 16 above 128")
     batches = pack(docs, id_col, text_col, name="suffix-batches", carry=carry)
     n = n_buckets(batches, 0.04)
+    group = group_size(n, 0.04)
 
     def ask_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(parts):
+        def gather(row: dict) -> Iterator:
             c, e, m, _ = Blocks(Texts(row), length).distinct()
-            yield asked([(k, row["bid"], len(a), squeeze(np.concatenate([a, b, x.astype(np.uint64)]))) for k, (a, b, x) in split(c, n, c, e, m)])
+            return split(c, n, c, e, m)
+
+        return messages(parts, group, gather, lambda a, b, x: squeeze(np.concatenate([a, b, x.astype(np.uint64)])))
 
     def ask_strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(parts):
+        def gather(row: dict) -> Iterator:
             _, _, names, key, _, multi = _strings(Blocks(Texts(row), length), row["replies"], n)
-            yield asked([(k, row["bid"], len(a), squeeze(a.tobytes() + x.astype(np.uint8).tobytes())) for k, (a, x) in split(key, n, names, multi)])
+            return split(key, n, names, multi)
+
+        return messages(parts, group, gather, lambda a, x: squeeze(a.tobytes() + x.astype(np.uint8).tobytes()))
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
