@@ -2,13 +2,14 @@
 
 A unit vector x is rotated and its signs are kept as a code: c = sign(Rx) / sqrt(d), with the correction factor
 f = <c, Rx>. For another vector y, <c, Ry> / f estimates <x, y> without bias; its error is about
-sqrt((1 - f^2) / f^2 / (d - 1)), so ``SIGMAS`` times that bounds it. Only pairs whose bound reaches the threshold are
-recomputed exactly, in double precision.
+sqrt((1 - f^2) / f^2 / (d - 1)), so ``SIGMAS`` times that bounds it. Code (a bit for each dimension) and factor are
+computed once and stored with the vector. Only pairs whose bound reaches the threshold are recomputed exactly, in double
+precision.
 
 Which pairs are looked at: sign bits of independent rotations, cut into bands of ``k`` bits, bring vectors together;
 k grows with the logarithm of the number of vectors, so a bucket keeps its size, and the number of bands follows from
 the recall asked at the threshold (``recall``; a pair above it is found more surely). A bucket beyond ``TILE`` vectors is
-dealt as pairs of blocks. A pair is counted in the first band that its vectors share, so links need no pair table.
+dealt as pairs of blocks. Vectors travel as they came (single precision stays so) and are scaled where they are used. A pair is counted in the first band that its vectors share, so links need no pair table.
 
 Defined results: equal vectors are one class that is compared once and counted with its size; vectors of different
 lengths never link; null, empty or zero vectors and vectors with null or non-finite components link with nothing; rows
@@ -18,6 +19,7 @@ null, kept); an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import parallelism, written
 from .components import components
@@ -38,6 +41,8 @@ TILE = 1024
 #: Rows of a bucket list that may be broadcast.
 SHORT_LIST = 20_000
 SEED = 8
+#: Estimates are made in single precision; what that may cost is added to their bounds.
+ROUNDING = 1e-4
 
 
 def rotation(d: int, k: int, seed: int = SEED) -> np.ndarray:
@@ -53,14 +58,21 @@ def plan(n: int, cosine: float = COSINE, recall: float = RECALL, bucket: int = B
     return k, math.ceil(math.log(1 - recall) / math.log(1 - same**k))
 
 
-BANDED = "dim int, band int, key long, rid long, weight long, keys binary, vec binary"
+BANDED = "dim int, band int, key long, rid long, weight long, keys binary, vec binary, code binary, factor double"
 
 
-def _band(k: int, bands: int):
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _band(k: int, bands: int, kind: type):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for b in parts:
-            rid, weight, vecs = np.asarray(b.column("rid")), np.asarray(b.column("weight")), [np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vec")]
+            rid, weight, vecs = np.asarray(b.column("rid")), np.asarray(b.column("weight")), [np.frombuffer(v.as_buffer(), kind) for v in b.column("vec")]
             dims = np.array([len(v) for v in vecs])
             for d in np.unique(dims).tolist():
                 if d not in turned:
@@ -68,14 +80,14 @@ def _band(k: int, bands: int):
                 at = np.flatnonzero(dims == d)
                 for lo in range(0, len(at), 256):
                     some = at[lo:lo + 256]
-                    bits = np.stack([vecs[i] for i in some]) @ turned[d].T > 0
+                    bits = unit(np.stack([vecs[i] for i in some])) @ turned[d].T > 0
                     keys = (bits.reshape(len(some), bands, k).astype(np.int64) << np.arange(k)).sum(2)
                     raw = [x.tobytes() for x in np.ascontiguousarray(keys if k > 31 else keys.astype(np.int32))]
                     m = len(some)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(m * bands, d), pa.int32()), pa.array(np.tile(np.arange(bands), m), pa.int32()), pa.array(keys.ravel()),
                         pa.array(np.repeat(rid[some], bands)), pa.array(np.repeat(weight[some], bands)), pa.array(np.repeat(np.array(raw, object), bands), pa.binary()),
-                        pa.array(np.repeat(np.array([vecs[i].tobytes() for i in some], object), bands), pa.binary()),
+                        *[b.column(c).take(pa.array(np.repeat(some, bands))) for c in ("vec", "code", "factor")],
                     ], names=[f.split()[0] for f in BANDED.split(", ")])
     return run
 
@@ -83,7 +95,7 @@ def _band(k: int, bands: int):
 LINKED = "rid long, other long, weight long"
 
 
-def _compare(k: int, cosine: float):
+def _compare(k: int, cosine: float, kind_of: type):
     """Links of whole buckets (or tiles): per vector one row with the summed weight, and one edge that keeps the tile's
     groups together."""
     kind = np.int64 if k > 31 else np.int32
@@ -96,13 +108,13 @@ def _compare(k: int, cosine: float):
             if z - a < 2:
                 continue
             d = int(dims[a])
-            x = np.frombuffer(b"".join(b.column("vec")[i].as_py() for i in range(a, z)), np.float64).reshape(-1, d)
-            keys = np.frombuffer(b"".join(b.column("keys")[i].as_py() for i in range(a, z)), kind).reshape(z - a, -1)
-            turned = x @ rotation_of(d).T
-            code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(d)
-            f = (code * turned).sum(1)
-            error = SIGMAS * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, d - 1))
-            estimate = (code @ turned.T) / f[:, None]
+            joined = lambda c: b"".join(b.column(c).slice(a, z - a).to_pylist())  # noqa: E731, B023
+            x = unit(np.frombuffer(joined("vec"), kind_of).reshape(-1, d))
+            keys = np.frombuffer(joined("keys"), kind).reshape(z - a, -1)
+            code = np.unpackbits(np.frombuffer(joined("code"), np.uint8).reshape(z - a, -1), axis=1)[:, :d].astype(np.float32)
+            f = np.asarray(b.column("factor"))[a:z].astype(np.float32)
+            error = SIGMAS * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, d - 1)) + ROUNDING
+            estimate = (2 * code - 1) @ (x @ rotation_of(d).T).astype(np.float32).T / (f[:, None] * math.sqrt(d))
             near = (estimate + error[:, None] >= cosine) | (estimate.T + error[None, :] >= cosine)
             i, j = np.nonzero(np.triu(near, 1))
             if side[a:z].any():  # a tile of two blocks: pairs inside one block belong to its own tile
@@ -143,36 +155,51 @@ def _compare(k: int, cosine: float):
     return run
 
 
-def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a usable vector get it as unit doubles, others null."""
-    for b in parts:
-        lists = b.column("embedding")
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten()
-        values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        out: list[bytes | None] = [None] * len(sizes)
-        for d in np.unique(sizes[sizes > 0]).tolist():
-            rows = np.flatnonzero(sizes == d)
-            x = values[(ends[rows] - d)[:, None] + np.arange(d)]
-            most = np.abs(x).max(1)
-            good = np.isfinite(most) & (most > 0)
-            x = x[good] / most[good, None]
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            for i, v in zip(rows[good].tolist(), x, strict=True):
-                out[i] = v.tobytes()
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+UNITS = "vec_id long, vec binary, name string, code binary, factor double"
+
+
+def _units(kind: type):
+    """Rows with a usable vector get it as ``kind``, with the name of its direction, its code and its factor; others nulls."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn: dict[int, np.ndarray] = {}
+        for b in parts:
+            lists = b.column("embedding")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            vec, name, code, factor = ([None] * len(sizes) for _ in range(4))
+            for d in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == d)
+                raw = values[(ends[rows] - d)[:, None] + np.arange(d)].astype(kind)
+                most = np.abs(raw).max(1)
+                good = np.isfinite(most) & (most > 0)
+                raw = raw[good]
+                x = unit(raw)
+                if d not in turn:
+                    turn[d] = rotation(d, 0)
+                turned = x @ turn[d].T
+                bits, f = np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(d)
+                for j, i in enumerate(rows[good].tolist()):
+                    vec[i], name[i], code[i], factor[i] = raw[j].tobytes(), hashlib.sha256(x[j].tobytes()).hexdigest(), bits[j].tobytes(), float(f[j])
+            cols = [pa.array(c, t) for c, t in ((vec, pa.binary()), (name, pa.string()), (code, pa.binary()), (factor, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), *cols], names=[f.split()[0] for f in UNITS.split(", ")])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    units = written(v.mapInArrow(_units, "vec_id long, vec binary").select("vec_id", "vec", F.sha2("vec", 256).alias("name")), "embedding-units")
-    classes = units.filter("vec is not null").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.first("vec").alias("vec"), F.count("*").alias("size"))
+    single = vectors.schema[vec_col].dataType.elementType == T.FloatType()
+    kind = np.float32 if single else np.float64
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("embedding"))
+    units = written(v.mapInArrow(_units(kind), UNITS), "embedding-units")
+    classes = units.filter("vec is not null").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"), F.first(F.struct("vec", "code", "factor")).alias("r")).select("name", "least_id", "size", "r.*")
     classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "embedding-classes")
     k, bands = plan(classes.count(), cosine, recall)
-    banded = classes.select("rid", F.col("size").alias("weight"), "vec").mapInArrow(_band(k, bands), BANDED)
+    banded = classes.select("rid", F.col("size").alias("weight"), "vec", "code", "factor").mapInArrow(_band(k, bands, kind), BANDED)
     bucket = ["dim", "band", "key"]
     # Most buckets are one block. The list of the others is joined in: as a broadcast while it is short, else by key.
     large = written(banded.groupBy(*bucket).count().filter(F.col("count") > tile).select(*bucket, F.ceil(F.col("count") / tile).cast("int").alias("blocks")), "embedding-buckets")
@@ -180,9 +207,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dealt = banded.join(known, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rid"), "blocks").cast("int")
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
-        *bucket, F.least(mine, "k").alias("b1"), F.greatest(mine, "k").alias("b2"), "rid", "weight", "keys", "vec",
+        *bucket, F.least(mine, "k").alias("b1"), F.greatest(mine, "k").alias("b2"), "rid", "weight", "keys", "vec", "code", "factor",
         F.when(F.col("blocks") == 1, 0).when(F.col("k") == mine, 0).otherwise(F.when(mine > F.col("k"), 2).otherwise(1)).alias("side"))
-    found = written(by_group(dealt, parallelism(spark), [*bucket, "b1", "b2"], LINKED, _compare(k, cosine)), "embedding-links")
+    found = written(by_group(dealt, parallelism(spark), [*bucket, "b1", "b2"], LINKED, _compare(k, cosine, kind)), "embedding-links")
     links = found.groupBy("rid").agg(F.sum("weight").alias("links"))
     groups = components(found.select(F.col("rid").alias("u"), F.col("other").alias("v")))
     ids = groups.withColumnRenamed("node", "rid").join(classes.select("rid", "least_id"), "rid")

@@ -160,6 +160,22 @@ def test_embeddings_equal_brute_force(spark):
         assert got == want
 
 
+def test_embedding_recall_at_the_default_setting(spark):
+    """Pairs just above the threshold; nothing below it is linked."""
+    r = np.random.default_rng(5)
+    d, n = 64, 600
+    x = r.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = r.normal(size=(n, d))
+    y -= (y * x).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = np.concatenate([r.uniform(0.9002, 0.905, n // 2), r.uniform(0.89, 0.8998, n // 2)])[:, None]
+    rows = [(2 * i + k, [float(v) for v in vec]) for i in range(n) for k, vec in enumerate((x[i], c[i] * x[i] + np.sqrt(1 - c[i] ** 2) * y[i]))]
+    for kind in ("float", "double"):
+        got = {q.vec_id: q.n_links for q in embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+        assert sum(got[2 * i] for i in range(n // 2)) >= 0.95 * (n // 2) and not any(got[2 * i] for i in range(n // 2, n))
+
+
 def test_embedding_edges(spark):
     nan, inf = math.nan, math.inf
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1e-30, 0.0]), (10, [1.0, 0.0, 0.0]), (7, [1.0, 0.0]), (None, [3.0, 0.0]), (None, None)]
