@@ -136,7 +136,7 @@ def split(names: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int
 ASKED = "bucket long, gid long, n long, segs binary, body binary"
 ANSWERED = "gid long, bucket long, segs binary, body binary"
 #: Names that a message shall hold on average, and the batches that may share messages.
-MESSAGE_NAMES, FEWEST_BATCHES, MOST_BATCHES = 256, 8, 512
+MESSAGE_NAMES, FEWEST_BATCHES, MOST_BATCHES = 256, 8, 256
 
 
 def group_size(n: int, per_byte: float, batch_bytes: int = BATCH_BYTES) -> int:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on one machine without it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="spark-siftlight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -226,3 +226,12 @@ def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_embedding_dedup": op8_embedding_dedup}
+ORACLE = {
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT a, w FROM reach JOIN links ON u = b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n ON u = vec_id""",
+}

@@ -256,3 +256,13 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+ORACLE = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS k, unnest(list_transform(range(1, len(ws) - 18), lambda k: md5(array_to_string(ws[k:k + 19], ' ')))) AS name FROM d WHERE len(ws) >= 20),
+late AS (SELECT doc_id, k FROM windows QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM late, range(20) AS t(j)),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+kept AS (SELECT w.doc_id, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY w.k) FILTER (gone.k IS NULL) AS text FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.k = gone.k GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+}

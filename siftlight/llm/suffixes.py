@@ -266,3 +266,19 @@ def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}
+ORACLE = {
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, unnest(range(1, len(h) // 2 - 398)) AS k, unnest(list_transform(range(1, len(h) // 2 - 398), lambda k: md5(substr(h, 2 * k - 1, 800)))) AS name FROM d WHERE len(h) >= 800),
+hit AS (SELECT doc_id, k FROM strings QUALIFY count(*) OVER (PARTITION BY name) > 1),
+runs AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) > 400 AS apart FROM hit),
+numbered AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM runs),
+spans AS (SELECT doc_id, min(k) AS first, max(k) + 399 AS last FROM numbered GROUP BY doc_id, run),
+bytes AS (SELECT doc_id, unnest(range(1, len(h) // 2 + 1)) AS k, unnest(list_transform(range(1, len(h) // 2 + 1), lambda k: substr(h, 2 * k - 1, 2))) AS b FROM d),
+marked AS (SELECT *, count(*) FILTER (b < '80' OR b >= 'C0') OVER (PARTITION BY doc_id ORDER BY k) AS c FROM bytes),
+judged AS (SELECT m.*, coalesce(m.k <= s.last, false) AS gone FROM marked AS m ASOF LEFT JOIN spans AS s ON m.doc_id = s.doc_id AND m.k >= s.first),
+whole AS (SELECT *, bool_or(gone) OVER (PARTITION BY doc_id, c) AS broken FROM judged),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(b, '' ORDER BY k) FILTER (NOT gone) AS h, string_agg(b, '' ORDER BY k) FILTER (NOT broken) AS t FROM whole GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce((SELECT count(*) FROM spans AS s WHERE s.doc_id = d.doc_id), 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256, decode(unhex(coalesce(kept.t, ''))) AS kept_text FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+}

@@ -381,8 +381,31 @@ def test_suffixes_of_random_overlaps(spark):
     assert got == brute.removed_bytes(rows, suffixes.LENGTH)
 
 
+def test_messages_grow_with_the_input():
+    from siftlight.llm import batches
+
+    per_gb = []
+    for gb in (30, 100, 300, 1000):
+        n = int(gb * 1e9 * 0.04 / 1.2e6)
+        per_gb.append(gb * 1e9 / batches.BATCH_BYTES / batches.group_size(n, 0.04) * n / gb)
+    assert max(per_gb) < 1.5 * min(per_gb)
+
+
 # 3 and 10: what one passage in many surroundings sends
 
+def test_batches_of_a_group_share_messages():
+    import pyarrow as pa
+    from siftlight.llm import batches
+    from siftlight.llm.textkit import squeeze, unsqueeze
+
+    rows = pa.RecordBatch.from_pydict({"bid": [(1 << 32) | k for k in range(5)]})
+    gather = lambda row: [(k, [np.array([row["bid"], k], np.uint64)]) for k in range(3)]
+    sent = [r for b in batches.messages(iter([rows]), 4, gather, lambda a: squeeze(a)) for r in b.to_pylist()]
+    assert [(r["bucket"], r["n"]) for r in sent] == [(0, 8), (1, 8), (2, 8), (0, 2), (1, 2), (2, 2)]
+    assert np.frombuffer(sent[1]["segs"], np.int64).reshape(-1, 2).tolist() == [[(1 << 32) | k, 2] for k in range(4)]
+    assert unsqueeze(sent[1]["body"], np.uint64).tolist() == [x for k in range(4) for x in ((1 << 32) | k, 1)]
+
+
 def largest_share(spark, monkeypatch, module, run):
     """The result of run() and the largest bucket's share of the names sent in round two, of 32 buckets."""
     sent, real = [], module.exchange
