@@ -41,7 +41,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur more than once go from the texts; every document stays."""
-    return suffixes.without_repeats(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return suffixes.without_repeats(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
