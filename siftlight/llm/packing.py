@@ -22,7 +22,6 @@ other columns are not read.
 from __future__ import annotations
 
 import bisect
-import gc
 import json
 import os
 import re
@@ -163,7 +162,6 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """Every document as pieces of at most ``capacity`` tokens: see ``PIECES``; ``ids`` adds their bytes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and every collection would walk the cache
         uid, tok = TaskContext.get().partitionId() << 40, WordTokenizer.at(tokenizer)
         tail = np.uint32(end_id).tobytes()
         for b in parts:
@@ -185,7 +183,6 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names = [f.split()[0] for f in PIECES.split(", ")] + ["ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[:6 + ids])
                 lo = hi
-        gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     with bounded_batches(docs.sparkSession):
