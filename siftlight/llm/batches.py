@@ -157,6 +157,7 @@ def messages(parts: Iterator[pa.RecordBatch], group: int, gather: Callable[[dict
     def flush() -> pa.RecordBatch:
         cols = ([], [], [], [], [])
         for k in sorted(held):
+            held[k].sort(key=lambda h: h[0])
             segs = np.array([(bid, len(c[0])) for bid, c in held[k]], np.int64)
             body = encode(*[np.concatenate(c) for c in zip(*(c for _, c in held[k]), strict=True)])
             for col, v in zip(cols, (k, gid, int(segs[:, 1].sum()), segs.tobytes(), body), strict=True):
@@ -178,7 +179,7 @@ def messages(parts: Iterator[pa.RecordBatch], group: int, gather: Callable[[dict
 
 def exchange(sent: DataFrame, answer: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
     """``answer`` gets all messages of one bucket (in order of bid) and returns one body for each, a byte for a name; one
-    row per batch comes out, with its bytes in order of bucket."""
+    row (gid, replies) per group of batches comes out: each batch's bytes in order of bucket."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         first = [np.frombuffer(b, np.int64, 1)[0] for b in rows["segs"]]
@@ -192,10 +193,23 @@ def exchange(sent: DataFrame, answer: Callable[[pd.DataFrame], list[bytes]]) ->
             segs = np.frombuffer(segs, np.int64).reshape(-1, 2)
             for bid, part in zip(segs[:, 0].tolist(), np.split(unsqueeze(body), np.cumsum(segs[:-1, 1])), strict=True):
                 of.setdefault(bid, []).append(part)
-        return pd.DataFrame({"bid": list(of), "replies": [squeeze(np.concatenate(p)) for p in of.values()]})
+        return pd.DataFrame({"gid": [rows["gid"].iloc[0]], "replies": [[{"bid": bid, "body": squeeze(np.concatenate(p))} for bid, p in of.items()]]})
 
     replies = sent.groupBy("bucket").applyInPandas(one, ANSWERED)
-    return replies.groupBy("gid").applyInPandas(deal, "bid long, replies binary")
+    return replies.groupBy("gid").applyInPandas(deal, "gid long, replies array<struct<bid: long, body: binary>>")
+
+
+def with_replies(batches: DataFrame, group: int, *replies: DataFrame) -> DataFrame:
+    """Batches beside the replies to their group: joined by group, so that a group's batches stay together."""
+    out = batches.withColumn("gid", F.expr(f"shiftleft(shiftright(bid, 32), 32) | ((bid & 4294967295L) div {group})"))
+    for r in replies:
+        out = out.join(r, "gid", "left")
+    return out
+
+
+def own(row: dict, column: str = "replies") -> bytes | None:
+    """What a batch finds for itself among the replies to its group."""
+    return next((r["body"] for r in row[column] or [] if r["bid"] == row["bid"]), None)
 
 
 def answered(replies: bytes | None, names: np.ndarray, n: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import ASKED, Texts, answered, exchange, group_size, id_column, messages, n_buckets, pack, rows_of, split
+from .batches import ASKED, Texts, answered, exchange, group_size, id_column, messages, n_buckets, own, pack, rows_of, split, with_replies
 from .common import written
 from .textkit import U, Spans, mix, mix2, pad, squeeze, trimmed, unsqueeze, word_names, words
 
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def gather(row: dict) -> Iterator:
             batch = Texts(row)
             p = Parsed(batch, window, rounds)
-            chosen, second, key, _ = chosen_of(p, row["replies"])
+            chosen, second, key, _ = chosen_of(p, own(row))
             ids = batch.ids[p.doc[chosen]].view(np.uint64) if len(chosen) else np.empty(0, U)
             return split(key, n, second, ids)
 
@@ -217,8 +217,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for row in rows_of(parts):
             batch = Texts(row)
             p = Parsed(batch, window, rounds)
-            chosen, _, key, again = chosen_of(p, row["replies"])
-            late = chosen[answered(row["later"], key, n).astype(bool)]
+            chosen, _, key, again = chosen_of(p, own(row))
+            late = chosen[answered(own(row, "later"), key, n).astype(bool)]
             cover = np.zeros(len(p.starts) + 1, np.int32)
             for w in (p.window_at[late], p.window_at[again]):
                 np.add.at(cover, w, 1)
@@ -246,8 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     replies = exchange(batches.mapInArrow(trimmed(ask_anchors), ASKED), _shared)
     first = written(replies, "recompression-anchors")
-    later = exchange(batches.join(first, "bid", "left").mapInArrow(trimmed(ask_windows), ASKED), _earlier).withColumnRenamed("replies", "later")
-    joined = batches.join(first, "bid", "left").join(later, "bid", "left")
+    later = exchange(with_replies(batches, group, first).mapInArrow(trimmed(ask_windows), ASKED), _earlier).withColumnRenamed("replies", "later")
+    joined = with_replies(batches, group, first, later)
     return joined.mapInArrow(trimmed(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 

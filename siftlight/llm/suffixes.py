@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import ASKED, Texts, answered, carried, exchange, group_size, id_column, messages, n_buckets, pack, rows_of, split
+from .batches import ASKED, Texts, answered, carried, exchange, group_size, id_column, messages, n_buckets, own, pack, rows_of, split, with_replies
 from .common import written
 from .textkit import BYTE_NAMES, U, Spans, mix2, pad, ranges, squeeze, trimmed, unsqueeze
 
@@ -235,7 +235,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
 
     def ask_strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def gather(row: dict) -> Iterator:
-            _, _, names, key, _, multi = _strings(Blocks(Texts(row), length), row["replies"], n)
+            _, _, names, key, _, multi = _strings(Blocks(Texts(row), length), own(row), n)
             return split(key, n, names, multi)
 
         return messages(parts, group, gather, lambda a, x: squeeze(a.tobytes() + x.astype(np.uint8).tobytes()))
@@ -244,8 +244,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
         for row in rows_of(parts):
             batch = Texts(row)
             p = Blocks(batch, length)
-            state, places, names, key, inverse, _ = _strings(p, row["replies"], n)
-            hit = places[answered(row["later"], key, n).astype(bool)[inverse]] if len(places) else places
+            state, places, names, key, inverse, _ = _strings(p, own(row), n)
+            hit = places[answered(own(row, "later"), key, n).astype(bool)[inverse]] if len(places) else places
             cover = np.zeros(len(p.padded) + 1, np.int32)
             sure = np.flatnonzero((state == REPEATED) | (state == REPEATED_ASK))
             np.add.at(cover, p.at[p.head[sure]], 1)
@@ -256,8 +256,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
             yield result(row, batch, p, gone)
 
     first = written(exchange(batches.mapInArrow(trimmed(ask_blocks), ASKED), _judge_blocks), "suffix-blocks")
-    later = exchange(batches.join(first, "bid", "left").mapInArrow(trimmed(ask_strings), ASKED), _judge_strings).withColumnRenamed("replies", "later")
-    joined = batches.join(first, "bid", "left").join(later, "bid", "left")
+    later = exchange(with_replies(batches, group, first).mapInArrow(trimmed(ask_strings), ASKED), _judge_strings).withColumnRenamed("replies", "later")
+    joined = with_replies(batches, group, first, later)
     return joined.mapInArrow(trimmed(finish), schema)
 
 
