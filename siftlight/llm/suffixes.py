@@ -6,8 +6,9 @@ before. Bucket names are 64-bit mixes, equal for equal strings in every batch.
 
 Not every suffix is exchanged. Each 400-byte string picks one sampled suffix, the smallest 50-byte bucket inside it, so
 copies of a string pick the same place. Strings with one sample are neighbours; up to 64 of them form a block with two
-names: its core (the bytes common to all) and its extent (all bytes they cover). Spark round one sorts blocks by core:
-a core of its own settles the block as unique, an extent seen twice settles it as repeated. Only blocks that share a
+names: its core (the bytes common to all) and its extent (all bytes they cover). Spark round one sorts blocks by core and
+extent, and each batch's cores by core: a core of its own settles the block as unique, an extent seen twice settles it as
+repeated. Only blocks that share a
 core but not an extent, and one block of every extent beside them, send the buckets of their single 400-byte strings in
 round two. So long copies cost a few names, and only the ends of repeats are looked at byte by byte.
 
@@ -109,28 +110,52 @@ class Blocks:
         return places, self.whole[places], np.repeat(self.core[blocks], self.size[blocks])
 
 
+def _questions(p: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a batch asks in round one: its distinct pairs of core and extent, by their common name, then its distinct
+    cores, each with an extent.
+
+    Names, extents (of cores), flags (bit 0: a pair occurs again here, or a core has more extents here; bit 1: a core),
+    and for each distinct pair its core's number, and for each block its pair's number.
+    """
+    c, e, again, kind = p.distinct()
+    cores, first, core_of, count = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+    flags = np.concatenate([again.astype(np.uint8), 2 + (count > 1).astype(np.uint8)])
+    return np.concatenate([mix2(c, e, 16), cores]), np.concatenate([np.zeros(len(c), U), e[first]]), flags, core_of, kind
+
+
+def _state(answers: np.ndarray, core_of: np.ndarray) -> np.ndarray:
+    """What each distinct pair is told, from its own answer (0: unique, 1: repeated, 2: the first of repeated ones) and its
+    core's (1: it has several extents)."""
+    own, mixed = answers[:len(core_of)], answers[len(core_of):].astype(bool)[core_of]
+    return np.where(own == 0, np.where(mixed, ASK, UNIQUE), np.where((own == 2) & mixed, REPEATED_ASK, REPEATED)).astype(np.uint8)
+
+
 def _judge_blocks(rows: pd.DataFrame) -> list[bytes]:
-    cores, extents, multi, sizes = [], [], [], rows["n"].tolist()
+    """Pairs are dealt by core and extent, so a core that many documents hold sends one name for each batch here."""
+    names, extents, flags, sizes = [], [], [], rows["n"].tolist()
     for body, n in zip(rows["body"], sizes, strict=True):
-        p = unsqueeze(body, np.uint64)
-        cores.append(p[:n])
-        extents.append(p[n:2 * n])
-        multi.append(p[2 * n:].astype(bool))
-    core, extent, multi = np.concatenate(cores), np.concatenate(extents), np.concatenate(multi)
-    order = np.lexsort((extent, core))
-    c, e, m = core[order], extent[order], multi[order]
-    new_c = np.ones(len(order), bool)
-    new_c[1:] = c[1:] != c[:-1]
-    new_e = new_c.copy()
-    new_e[1:] |= e[1:] != e[:-1]
-    kind = np.cumsum(new_e) - 1
-    seen = np.bincount(kind, weights=1 + m)
-    group = np.cumsum(new_c) - 1
-    mixed = np.bincount(group, weights=new_e)[group] > 1  # the core has several extents
-    repeated = seen[kind] >= 2
-    state = np.where(repeated, np.where(mixed & new_e, REPEATED_ASK, REPEATED), np.where(mixed, ASK, UNIQUE)).astype(np.uint8)
-    out = np.empty(len(order), np.uint8)
-    out[order] = state
+        p = unsqueeze(body, np.uint8)
+        names.append(p[:8 * n].view(np.uint64))
+        extents.append(p[8 * n:16 * n].view(np.uint64))
+        flags.append(p[16 * n:])
+    name, extent, flag = np.concatenate(names), np.concatenate(extents), np.concatenate(flags)
+    out = np.zeros(len(name), np.uint8)
+    pairs = np.flatnonzero(flag < 2)
+    pairs = pairs[np.argsort(name[pairs], kind="stable")]
+    if len(pairs):
+        s = name[pairs]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        kind = np.cumsum(new) - 1
+        repeated = np.bincount(kind, weights=1 + flag[pairs])[kind] >= 2
+        out[pairs] = repeated * (1 + new)
+    cores = np.flatnonzero(flag >= 2)
+    cores = cores[np.lexsort((extent[cores], name[cores]))]
+    if len(cores):
+        s, e = name[cores], extent[cores]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        other = ~new & np.concatenate([[False], e[1:] != e[:-1]])
+        kind = np.cumsum(new) - 1
+        out[cores] = np.bincount(kind, weights=other | (flag[cores] == 3))[kind] > 0
     return [squeeze(p) for p in np.split(out, np.cumsum(sizes)[:-1])]
 
 
@@ -156,8 +181,8 @@ def _strings(p: Blocks, replies: bytes | None, n: int) -> tuple:
     The strings come with the keys that choose their buckets: mixed from core and name, so equal for equal strings, and
     a core that many documents hold is spread over all buckets.
     """
-    cores, _, _, kind = p.distinct()
-    state = answered(replies, cores, n)[kind] if len(kind) else np.empty(0, np.uint8)
+    names, _, _, core_of, kind = _questions(p)
+    state = _state(answered(replies, names, n), core_of)[kind] if len(kind) else np.empty(0, np.uint8)
     _, first = np.unique(kind, return_index=True)
     asking = np.zeros(len(kind), bool)
     asking[first] = True  # equal blocks of a batch ask once
@@ -223,15 +248,15 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, carry: boo
     if length % 16 or length <= 2 * BLOCK:
         raise ValueError("length: a multiple of 16 above 128")
     batches = pack(docs, id_col, text_col, name="suffix-batches", carry=carry)
-    n = n_buckets(batches, 0.04)
-    group = group_size(n, 0.04)
+    n = n_buckets(batches, 0.08)
+    group = group_size(n, 0.08)
 
     def ask_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def gather(row: dict) -> Iterator:
-            c, e, m, _ = Blocks(Texts(row), length).distinct()
-            return split(c, n, c, e, m)
+            names, extents, flags, _, _ = _questions(Blocks(Texts(row), length))
+            return split(names, n, names, extents, flags)
 
-        return messages(parts, group, gather, lambda a, b, x: squeeze(np.concatenate([a, b, x.astype(np.uint64)])))
+        return messages(parts, group, gather, lambda a, b, x: squeeze(a.tobytes() + b.tobytes() + x.tobytes()))
 
     def ask_strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def gather(row: dict) -> Iterator:

@@ -435,6 +435,24 @@ def test_a_common_passage_is_spread_over_the_buckets(spark, monkeypatch):
     assert got == brute.removed_bytes(rows, suffixes.LENGTH) and share < 0.1
 
 
+def test_a_common_core_is_one_name_a_batch(spark, monkeypatch):
+    """Round one: neither the pairs nor the cores of one passage in many surroundings fill a bucket."""
+    r = np.random.default_rng(8)
+    letters = list("abcdefghij")
+    passage = "".join(r.choice(letters, 450))
+    rows = [(i, "".join(r.choice(letters, 300)) + passage + "".join(r.choice(letters, 300))) for i in range(400)]
+    sent, real = [], suffixes.exchange
+    monkeypatch.setattr(suffixes, "exchange", lambda df, answer: (sent.append(df), real(df, answer))[1])
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count()
+        n = [x.n for x in sent[0].groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert max(n) < 0.1 * sum(n)
+
+
 def test_a_common_phrase_is_spread_over_the_buckets(spark, monkeypatch):
     r = np.random.default_rng(9)
     phrase = " ".join(f"p{x}" for x in r.integers(0, 10**6, 18))
