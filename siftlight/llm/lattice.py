@@ -25,6 +25,7 @@ empty result; other columns are not read. U+2581 in a text is a space to the mod
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -149,9 +150,13 @@ class Model:
             at = s + m
         return out + self.characters(unit[at:]) if at < len(unit) else out
 
+    def pieces_of(self, ids: np.ndarray) -> bytes:
+        """The pieces of the ids, UTF-8, with spaces."""
+        return self.bytes[ranges(self.starts[ids], self.sizes[ids])].tobytes().replace(SPACE.encode(), b" ")
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids, UTF-8, without the space in front."""
-        out = self.bytes[ranges(self.starts[ids], self.sizes[ids])].tobytes().replace(SPACE.encode(), b" ")
+        out = self.pieces_of(ids)
         return out[1:] if out[:1] == b" " else out
 
 
@@ -196,12 +201,6 @@ def _unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _bucket(unit: bytes, n: int) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(unit) % n
-
-
 def _words(text: bytes) -> list[bytes]:
     """What stands between single spaces; further spaces stay in front of the word they precede."""
     words = text.split(b" ") if text else []
@@ -238,31 +237,41 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             texts = [x.decode("utf-8", "replace").encode() for x in texts]
         return [x.replace(space, b" ") for x in texts] if space in raw else texts
 
-    def units_of(word: bytes) -> list[bytes]:
-        unit = space + word.replace(b" ", space)
-        return [unit] if len(word) < MASK else [u.encode() for u in model.cut(unit.decode())]
-
     def by_bucket(texts: list[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
         """The distinct units of a batch, sorted, by bucket; and the units of each word that has several."""
         by: dict[int, list[bytes]] = {}
         many, rest, found = {}, set(), {w for x in texts for w in _words(x)}
         for w in found:
-            units = units_of(w)
+            unit = space + (w.replace(b" ", space) if b" " in w else w)
+            units = [unit] if len(w) < MASK else [u.encode() for u in model.cut(unit.decode())]
             if len(units) == 1:
-                by.setdefault(_bucket(units[0], n), []).append(units[0])
+                by.setdefault(zlib.crc32(unit) % n, []).append(unit)
             else:
                 many[w] = units
                 rest.update(units)
         for u in rest:
             if key(u) not in found:  # else it is there as that word's
-                by.setdefault(_bucket(u, n), []).append(u)
+                by.setdefault(zlib.crc32(u) % n, []).append(u)
         for units in by.values():
             units.sort()
         return by, many
 
     def key(unit: bytes) -> bytes:
         """The word that a unit is; a unit inside a word, which has no space in front, gets a key that is no word."""
-        return unit.replace(space, b" ")[1:] if unit.startswith(space) else b" \0 " + unit
+        if not unit.startswith(space):
+            return b" \0 " + unit
+        word = unit[len(space):]
+        return word.replace(space, b" ") if space in word else word
+
+    def wrong(ids_of: dict[bytes, bytes]) -> set[bytes]:
+        """Words that their ids do not decode to. A text is its words with a space between, its ids are theirs in a row."""
+        out, words = set(), list(ids_of)
+        for lo in range(0, len(words), 50_000):
+            some = words[lo:lo + 50_000]
+            spaced = [w[3:] if w.startswith(b" \0 ") else b" " + w for w in some]
+            if model.pieces_of(np.frombuffer(b"".join([ids_of[w] for w in some]), np.uint32)) != b"".join(spaced):
+                out.update(w for w, s in zip(some, spaced, strict=True) if model.pieces_of(np.frombuffer(ids_of[w], np.uint32)) != s)
+        return out
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
@@ -313,11 +322,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     at = end
             for w, units in many.items():
                 ids_of[w] = b"".join([ids_of[key(u)] for u in units])
-            doc_ids, out = id_column(Texts(row).ids), []
+            doc_ids, out, bad = id_column(Texts(row).ids), [], wrong(ids_of)
             for i, text in enumerate(texts):
-                buf = b"".join(map(ids_of.__getitem__, _words(text)))
-                tokens = np.frombuffer(buf, np.uint32)
-                out.append((doc_ids[i].as_py(), len(tokens), hashlib.sha256(buf).hexdigest(), model.decode(tokens) == text) + ((tokens.astype(np.int32).tolist(),) if ids else ()))
+                words = _words(text)
+                buf = b"".join(map(ids_of.__getitem__, words))
+                right = not bad or bad.isdisjoint(words)
+                out.append((doc_ids[i].as_py(), len(buf) // 4, hashlib.sha256(buf).hexdigest(), right) + ((np.frombuffer(buf, np.uint32).astype(np.int32).tolist(),) if ids else ()))
                 if len(out) == 2000:
                     yield _docs(out, ids)
                     out = []

@@ -168,7 +168,10 @@ def test_lattice_equals_the_library(spark, docs, odd, pairs, odd_pairs):
         assert got == by_id((d, library.encode(t or "")) for d, t in rows)
     assert all(r.round_trip for r in lattice.encode(odd, lattice.default_model()).collect())
     assert lattice.encode(odd.filter("false"), lattice.default_model()).count() == 0
+    assert all(r.round_trip for r in lattice.encode(docs, lattice.default_model(), ids=False).collect())
     model = lattice.Model(lattice.default_model())
+    texts = lattice.encode(docs, lattice.default_model()).join(docs.select("doc_id", "text"), "doc_id").limit(20).collect()
+    assert all(model.decode(np.array(r.ids, np.int64)).decode() == (r.text or "") for r in texts)
     assert model.decode(np.array(library.encode("a  b\nÉ日"))).decode() == "a  b\nÉ日"
 
 
