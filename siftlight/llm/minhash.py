@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = groups.join(reps.select(F.col("rid").alias("node"), "digest", "least_id"), "node")
     named = ids.join(ids.groupBy("component").agg(F.min("least_id").alias("group_id")), "component").select("digest", "group_id")
     classes = reps.select("digest", "least_id").join(named, "digest", "left").select("digest", F.coalesce("group_id", "least_id").alias("group_id"))
+    classes = written(classes, "minhash-classes")  # beside a written table, a hot digest is a skewed side that can be split
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     return out.select("doc_id", "n_shingles", F.nullif(F.coalesce("group_id", "doc_id"), F.lit(NULL_ID)).alias("component_id")).select(
         "*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
