@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, language, lattice, minhash, packing, quality, recompression, suffixes, warc
+from . import audit, centroids, chat, embeddings, language, lattice, minhash, packing, quality, recompression, sharding, suffixes, warc
 
-_MODULES = (quality, packing, recompression, lattice, language, chat, warc, embeddings, minhash, suffixes)
+_MODULES = (quality, packing, recompression, lattice, language, chat, warc, embeddings, minhash, suffixes, audit, sharding, centroids)
 
 
 def queries() -> dict:
