@@ -81,7 +81,8 @@ def _round(rows: DataFrame, searches: DataFrame, n: int, n_dims: int) -> DataFra
     here = _beside(rows, searches, n).withColumn("value", _value(n_dims)).filter("(part = 0 OR value = at0) AND (part < 2 OR id = at1)")
     here = here.withColumn("x", F.expr("CASE part WHEN 0 THEN value WHEN 1 THEN id ELSE rid END")).filter("lo IS NULL OR x BETWEEN lo AND hi")
     # With the sign flipped, longs are ordered by their bits; the buckets are the BITS below those that lo and hi share.
-    shift = F.coalesce(F.greatest(F.lit(0), F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))) - BITS), F.lit(64 - BITS))
+    spread = F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi"))))
+    shift = F.when(F.col("lo").isNull(), 64 - BITS).otherwise(F.greatest(F.lit(0), spread - BITS))
     bucket = F.call_function("shiftrightunsigned", F.col("x").bitwiseXOR(F.lit(LEAST)), shift.cast("int"))
     counted = here.groupBy("node", bucket.alias("bucket")).agg(F.sum("size").alias("held"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.count("*").alias("n"))
     run = counted.join(searches.drop("lo", "hi", "found", "with_it"), "node").withColumn("upto", F.col("below") + F.expr("sum(held) OVER (PARTITION BY node ORDER BY bucket)"))
@@ -139,14 +140,13 @@ def assign(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | Non
     base = docs.select(
         ids.alias("doc_id"), F.coalesce(ids, F.lit(LEAST)).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
         *[place(c, docs.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(dimensions)], *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
-    base = written(base.withColumn("rid", F.monotonically_increasing_id()), "shard-rows")
+    base = written(base.withColumns({"rid": F.monotonically_increasing_id(), "node": F.lit(0).cast("long"), "first": F.lit(0)}), "shard-rows")
     spans = [f(f"v{i}").alias(f"{side}{i}") for i in range(n_dims) for side, f in (("lo", F.min), ("hi", F.max))]
     whole = base.agg(F.sum("size").alias("bytes"), *spans).first()
     leaves = 1 if not whole.bytes else shards or max(1, -(-whole.bytes // max(1, target_bytes)))
     roots = {f"root{i}": F.lit(float(whole[f"hi{i}"]) - float(whole[f"lo{i}"]) if whole.bytes else 0.0) for i in range(n_dims)}
-    start = {"node": F.lit(0).cast("long"), "k": F.lit(leaves), "first": F.lit(0)}
     levels: list[tuple[DataFrame, int]] = []
-    rows, narrow = base.drop("carried").withColumns(start), None
+    rows, narrow = base.drop("carried").withColumn("k", F.lit(leaves)), None
     while True:
         nodes = written(rows.groupBy("node", "k").agg(F.sum("size").alias("bytes"), *spans).withColumns(roots), "shard-nodes")
         n = nodes.filter("k > 1").count()
@@ -159,7 +159,7 @@ def assign(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | Non
             discard(narrow)
         rows = narrow = moved
     if carry:
-        rows = base.withColumns(start)
+        rows = base.withColumn("k", F.lit(leaves))
         for cuts, n in levels:
             rows = route(rows, cuts, n, n_dims)
     tree = docs.sparkSession.createDataFrame([], "level int, node long, dim int, at0 long, at1 long, at2 long, with_it boolean")
