@@ -221,10 +221,10 @@ def test_pipeline_equals_brute_force(spark):
     network = language.train(kept.filter(~language.held_out(F.col("doc_id"))))
     known = language.identify(kept, network).filter(f"lang_pred <> 'und' and score >= {corpus_pipeline.MIN_LANGUAGE_SCORE}").select("doc_id")
     rows = sorted((r.doc_id, r.text) for r in kept.join(known, "doc_id").collect())
-    groups = brute.linked_shingles(rows)
+    groups = brute.linked_shingles(rows, percent=80)
     rows = [(d, t) for d, t in rows if groups[d][1] == d]
     data = [(d, t.encode()) for d, t in rows]
-    seen, size = {}, corpus_pipeline.PASSAGE_BYTES
+    seen, size = {}, 224
     for _, b in data:
         for i in range(len(b) - size + 1):
             seen[b[i:i + size]] = seen.get(b[i:i + size], 0) + 1
@@ -279,13 +279,6 @@ def test_bands_follow_from_the_threshold():
         assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
 
 
-def test_pipeline_equals_brute_force_at_80_percent(spark, monkeypatch):
-    from functools import partial
-
-    monkeypatch.setattr(brute, "linked_shingles", partial(brute.linked_shingles, percent=80))
-    test_pipeline_equals_brute_force(spark)
-
-
 def test_pipeline_stages_on_odd_rows(spark, odd):
     """Null and repeated ids and clashing names go through the last three stages; all but the last keep the columns."""
     import corpus_pipeline
