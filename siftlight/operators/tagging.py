@@ -55,10 +55,17 @@ def records(ops: DataFrame, new_rating: int = NEW_RATING, store: DataFrame | Non
     return final.select("catalog", "name", rating.cast("int").alias("rating"), F.nullif("s.tagged_seq", F.lit(-1)).alias("tagged_seq"), "s.was.dateTagged", "s.was.dateCopied")
 
 
-def entries(ops: DataFrame) -> DataFrame:
-    """(catalog, started_seq, has_records): the catalogs of a store that began empty, after all operations."""
-    everything = F.coalesce(ops.filter("op = 'reset_all'").agg(F.max("seq").alias("all_at")).scalar(), F.lit(-1))
-    of = ops.filter("op = 'toggle' and name is not null or op = 'reset'").filter(F.col("seq") > everything)
+def entries(ops: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(catalog, started_seq, has_records): the catalogs of a store after all operations.
+
+    ``known`` has the entries (catalog, has_records) that were there before them; theirs have no ``started_seq``.
+    """
+    everything = F.coalesce(ops.filter("op = 'reset_all'").agg(F.max("seq").alias("all_at")).scalar(), F.lit(-3))
+    of = ops.filter("op = 'toggle' and name is not null or op = 'reset'").select("catalog", "op", F.col("seq").cast("bigint").alias("seq"))
+    if known is not None:  # as a toggle before all operations, and a reset behind it where the records are gone
+        before = F.when(F.col("has_records"), F.array(F.lit("toggle"))).otherwise(F.array(F.lit("toggle"), F.lit("reset")))
+        of = of.unionByName(known.select("catalog", F.posexplode(before).alias("k", "op")).select("catalog", "op", (F.col("k") - 2).cast("bigint").alias("seq")))
+    of = of.filter(F.col("seq") > everything)
     toggle, reset = (F.when(F.col("op") == op, F.col("seq")) for op in ("toggle", "reset"))
     seen = of.groupBy("catalog").agg(F.min(toggle).alias("started_seq"), F.max(toggle).alias("toggled"), F.max(reset).alias("reset_at"))
-    return seen.filter("started_seq is not null").select("catalog", "started_seq", (F.col("toggled") > F.coalesce("reset_at", F.lit(-1))).alias("has_records"))
+    return seen.filter("started_seq is not null").select("catalog", F.when(F.col("started_seq") >= 0, F.col("started_seq")).alias("started_seq"), (F.col("toggled") > F.coalesce("reset_at", F.lit(-3))).alias("has_records"))
