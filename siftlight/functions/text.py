@@ -37,7 +37,7 @@ def cache_key(path: Column) -> Column:
 @F.pandas_udf(StringType())
 def one_decimal(x: pd.Series) -> pd.Series:
     """C's "%.1f", which rounds exact ties to even; Spark's format_string rounds them up."""
-    return x.map(lambda v: "%.1f" % v, na_action="ignore")
+    return pd.Series([None if pd.isna(v) else "%.1f" % v for v in x], dtype=object)  # object: also where all are null
 
 
 def whole(x: Column) -> Column:

@@ -7,7 +7,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -19,7 +20,14 @@ WIDTH, COMPRESSION, MODEL, STRIP_OFFSETS, STRIP_SIZES, SUB_IFDS = 0x0100, 0x0103
 JPEG_OFFSET, JPEG_SIZE, EXIF_IFD = 0x0201, 0x0202, 0x8769
 EXPOSURE, APERTURE, ISO, FOCAL, LENS = 0x829A, 0x829D, 0x8827, 0x920A, 0xA434
 
-RAW = "path string, has_exif boolean, shutter double, aperture double, iso double, focal double, camera string, lens string, previews array<struct<idx: int, width: long, jpeg: boolean, start: long, size: long>>"
+METADATA = "has_exif boolean, shutter double, aperture double, iso double, focal double, camera string, lens string, previews array<struct<idx: int, width: long, jpeg: boolean, start: long, size: long>>"
+METADATA_COLUMNS = ("has_exif", "shutter", "aperture", "iso", "focal", "camera", "lens", "previews")
+METADATA_ARROW = [
+    ("has_exif", pa.bool_()), *[(c, pa.float64()) for c in ("shutter", "aperture", "iso", "focal")], ("camera", pa.string()), ("lens", pa.string()),
+    ("previews", pa.list_(pa.struct([("idx", pa.int32()), ("width", pa.int64()), ("jpeg", pa.bool_()), ("start", pa.int64()), ("size", pa.int64())])))]
+RAW = f"path string, {METADATA}"
+#: Bytes of a preview that are read at most: a length in a file is not to be trusted.
+MOST_PREVIEW = 64 << 20
 
 
 def directory(data: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
@@ -60,9 +68,10 @@ def describe(data: bytes) -> dict:
             if one(EXIF_IFD):
                 exif, _ = directory(data, order, one(EXIF_IFD))
             start, size = (one(JPEG_OFFSET), one(JPEG_SIZE)) if one(JPEG_OFFSET) else (one(STRIP_OFFSETS), sum(f.get(STRIP_SIZES, [])))
-            if start:
+            # A candidate without a length, or one that the file has no room for, is none.
+            if start and size and start + size <= len(data):
                 out["previews"].append({"idx": idx, "width": one(WIDTH) or 0, "jpeg": bool(one(JPEG_OFFSET)) or one(COMPRESSION) == 6, "start": start, "size": size})
-                idx += 1
+            idx += bool(start)
         if exif is not None:
             get = lambda tag: (exif.get(tag) or [None])[0]
             out |= {"has_exif": True, "shutter": get(EXPOSURE), "aperture": get(APERTURE), "iso": get(ISO), "focal": get(FOCAL), "lens": get(LENS)}
@@ -71,43 +80,102 @@ def describe(data: bytes) -> dict:
     return out
 
 
+def read(path: str) -> dict:
+    """``describe`` of a file; one that is missing, empty or unreadable has no metadata."""
+    try:
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return describe(data)  # only the pages with directories are read
+    except (OSError, ValueError):
+        return describe(b"")
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Raw values per path (see ``RAW``); unreadable files give a row without metadata."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for path in part["path"]:
-                try:
-                    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                        rows.append({"path": path} | describe(data))  # only the pages with directories are read
-                except (OSError, ValueError):  # no file, or an empty one
-                    rows.append({"path": path} | describe(b""))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")[:8]] + ["previews"])
+            yield pd.DataFrame([{"path": path} | read(path) for path in part["path"]], columns=["path", *METADATA_COLUMNS])
 
     return files.select("path").mapInPandas(run, RAW)
 
 
-def exif_texts(raw: DataFrame) -> DataFrame:
-    """The formatted metadata struct, null for files without capture metadata."""
+def exif_text() -> Column:
+    """The formatted metadata struct over the columns of ``METADATA``, null without capture metadata."""
     c = F.col
     exif = F.struct(text.shutter_text(c("shutter")).alias("shutterSpeed"), text.focal_text(c("focal")).alias("focalLength"), text.aperture_text(c("aperture")).alias("aperture"), text.iso_text(c("iso")).alias("iso"), c("camera"), c("lens").alias("lensModel"))
-    return raw.select("path", F.when(c("has_exif"), exif).alias("exif"))
+    return F.when(c("has_exif"), exif)
+
+
+def exif_texts(raw: DataFrame) -> DataFrame:
+    """path and ``exif_text`` for each row of ``extract``."""
+    return raw.select("path", exif_text().alias("exif"))
 
 
 def embedded_previews(raw: DataFrame) -> DataFrame:
-    """path, idx, width, jpeg bytes of the widest JPEG inside each file; files without one are absent."""
+    """path, idx, width, jpeg bytes of the widest JPEG inside each file; files without one are absent.
+
+    The bytes are null where the file is gone, cut short, or the preview is longer than ``MOST_PREVIEW``.
+    """
     c = raw.select("path", F.inline("previews"))
     best = images.largest_preview(c.select(F.col("path").alias("file"), "idx", "width", "jpeg")).withColumnRenamed("file", "path")
     chosen = c.join(best.select("path", "idx"), ["path", "idx"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            data = []
-            for path, start, size in zip(part["path"], part["start"], part["size"], strict=True):
-                with open(path, "rb") as f:
-                    f.seek(start)
-                    data.append(f.read(size))
+            data = [piece(path, int(start), int(size)) for path, start, size in zip(part["path"], part["start"], part["size"], strict=True)]
             yield pd.DataFrame({"path": part["path"], "idx": part["idx"], "width": part["width"], "jpeg": data})
 
     return chosen.mapInPandas(run, "path string, idx int, width long, jpeg binary")
+
+
+def piece(path: str, start: int, size: int) -> bytes | None:
+    """``size`` bytes of a file from ``start`` on, if they are all there."""
+    if size > MOST_PREVIEW:
+        return None
+    try:
+        with open(path, "rb") as f:
+            f.seek(start)
+            data = f.read(size)
+    except OSError:
+        return None
+    return data if len(data) == size else None
+
+
+def compose(camera: str, exif: dict[int, object], previews: list[tuple[int, bytes]]) -> bytes:
+    """A raw file's frame: a chain of directories with a preview each (width, bytes), the first with the camera and the
+    capture settings (by tag: a number as a fraction of 1,000,000, an ISO as a whole number, a lens as text)."""
+    out = bytearray(b"II*\0\0\0\0\0")
+
+    def put(data: bytes) -> int:
+        out.extend(b"\0" * (len(out) % 2))
+        at = len(out)
+        out.extend(data)
+        return at
+
+    def text_field(value: str) -> tuple[int, int, int]:
+        raw = value.encode() + b"\0"
+        return 2, len(raw), put(raw) if len(raw) > 4 else int.from_bytes(raw, "little")
+
+    def directory_of(fields: dict[int, tuple[int, int, int]]) -> int:
+        rows = b"".join(struct.pack("<HHII", tag, *fields[tag]) for tag in sorted(fields))
+        return put(struct.pack("<H", len(fields)) + rows + b"\0\0\0\0")
+
+    settings = {}
+    for tag, value in exif.items():
+        if isinstance(value, str):
+            settings[tag] = text_field(value)
+        elif tag == ISO:
+            settings[tag] = (4, 1, int(value))
+        else:
+            settings[tag] = (5, 1, put(struct.pack("<II", round(value * 1_000_000), 1_000_000)))
+    last = 4  # where the place of the next directory is written
+    for k, (width, data) in enumerate(previews or [(0, b"")]):
+        fields = {WIDTH: (4, 1, width)}
+        if data:
+            fields |= {JPEG_OFFSET: (4, 1, put(data)), JPEG_SIZE: (4, 1, len(data))}
+        if not k:
+            fields |= {MODEL: text_field(camera)} | ({EXIF_IFD: (4, 1, directory_of(settings))} if settings else {})
+        at = directory_of(fields)
+        out[last:last + 4] = struct.pack("<I", at)
+        last = at + 2 + 12 * len(fields)
+    return bytes(out)
