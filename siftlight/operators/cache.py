@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 CRITICAL_LIMIT = 50 * 1024 * 1024
@@ -39,17 +39,39 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.groupBy("file_key").agg(F.min("seq").alias("seq"), F.count("*").alias("n_requests"))
 
 
+#: A warning takes 40 % off, rounded down; no limit that fits a long is above 0 after this many.
+MOST_WARNINGS = 96
+
+
 def pressure_limit(levels: DataFrame, key: str, start: int, strict: bool = True) -> DataFrame:
     """The memory limit after a sequence of pressure levels: a warning takes 40 % off each time, critical sets 50 MiB.
 
-    ``strict``: a normal level does not restore the limit; otherwise it does. One key's levels are folded in order of
-    seq; a run's levels are few, as the system sends them on change.
+    ``strict``: a normal level does not restore the limit; otherwise it does. Only the last level that sets a limit
+    matters, and how many warnings follow it: both are counted on the map side, so a key's history is never gathered.
     """
-    events = F.transform(F.sort_array(F.collect_list(F.struct("seq", "level"))), lambda x: x["level"])
-    after = lambda a, e: (F.when(e == "warning", F.floor(a * F.lit(0.6)).cast("bigint"))
-                          .when(e == "critical", F.lit(CRITICAL_LIMIT).cast("bigint"))
-                          .when((e == "normal") & F.lit(not strict), F.lit(start).cast("bigint")).otherwise(a))
-    return levels.groupBy(key).agg(events.alias("events")).select(key, F.aggregate("events", F.lit(start).cast("bigint"), after).alias("limit_bytes"))
+    sets = (F.col("level") == "critical") | ((F.col("level") == "normal") & F.lit(not strict))
+    last = levels.groupBy(key).agg(F.max(F.when(sets, F.struct("seq", "level"))).alias("last"))
+    since = levels.filter("level = 'warning'").join(last.select(F.col(key).alias("_key"), F.col("last.seq").alias("_at")), F.col(key).eqNullSafe(F.col("_key")))
+    # Of events with the same seq, levels stand in the order of their names: a warning comes after what sets a limit.
+    n = since.filter(F.col("_at").isNull() | (F.col("seq") >= F.col("_at"))).groupBy("_key").agg(F.count("*").alias("n"))
+    base = F.when(F.col("last.level") == "critical", F.lit(CRITICAL_LIMIT)).otherwise(F.lit(start)).cast("bigint")
+    times = F.slice(F.sequence(F.lit(0), F.lit(MOST_WARNINGS)), F.lit(1), F.least(F.coalesce("n", F.lit(0)), F.lit(MOST_WARNINGS)).cast("int"))
+    out = last.join(n, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, F.aggregate(times, base, lambda a, _: F.floor(a * F.lit(0.6)).cast("bigint")).alias("limit_bytes"))
+
+
+def observed(requests: DataFrame, name: str = "cache") -> tuple[DataFrame, Observation]:
+    """Requests with their counters on the side: whatever pass makes the rows counts them (``counters``), no second one."""
+    seen = Observation(name)
+    count = lambda tier: F.count_if(F.col("tier") == tier).alias({"ram": "hits", "disk": "misses", "extract": "extractions"}[tier])
+    return requests.observe(seen, *[count(t) for t in ("ram", "disk", "extract")]), seen
+
+
+def counters(seen: Observation) -> dict[str, float]:
+    """The statistics of an observed pass that has ended."""
+    got = seen.get
+    looked_up = got["hits"] + got["misses"]
+    return {**got, "hit_rate": got["hits"] * 100.0 / looked_up if looked_up else 0.0}
 
 
 def cleared(requests: DataFrame, by: list[str] | None = None) -> DataFrame:

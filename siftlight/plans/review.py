@@ -219,9 +219,12 @@ def calendar_grid(spark, d) -> DataFrame:
     return m.select(F.date_format("m", "yyyy-MM").alias("month"), F.explode(F.transform(dates.grid_days(F.col("m")), lambda x: x.cast("string"))).alias("day"))
 
 
-@query("SELECT array_to_string(list_transform(range(12), lambda k: strftime(DATE '2024-01-01' + to_months(k::INT), '%B')), ',') AS months, array_to_string(list_transform(range(7), lambda k: strftime(DATE '2024-01-08' + to_days(k::INT), '%a')), ',') AS weekdays")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%B') AS month, strftime(o_orderdate, '%a') AS weekday, ((isodow(o_orderdate) + 4) % 7 + 1)::INT AS place FROM orders")
 def calendar_names(spark, d) -> DataFrame:
-    return spark.range(1).select(F.array_join(dates.month_names(), ",").alias("months"), F.array_join(dates.weekday_symbols(), ",").alias("weekdays"))
+    """Month and weekday of each order by their names in lists; weeks begin on Wednesday, so that the list is a turned one."""
+    day = F.col("o_orderdate").cast("date")
+    place = F.pmod(F.dayofweek(day) - 4, F.lit(7)).cast("int") + 1
+    return s.table(spark, d, "orders").select("o_orderkey", F.element_at(dates.month_names(), F.month(day)).alias("month"), F.element_at(dates.weekday_symbols(4), place).alias("weekday"), place.alias("place"))
 
 
 # -- aggregates --------------------------------------------------------------------------------------------------
