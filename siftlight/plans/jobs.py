@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, jpeg
 from ..operators import cache, copyplan, selection, tagging
-from ..sources import catalog, processout, rawfiles, store, tiff
+from ..sources import catalog, jpegs, processout, rawfiles, store, tiff
 from ..streaming import completion, eta, output, taglog, tags, tagstate
 from . import standins as s
 from .review import ORACLE as _REVIEW_SQL
@@ -273,9 +275,56 @@ def cache_observed(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([cache.counters(seen)], "hits long, misses long, extractions long, hit_rate double")
 
 
+def _images(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+    """Raw files from documents whose previews are images: 4 x 4 fields of 16 x 16 grey pixels, which JPEG keeps exactly."""
+    folder = rawfiles.local_folder(scratch(spark))
+    doc = s.table(spark, d, "documents").select("doc_id", "source", "n_chars")
+
+    def drawn(parts):
+        for b in parts:
+            data = []
+            for doc_id, n in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
+                grey = (doc_id + n * np.arange(16)) % 256
+                data.append(jpeg.encode(np.kron(grey.reshape(4, 4), np.ones((16, 16), np.int64)).astype(np.uint8), 1.0))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(data, pa.binary())], names=["doc_id", "source", "jpeg"])
+
+    drawings = doc.mapInArrow(drawn, "doc_id long, source string, jpeg binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    image = lambda width, data: F.struct(F.lit(width).cast("long").alias("width"), data.alias("data"))
+    frames = drawings.select(
+        F.concat(F.lit(f"{folder}/"), "source").alias("folder"), F.concat(F.lit("_DSC"), F.col("doc_id").cast("string"), F.lit(".ARW")).alias("name"), F.lit("CAM").alias("camera"), *[none(k).alias(c) for c, k in (("shutter", "double"), ("aperture", "double"), ("iso", "long"), ("focal", "double"), ("lens", "string"))],
+        F.array(image(8, F.encode(F.lit("no image"), "utf-8")), image(64, F.col("jpeg"))).alias("previews"))
+    rawfiles.write(frames).write.format("noop").mode("overwrite").save()
+    return folder, sorted(f"{folder}/{r.source}" for r in doc.select("source").distinct().collect())
+
+
+def _previews(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return tiff.embedded_previews(tiff.extract(catalog.scan(spark, *folders)))
+
+
+def preview_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """The luminance of the images inside raw files: scanned, taken out, decoded, counted."""
+    _, folders = _images(spark, d)
+    bins = jpegs.histogram(_previews(spark, folders), "path").filter("n > 0")
+    return bins.select(F.regexp_extract("image", r"_DSC(-?\d+)\.ARW$", 1).cast("long").alias("doc_id"), "bin", "n")
+
+
+def preview_thumbnails(spark: SparkSession, d: str) -> DataFrame:
+    """Thumbnails of those images written to the disk cache at full quality and read back: their pixels by value."""
+    folder, folders = _images(spark, d)
+    cache_folder = rawfiles.local_folder(scratch(spark))
+    os.makedirs(cache_folder)
+    small = jpegs.thumbnails(_previews(spark, folders), 32, quality=1.0, key="path")
+    jpegs.write_cache(small.withColumnRenamed("image", "path"), cache_folder)
+    cached = catalog.disk_cache(spark, f"file://{cache_folder}").select("file_key", F.col("content").alias("jpeg"))
+    back = jpegs.pixels(cached, "file_key").groupBy("image", F.col("r").alias("grey")).agg(F.count("*").alias("n"), F.max("x").alias("last_x"))
+    known = catalog.scan(spark, *folders).select(F.regexp_extract("name", r"_DSC(-?\d+)\.ARW$", 1).cast("long").alias("doc_id"), F.md5("path").alias("image"))
+    return known.join(back, "image").select("doc_id", "grey", "n", "last_x")
+
+
 QUERIES = {f.__name__: f for f in (
     tag_store_json_roundtrip, include_list, tag_store_stream, sort_by_size_desc_all, settings_roundtrip, catalog_list, copy_completion, progress_stream, tag_store_state, tag_store_compacted,
-    catalog_scan, catalog_previews, catalog_discover, output_stream, copy_output_summary, eta_stream, cache_observed)}
+    catalog_scan, catalog_previews, catalog_discover, output_stream, copy_output_summary, eta_stream, cache_observed, preview_histogram, preview_thumbnails)}
 _RAW_NAME = "CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || '_DSC' || lpad(doc_id::VARCHAR, greatest(5, length(doc_id::VARCHAR))::INT, '0') || CASE doc_id % 10 WHEN 0 THEN '.jpg' WHEN 1 THEN '.arw' ELSE '.ARW' END"
 ORACLE = {
     "tag_store_json_roundtrip": f"""WITH {RESET_OPS}, entry AS (SELECT catalog, min(seq) FILTER (op = 'toggle') AS started, max(seq) FILTER (op = 'toggle') > coalesce(max(seq) FILTER (op = 'reset'), -1) AS has_records FROM ops GROUP BY catalog),
@@ -309,3 +358,6 @@ SELECT catalog AS output, count(*) FILTER (action <> 'skip') + 10 AS n_lines, co
     "include_list": f"WITH {s.RECORDS} SELECT DISTINCT name FROM rated WHERE rating >= 3",
 }
 ORACLE["tag_store_compacted"] = ORACLE["tag_store_json_roundtrip"]
+_FIELDS = "fields AS (SELECT doc_id, unnest(range(16)) AS k, ((doc_id + n_chars * unnest(range(16))) % 256)::INT AS grey FROM documents)"
+ORACLE["preview_histogram"] = f"WITH {_FIELDS} SELECT doc_id, trunc(0.299::DOUBLE * grey + 0.587::DOUBLE * grey + 0.114::DOUBLE * grey)::INT AS bin, count(*) * 256 AS n FROM fields GROUP BY ALL"
+ORACLE["preview_thumbnails"] = f"WITH {_FIELDS} SELECT doc_id, grey, count(*) * 64 AS n, max(k % 4 * 8 + 7)::INT AS last_x FROM fields GROUP BY ALL"

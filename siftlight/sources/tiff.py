@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import images
 
 #: Sizes of TIFF field types and the tags that are read.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
@@ -116,9 +115,10 @@ def embedded_previews(raw: DataFrame) -> DataFrame:
 
     The bytes are null where the file is gone, cut short, or the preview is longer than ``MOST_PREVIEW``.
     """
-    c = raw.select("path", F.inline("previews"))
-    best = images.largest_preview(c.select(F.col("path").alias("file"), "idx", "width", "jpeg")).withColumnRenamed("file", "path")
-    chosen = c.join(best.select("path", "idx"), ["path", "idx"])
+    # Chosen inside the row, as ``images.largest_preview`` does over rows: the widest, of equal ones the first.
+    known = F.filter("previews", lambda p: p["jpeg"] & (p["width"] > 0))
+    best = F.array_max(F.transform(known, lambda p: F.struct(p["width"].alias("width"), (-p["idx"]).alias("minus"), p["start"].alias("start"), p["size"].alias("size"))))
+    chosen = raw.select("path", best.alias("b")).filter("b IS NOT NULL").select("path", (-F.col("b.minus")).alias("idx"), "b.width", "b.start", "b.size")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
