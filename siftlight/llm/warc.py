@@ -184,14 +184,15 @@ def _row(head: dict) -> dict | str:
     return row | {"payload_bytes": len(payload), "payload": payload}
 
 
-def _records(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(start, end, record or what is wrong) over the content of a member; after a fault, on at the next good record."""
+def _records(content: bytes) -> Iterator[tuple[int, int, dict | str, bool]]:
+    """(start, end, record or what is wrong, whether its block digest agreed) over the content of a member; after a fault,
+    on at the next good record."""
     at = 0
     while at < len(content):
         got = _record_at(content, at)
         row = got if isinstance(got, str) else _row(got[0])
         if not isinstance(row, str):
-            yield at, got[1], row
+            yield at, got[1], row, bool(got[0]["checked"])
             at = got[1]
             continue
         start, why = at, row
@@ -200,7 +201,7 @@ def _records(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
             at = nxt.start() if nxt else len(content)
             got = _record_at(content, at) if nxt else ""
             row = got if isinstance(got, str) else _row(got[0])
-        yield start, at, why
+        yield start, at, why, False
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -213,8 +214,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             content, end = _inflate(view, at)
             whole = end is not None
             rows = list(_records(content)) if whole or VERSION.match(content) else []
-            if not whole and rows and rows[-1][1] == len(content):
-                rows.pop()  # the record at the fault goes with it
+            if not whole and rows and rows[-1][1] == len(content) and not rows[-1][3]:
+                rows.pop()  # the record at the fault goes with it, unless its own digest vouches for it
             bad = "" if whole or any(isinstance(r[2], dict) for r in rows) else "broken member"
             if whole and len(rows) == 1 and isinstance(rows[0][2], str):
                 bad = rows[0][2]  # nothing but a fault: the member itself is the gap
@@ -223,7 +224,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             row = got if isinstance(got, str) else _row(got[0])
             bad = row if isinstance(row, str) else ""
             if not bad:
-                rows, end = [(0, got[1] - at, row)], got[1]
+                rows, end = [(0, got[1] - at, row, True)], got[1]
         nxt = starts.search(data, at + 1)
         after = nxt.start() if nxt else len(data)
         if bad:
@@ -234,7 +235,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield {"start": gap, "end": at, "kind": "quarantined", "reason": why} | inside
             gap = None
         upto = 0
-        for start, stop, row in rows:
+        for start, stop, row, _ in rows:
             if isinstance(row, dict):
                 yield row | {"start": at, "end": end}
                 upto = stop

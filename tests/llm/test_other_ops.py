@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import brute
 import numpy as np
@@ -51,7 +52,7 @@ def test_salvage_skips_damage_and_logs_the_gap():
     damaged[len(damaged) // 2] ^= 0xFF
     data = good[0] + good[1] + bytes(damaged) + good[3] + b"junk" + records()[4] + warc.EMPTY_MEMBER + good[5][:-9]
     rows = list(warc.salvage(data))
-    assert [r["page_id"] for r in rows if r["kind"] == "response"] == [0, 1, 3, 4]
+    assert [r["page_id"] for r in rows if r["kind"] == "response"] == [0, 1, 3, 4, 5]  # of 5 only the member's end is lost
     gaps = [(r["start"], r["end"]) for r in rows if r["kind"] == "quarantined"]
     at = len(good[0]) + len(good[1])
     assert gaps[0] == (at, at + len(damaged)) and data[gaps[1][0]:gaps[1][1]] == b"junk" and gaps[2][1] == len(data)
@@ -73,8 +74,17 @@ def test_salvage_inside_members():
     whole = warc.gzip_member(b"".join(five))
     assert set(ids(whole[:-12])) >= {0, 1, 2, 3}
     flipped = bytearray(whole)
-    flipped[-3] ^= 1  # the member's own check fails after all content
-    assert ids(bytes(flipped) + warc.gzip_member(records(6)[5])) == [0, 1, 2, 3, 5]
+    flipped[-3] ^= 1  # the member's own check fails after all content: the last record's digest vouches for it
+    rows = list(warc.salvage(bytes(flipped) + warc.gzip_member(records(6)[5])))
+    assert [r["page_id"] for r in rows if r["kind"] == "response"] == [0, 1, 2, 3, 4, 5]
+    gap, = (r for r in rows if r["kind"] == "quarantined")
+    assert (gap["reason"], gap["start"], gap["end"]) == ("broken member", 0, len(flipped))
+    one = warc.gzip_member(five[2])[:-8]  # a member that lacks its trailer alone
+    rows = list(warc.salvage(one))
+    assert [r["kind"] for r in rows] == ["response", "quarantined"] and rows[0]["page_id"] == 2
+    # Without a digest nothing vouches for the record at the fault.
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", five[2])
+    assert [r["kind"] for r in warc.salvage(warc.gzip_member(bare)[:-8])] == ["quarantined"]
     cut = list(warc.salvage(whole[:len(whole) // 2] + warc.gzip_member(records(6)[5])))
     assert cut[-1]["page_id"] == 5 and cut[-2]["kind"] == "quarantined" and cut[-2]["reason"] == "broken member"
 
