@@ -12,7 +12,9 @@ repeated. Only blocks that share a
 core but not an extent, and one block of every extent beside them, send the buckets of their single 400-byte strings in
 round two. So long copies cost a few names, and only the ends of repeats are looked at byte by byte.
 
-Defined results: a null or empty text has no bytes and one empty rest; shorter texts than ``length`` lose nothing;
+Defined results: a null or empty text has no bytes and one empty rest; bytes that are no UTF-8 count as they are, and
+are replacement characters in texts that are given back; a long text is unpacked in one task, with some eighty bytes of
+working memory for each of its bytes; shorter texts than ``length`` lose nothing;
 repeated rows and ids are separate documents; null ids stay null; an empty table gives an empty result; other columns
 are not read. Strings never cross documents.
 """
@@ -225,11 +227,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _kept_text(p: Blocks, gone: np.ndarray) -> pa.Array:
-    """What is left of each text in whole characters."""
+    """What is left of each text in whole characters; bytes that are no UTF-8 become replacement characters."""
     character = np.cumsum((p.padded & 0xC0) != 0x80)
     broken = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
     broken[character[gone]] = True
-    return pa.array(list(_rests(p, broken[character])), pa.binary()).cast(pa.string())
+    rests = list(_rests(p, broken[character]))
+    try:
+        return pa.array(rests, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # Spark strings may hold any bytes
+        return pa.array([r.decode("utf-8", "replace") for r in rests], pa.string())
 
 
 def _rests(p: Blocks, gone: np.ndarray) -> Iterator[bytes]:

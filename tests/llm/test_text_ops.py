@@ -185,6 +185,17 @@ def test_lattice_takes_long_units_without_spaces(spark):
     assert by_id((x.doc_id, x.ids) for x in lattice.encode(df, lattice.default_model()).collect()) == [(i, library.encode(t)) for i, t in enumerate(texts)]
 
 
+def test_lattice_takes_a_unit_beyond_two_million_characters(spark):
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=lattice.default_model())
+    text = "".join(random.Random(1).choices(["ab", "the", "ing", "x", "qu", "é", "zz", "on"], k=1 << 20))[:(1 << 21) + 10].ljust((1 << 21) + 10, "z")
+    got, = lattice.encode(spark.createDataFrame([(0, text)], "doc_id long, text string"), lattice.default_model()).collect()
+    assert got.round_trip and got.ids == library.encode(text)
+
+
 # 5 language ID
 
 def test_language_held_out_accuracy(spark):
@@ -465,3 +476,15 @@ def test_a_common_phrase_is_spread_over_the_buckets(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got, share = largest_share(spark, monkeypatch, recompression, lambda: by_id(tuple(x) for x in recompression.remove_repeats(df, texts=False).collect()))
     assert got == brute.removed_windows(rows, recompression.WINDOW) and share < 0.1
+
+
+def test_suffixes_take_bytes_that_are_no_utf8(spark):
+    import hashlib
+
+    passage = bytes(range(256)) * 2
+    rows = [(1, b"a" + passage + b"z"), (2, b"b" + passage), (3, b"\xc3\x28 \xff")]
+    df = spark.createDataFrame(rows, "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    got = {r.doc_id: r for r in suffixes.remove_repeats(df, texts=True).collect()}
+    assert {k: (r.n_bytes, r.n_removed) for k, r in got.items()} == {1: (514, 512), 2: (513, 512), 3: (4, 0)}
+    assert got[3].kept_sha256 == hashlib.sha256(rows[2][1]).hexdigest() and got[3].kept_text == "\ufffd( \ufffd"
+    assert got[1].kept_text == "az" and {r.text for r in suffixes.without_repeats(df).collect()} == {"az", "b", "\ufffd( \ufffd"}
