@@ -131,23 +131,36 @@ class Model:
         return [unit[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
     def ids(self, unit: str, edges: list[int]) -> list[int]:
-        """Ids of a unit from the edges on its path in order of place or, of a unit beyond the mask, all its edges."""
-        place = lambda e: (e >> 25 & (1 << 21) - 1, e >> 20 & 31)
-        if len(unit) > MASK:
-            alive, path = bytearray([1]) * (len(unit) + 1), {}
-            for e in edges:
-                s, m = place(e)
-                if alive[s] and alive[s + m]:
-                    alive[s + 1:s + m] = bytes(m - 1)
-                    path[s] = e
-            edges = [path[s] for s in sorted(path) if alive[s] and not any(alive[s + 1:s + place(path[s])[1]])]
+        """Ids of a unit within the mask from the edges on its path, in order of place."""
         out, at = [], 0
         for e in edges:
-            s, m = place(e)
+            s = e >> 25 & 63
             if s > at:
                 out += self.characters(unit[at:s])
             out.append(e & (1 << 20) - 1)
-            at = s + m
+            at = s + (e >> 20 & 31)
+        return out + self.characters(unit[at:]) if at < len(unit) else out
+
+    def long_ids(self, unit: str, bases: np.ndarray, counts: np.ndarray, edges: list[int]) -> list[int]:
+        """Ids of a longer unit from the edges of all its blocks (where they begin, and how many edges each has): folded
+        in the same order, by rank and then by place in the unit."""
+        e = np.array(edges, np.int64)
+        start = np.repeat(bases, counts) + (e >> 25 & 63)
+        order = np.lexsort((start, e >> 46))  # edges of one rank and start keep their order
+        alive, path = bytearray([1]) * (len(unit) + 1), {}
+        for s, x in zip(start[order].tolist(), e[order].tolist(), strict=True):
+            m = x >> 20 & 31
+            if alive[s] and alive[s + m]:
+                alive[s + 1:s + m] = bytes(m - 1)
+                path[s] = (m, x & (1 << 20) - 1)
+        out, at = [], 0
+        for s in sorted(path):
+            m, piece = path[s]
+            if alive[s] and not any(alive[s + 1:s + m]):
+                if s > at:
+                    out += self.characters(unit[at:s])
+                out.append(piece)
+                at = s + m
         return out + self.characters(unit[at:]) if at < len(unit) else out
 
     def pieces_of(self, ids: np.ndarray) -> bytes:
@@ -162,27 +175,31 @@ class Model:
 
 #: Starts in one block of a long unit: a substring costs its distance from the block's beginning.
 BLOCK = 64
-BLOCKS = "bucket long, k int, n int, base int, starts int, block string"
+BLOCKS = "bucket long, k int, n int, starts int, block string"
+#: ``n`` of a block of a long unit: this and where the block begins.
+LONG = MASK + 1
 
 
-def blocks(k: int, unit: str, longest: int) -> list[tuple[int, int, int, int, str]]:
-    """A unit's rows of ``BLOCKS``: of a long one, blocks that overlap by what a piece may reach beyond them."""
+def blocks(k: int, unit: str, longest: int) -> list[tuple[int, int, int, str]]:
+    """A unit's rows of ``BLOCKS`` (n: its length): of a long one, blocks that overlap by what a piece may reach beyond
+    them, so edges are gathered by block and no start needs more bits than a block's."""
     n = len(unit)
-    size = n if n <= MASK else BLOCK
-    return [(k, n, at, min(size, n - 1 - at), unit[at:at + size + longest - 1]) for at in range(0, n - 1, size)]
+    if n <= MASK:
+        return [(k, n, n - 1, unit)] if n > 1 else []
+    return [(k, LONG + at, min(BLOCK, n - 1 - at), unit[at:at + BLOCK + longest - 1]) for at in range(0, n - 1, BLOCK)]
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(bucket, k, edges) of distinct units (rows of ``BLOCKS``) that have an edge; see ``Model.ids``.
+    """(bucket, k, n, edges) of distinct units (rows of ``BLOCKS``) that have an edge; see ``Model.ids``.
 
     Exploding and the broadcast join leave a partitioning by bucket in place, so grouping the edges moves nothing.
     """
-    cut = units.select("bucket", "k", "n", "base", "block", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
+    cut = units.select("bucket", "k", "n", "block", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
     reach = F.least(F.lit(model.longest), F.char_length("block") - F.col("s"))
-    cut = cut.select("bucket", "k", "n", "base", "block", "s", F.explode(F.sequence(F.lit(2), reach)).alias("m"))
-    cut = cut.select("bucket", "k", "n", (F.col("base") + F.col("s")).alias("s"), "m", F.expr("substring(block, s + 1, m)").alias("piece"))
+    cut = cut.select("bucket", "k", "n", "block", "s", F.explode(F.sequence(F.lit(2), reach)).alias("m"))
+    cut = cut.select("bucket", "k", "n", "s", "m", F.expr("substring(block, s + 1, m)").alias("piece"))
     edges = cut.join(F.broadcast(model.table(units.sparkSession)), "piece")
-    # An edge is one number, so that it sorts by rank, then place: rank (17 bits), start (21), length (5), id (20).
+    # An edge is one number, so that it sorts by rank, then place in its block: rank (17 bits), start (21), length (5), id (20).
     packed = "shiftleft(cast(rank as bigint), 46) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | id"
     lattice = edges.select("bucket", "k", "n", F.expr(packed).alias("e")).groupBy("bucket", "k", "n").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     s, t = "cast(shiftright(e, 25) & 63 as int)", "cast((shiftright(e, 25) & 63) + (shiftright(e, 20) & 31) as int)"
@@ -190,7 +207,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     folded = lattice.select("bucket", "k", "n", "edges", F.expr(f"""if(n > {MASK}, 0L, aggregate(
         edges, -1L, (b, e) -> if((b & {ends}) = {ends}, b & ~{between}, b)))""").alias("b"))
     path = F.expr(f"array_sort(filter(edges, e -> (b & {ends}) = {ends} and (b & {between}) = 0), (x, y) -> cast((shiftright(x, 25) & 63) - (shiftright(y, 25) & 63) as int))")
-    return folded.select("bucket", "k", F.when(F.col("n") > MASK, F.col("edges")).otherwise(path).alias("edges"))
+    return folded.select("bucket", "k", "n", F.when(F.col("n") > MASK, F.col("edges")).otherwise(path).alias("edges"))
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -287,20 +304,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def distinct(rows: pa.Table) -> pa.Table:
         with uncollected():
             made = [row for k, u in enumerate(numbered(rows.column("body"))) for row in blocks(k, u.decode(), model.longest)]
-            cols = list(zip(*made, strict=True)) or [[]] * 5
-            kinds = [pa.int32()] * 4 + [pa.string()]
+            cols = list(zip(*made, strict=True)) or [[]] * 4
+            kinds = [pa.int32()] * 3 + [pa.string()]
             return pa.table([pa.array([rows.column("bucket")[0].as_py()] * len(made), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
     def reply(sent: pa.Table, paths: pa.Table) -> pa.Table:
         with uncollected():
-            order = np.argsort(np.asarray(paths.column("k")), kind="stable")
+            k_of, n_of = (np.asarray(paths.column(c)).astype(np.int64) for c in ("k", "n"))
+            order = np.lexsort((n_of, k_of))
             lists = paths.column("edges").combine_chunks().take(pa.array(order))
-            flat, ends = lists.flatten().to_pylist(), np.cumsum(np.asarray(lists.value_lengths(), np.int64)).tolist()
-            k_of, at, ids_of = np.asarray(paths.column("k"))[order].tolist(), 0, {}
-            units = numbered(sent.column("body"))
-            for k, end in zip(k_of, ends, strict=True):
-                ids_of[units[k]] = model.ids(units[k].decode(), flat[at:end])
-                at = end
+            counts = np.asarray(lists.value_lengths(), np.int64)
+            flat, ends, k_of, n_of = lists.flatten().to_pylist(), np.cumsum(counts), k_of[order], n_of[order]
+            units, ids_of = numbered(sent.column("body")), {}
+            short = np.flatnonzero(n_of < LONG)
+            for k, a, z in zip(k_of[short].tolist(), (ends - counts)[short].tolist(), ends[short].tolist(), strict=True):
+                ids_of[units[k]] = model.ids(units[k].decode(), flat[a:z])
+            long = np.flatnonzero(n_of >= LONG)  # a unit's blocks stand in a row
+            for part in np.split(long, np.flatnonzero(np.diff(k_of[long])) + 1) if len(long) else []:
+                k, a, z = int(k_of[part[0]]), int(ends[part[0]] - counts[part[0]]), int(ends[part[-1]])
+                ids_of[units[k]] = model.long_ids(units[k].decode(), n_of[part] - LONG, counts[part], flat[a:z])
             bodies = []
             for b in sent.column("body"):
                 got = [ids_of[u] if u in ids_of else model.characters(u.decode()) for u in _unsqueeze(b.as_py()).split(b" ")]
