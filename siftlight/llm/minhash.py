@@ -8,8 +8,10 @@
    task: each member is tied to the bucket's smallest row id, which keeps them in one component, so step 3 decides.
 3. Components of these candidates (large-star, small-star) are confirmed on full sets, fetched once per candidate:
    again a search, whose every link has the exact similarity. Candidates of more than ``TILE`` documents or
-   ``TILE_BYTES`` of sets are dealt as pairs of blocks, each block with each other, so no task holds a whole hot group
-   and no link is lost.
+   ``TILE_BYTES`` of sets first meet their head, the smallest row of the group, each by itself. Those that link with it
+   are one group by that, and need not meet each other; only the rest are dealt in blocks, with each other and with the
+   blocks of the linked. So no task holds a whole hot group, no link between groups is lost, and a group of near copies
+   of one text costs one comparison a document, however large it is.
 4. Components of the confirmed links name the groups.
 
 Bands follow from the threshold: a pair at exactly that similarity shares none with a probability of at most ``MISS``.
@@ -193,12 +195,57 @@ def _fetch(size: int):
                 some = want[k:k + 500]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([w["rid"] for w in some], pa.int64()), pa.array([w["component"] for w in some], pa.int64()),
-                    pa.array([w["blocks"] for w in some], pa.int64()),
                     pa.array([squeeze(names[at[w["place"]]:at[w["place"] + 1]]) for w in some], pa.binary()),
-                ], names=["rid", "component", "blocks", "names"])
+                ], names=["rid", "component", "names"])
     return run
 
 
+#: Bytes of heads that may be sent to every task.
+HEAD_BYTES = 32 << 20
+
+
+def _headed(sets: DataFrame, percent: int) -> DataFrame:
+    """(rid, component, n, linked): the size of each set and whether it links with its component's head, the row that
+    names the component."""
+    heads = sets.filter("rid = component").select("component", F.col("names").alias("head"))
+    held = heads.agg(F.sum(F.length("head"))).first()[0] or 0
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int, np.ndarray] | None = None
+        for b in parts:
+            component, n, linked = b.column("component").to_pylist(), [], []
+            for i, c in enumerate(component):
+                if known is None or known[0] != c:
+                    known = c, unsqueeze(b.column("head")[i].as_py(), np.uint64)
+                head, own = known[1], unsqueeze(b.column("names")[i].as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                both = int((head[at] == own).sum())
+                n.append(len(own))
+                linked.append(100 * both >= percent * (len(own) + len(head) - both))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("component"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_())], names=["rid", "component", "n", "linked"])
+
+    joined = sets.join(F.broadcast(heads) if held <= HEAD_BYTES else heads, "component")
+    return joined.mapInArrow(trimmed(run), "rid long, component long, n long, linked boolean")
+
+
+def _rest_tiles(sets: DataFrame, headed: DataFrame, blocks_of) -> DataFrame:
+    """(rid, component, names, tile) of components with sets that don't link with the head (the rest).
+
+    Blocks of the rest meet each other and each block of the linked; a tile is a pair of blocks.
+    """
+    count = lambda which: blocks_of(F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)))
+    sizes = headed.groupBy("component").agg(count(~F.col("linked")).alias("rest"), count(F.col("linked")).alias("others")).filter("rest > 0")
+    dealt = headed.join(sizes, "component").withColumn("block", F.when(F.col("linked"), F.pmod(F.xxhash64("rid"), "others")).otherwise(F.pmod(F.xxhash64("rid"), "rest")).cast("long"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda x, y, kind: (x * (1 << 30) + y) * 2 + kind
+    own = F.col("block")
+    with_rest = F.transform(upto(F.col("rest")), lambda k: pair(F.least(own, k), F.greatest(own, k), 0))
+    with_linked = F.transform(upto(F.col("others")), lambda k: pair(k, own, 1))
+    of_linked = F.transform(upto(F.col("rest")), lambda k: pair(own, k, 1))
+    tiles = dealt.select("rid", "component", F.explode(F.when(F.col("linked"), of_linked).otherwise(F.concat(with_rest, with_linked))).alias("tile"))
+    return tiles.join(sets.select("rid", "names"), "rid").select("rid", "component", "names", "tile")
+
+
 def _confirm(percent: int):
     def run(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         rid, bodies = np.asarray(b.column("rid")), b.column("names")
@@ -247,15 +294,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = shared.filter(F.col("members") <= tile).select("rid", "key").join(reps.select("rid", "sig"), "rid")
     maybe = by_group(members, parallelism(spark), ["key"], "u long, v long", _bucket_edges(percent)).union(stars)
     candidates = components(maybe).join(reps.select(F.col("rid").alias("node"), "bid", "place", "n"), "node")
-    size_of = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("long")
-    placed = candidates.join(candidates.groupBy("component").agg(size_of.alias("blocks")), "component")
-    wanted = placed.groupBy("bid").agg(F.collect_list(F.struct("place", F.col("node").alias("rid"), "component", "blocks")).alias("wanted"))
-    sets = batches.join(wanted, "bid").mapInArrow(trimmed(_fetch(size)), "rid long, component long, blocks long, names binary")
-    # A hot component is dealt as pairs of blocks: block b goes to the tiles (min(b, k), max(b, k)) of all k.
-    b, k = F.pmod(F.xxhash64("rid"), "blocks").cast("long"), F.col("k").cast("long")
-    sets = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
-        "rid", "component", (F.least(b, k) * (1 << 31) + F.greatest(b, k)).alias("tiles"), "names")
-    links = by_group(sets, parallelism(spark), ["component", "tiles"], "u long, v long", _confirm(percent))
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / tile), F.ceil(size * 8 / tile_bytes)).cast("long")
+    placed = candidates.join(candidates.groupBy("component").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")), "component")
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("bid").agg(F.collect_list(F.struct("place", F.col("node").alias("rid"), "component")).alias("wanted"))
+        return batches.join(wanted, "bid").mapInArrow(trimmed(_fetch(size)), "rid long, component long, names binary")
+
+    small = fetched(placed.filter("blocks <= 1")).withColumn("tile", F.lit(0).cast("long"))
+    large = written(fetched(placed.filter("blocks > 1")), "minhash-hot-sets")
+    headed = written(_headed(large, percent), "minhash-hot-heads")
+    links = by_group(small.unionByName(_rest_tiles(large, headed, blocks_of)), parallelism(spark), ["component", "tile"], "u long, v long", _confirm(percent))
+    links = links.union(headed.filter("linked AND rid <> component").select(F.col("component").alias("u"), F.col("rid").alias("v")))
     groups = components(links)
     ids = groups.join(reps.select(F.col("rid").alias("node"), "digest", "least_id"), "node")
     named = ids.join(ids.groupBy("component").agg(F.min("least_id").alias("group_id")), "component").select("digest", "group_id")

@@ -488,3 +488,31 @@ def test_suffixes_take_bytes_that_are_no_utf8(spark):
     assert {k: (r.n_bytes, r.n_removed) for k, r in got.items()} == {1: (514, 512), 2: (513, 512), 3: (4, 0)}
     assert got[3].kept_sha256 == hashlib.sha256(rows[2][1]).hexdigest() and got[3].kept_text == "\ufffd( \ufffd"
     assert got[1].kept_text == "az" and {r.text for r in suffixes.without_repeats(df).collect()} == {"az", "b", "\ufffd( \ufffd"}
+
+
+def test_a_hot_group_of_near_copies_is_confirmed_in_proportion(spark, monkeypatch):
+    """A third of all rows are near copies of one text, in tiles of 40: sets are compared once each, not once for each tile."""
+    r = np.random.default_rng(12)
+    base = [f"w{k}" for k in r.integers(0, 10**6, 300)]
+    rows = []
+    for i in range(900):
+        w = list(base) if i % 3 == 0 else [f"v{k}" for k in r.integers(0, 10**6, 60)]
+        w[int(r.integers(0, len(w)))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    # Some near copies of copies, which link with those but not with the head.
+    far = rows[300 - 300 % 3][1].split()
+    for j in range(12):
+        far[20 * j + 7] = f"f{j}"
+        rows.append((1000 + j, " ".join(far)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, by_group = [], minhash.by_group
+
+    def counted(rows_of, n, keys, schema, fn):
+        if keys == ["component", "tile"]:
+            seen.append(rows_of.count())
+        return by_group(rows_of, n, keys, schema, fn)
+
+    monkeypatch.setattr(minhash, "by_group", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df, tile=40).collect()}
+    assert got == brute.linked_shingles(rows)
+    assert len({c for _, c in got.values()}) < 620 and seen[0] <= 2 * 320
