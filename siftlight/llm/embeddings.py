@@ -2,14 +2,17 @@
 
 A unit vector x is rotated and its signs are kept as a code: c = sign(Rx) / sqrt(d), with the correction factor
 f = <c, Rx>. For another vector y, <c, Ry> / f estimates <x, y> without bias; its error is about
-sqrt((1 - f^2) / f^2 / (d - 1)), so ``SIGMAS`` times that bounds it. Code (a bit for each dimension) and factor are
-computed once and stored with the vector. Only pairs whose bound reaches the threshold are recomputed exactly, in double
-precision.
+sqrt((1 - f^2) / f^2 / (d - 1)), so ``SIGMAS`` times that bounds it. In place of Ry stand its values in 15 steps, rounded
+up or down at random, so that the estimate stays unbiased; what the steps add to the error is in the bound. Code (a bit
+for each dimension), factor and steps (four bits) are computed once and stored with the vector.
 
 Which pairs are looked at: sign bits of independent rotations, cut into bands of ``k`` bits, bring vectors together;
 k grows with the logarithm of the number of vectors, so a bucket keeps its size, and the number of bands follows from
 the recall asked at the threshold (``recall``; a pair above it is found more surely). A bucket beyond ``TILE`` vectors is
-dealt as pairs of blocks. Vectors travel as they came (single precision stays so) and are scaled where they are used. A pair is counted in the first band that its vectors share, so links need no pair table.
+dealt as pairs of blocks. Codes, factors and steps alone travel to the buckets. Where a bound reaches the threshold the
+two vectors are open: open vectors, and no others, are fetched once for each bucket (or pair of blocks) they are open in,
+and recomputed exactly there, in double precision. A pair is counted in the first band that its vectors share, so links
+need no pair table.
 
 Defined results: equal vectors are one class that is compared once and counted with its size; vectors of different
 lengths never link; null, empty or zero vectors and vectors with null or non-finite components link with nothing; rows
@@ -58,9 +61,6 @@ def plan(n: int, cosine: float = COSINE, recall: float = RECALL, bucket: int = B
     return k, math.ceil(math.log(1 - recall) / math.log(1 - same**k))
 
 
-BANDED = "dim int, band int, key long, rid long, weight long, keys binary, vec binary, code binary, factor double"
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, in double precision."""
     x = x.astype(np.float64)
@@ -68,12 +68,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _band(k: int, bands: int, kind: type):
+KEYED = "rid long, dim int, keys array<long>"
+
+
+def _keys(k: int, bands: int, kind: type):
+    """The band keys of each vector, computed once: where a pair is counted must not hang on how products are rounded."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for b in parts:
-            rid, weight, vecs = np.asarray(b.column("rid")), np.asarray(b.column("weight")), [np.frombuffer(v.as_buffer(), kind) for v in b.column("vec")]
+            vecs = [np.frombuffer(v.as_buffer(), kind) for v in b.column("vec")]
             dims = np.array([len(v) for v in vecs])
+            keys = np.zeros((len(vecs), bands), np.int64)
             for d in np.unique(dims).tolist():
                 if d not in turned:
                     turned[d] = np.concatenate([rotation(d, 1 + i) for i in range(-(-k * bands // d))])[:k * bands]
@@ -81,46 +87,68 @@ def _band(k: int, bands: int, kind: type):
                 for lo in range(0, len(at), 256):
                     some = at[lo:lo + 256]
                     bits = unit(np.stack([vecs[i] for i in some])) @ turned[d].T > 0
-                    keys = (bits.reshape(len(some), bands, k).astype(np.int64) << np.arange(k)).sum(2)
-                    raw = [x.tobytes() for x in np.ascontiguousarray(keys if k > 31 else keys.astype(np.int32))]
-                    m = len(some)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(m * bands, d), pa.int32()), pa.array(np.tile(np.arange(bands), m), pa.int32()), pa.array(keys.ravel()),
-                        pa.array(np.repeat(rid[some], bands)), pa.array(np.repeat(weight[some], bands)), pa.array(np.repeat(np.array(raw, object), bands), pa.binary()),
-                        *[b.column(c).take(pa.array(np.repeat(some, bands))) for c in ("vec", "code", "factor")],
-                    ], names=[f.split()[0] for f in BANDED.split(", ")])
+                    keys[some] = (bits.reshape(len(some), bands, k).astype(np.int64) << np.arange(k)).sum(2)
+            offsets = pa.array(np.arange(0, (len(vecs) + 1) * bands, bands), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(dims, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["rid", "dim", "keys"])
+
     return run
 
 
+TILED = ["dim", "band", "key", "b1", "b2"]
+OPEN = "dim int, band int, key long, b1 int, b2 int, rid long, side int"
 LINKED = "rid long, other long, weight long"
 
 
-def _compare(k: int, cosine: float, kind_of: type):
-    """Links of whole buckets (or tiles): per vector one row with the summed weight, and one edge that keeps the tile's
-    groups together."""
-    kind = np.int64 if k > 31 else np.int32
+def _open(cosine: float):
+    """The vectors of whole buckets (or tiles) that are open: with some other, a bound reaches the threshold."""
+
+    def run(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, dims = np.asarray(b.column("side")), np.asarray(b.column("dim"))
+        factor, scale = (np.asarray(b.column(c)).astype(np.float32) for c in ("factor", "scale"))
+        hit = np.zeros(b.num_rows, bool)
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if z - a < 2:
+                continue
+            d = int(dims[a])
+            packed = lambda c: np.frombuffer(b"".join(b.column(c).slice(a, z - a).to_pylist()), np.uint8).reshape(z - a, -1)  # noqa: E731, B023
+            code = 2 * np.unpackbits(packed("code"), axis=1)[:, :d].astype(np.float32) - 1
+            f, step = factor[a:z], scale[a:z]
+            turned = unpacked(packed("steps"), d) * step[:, None]
+            of_code = (1 - f * f) / (f * f) / max(1, d - 1)
+            of_steps = step * step / (f * f)[:, None] / 4  # a step up or down: half of it at most, as a deviation
+            error = SIGMAS * np.sqrt(np.maximum(0, of_code)[:, None] + of_steps) + ROUNDING
+            near = code @ turned.T / (f[:, None] * math.sqrt(d)) + error >= cosine
+            near |= near.T
+            np.fill_diagonal(near, False)
+            if side[a:z].any():  # a tile of two blocks: pairs inside one block belong to its own tile
+                near &= side[a:z][:, None] != side[a:z][None, :]
+            hit[a:z] = near.any(1)
+        take = pa.array(np.flatnonzero(hit))
+        yield b.select([f.split()[0] for f in OPEN.split(", ")]).take(take)
+
+    return run
+
+
+def _compare(cosine: float, kind_of: type):
+    """Links of whole buckets (or tiles) between their open vectors: per vector one row with the summed weight, and one
+    edge that keeps the tile's groups together."""
 
     def run(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         rid, weight, band, side = (np.asarray(b.column(c)) for c in ("rid", "weight", "band", "side"))
         dims = np.asarray(b.column("dim"))
+        flat, ends = np.asarray(b.column("keys").flatten()), np.append(0, np.cumsum(np.asarray(b.column("keys").value_lengths())))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if z - a < 2:
                 continue
-            d = int(dims[a])
-            joined = lambda c: b"".join(b.column(c).slice(a, z - a).to_pylist())  # noqa: E731, B023
-            x = unit(np.frombuffer(joined("vec"), kind_of).reshape(-1, d))
-            keys = np.frombuffer(joined("keys"), kind).reshape(z - a, -1)
-            code = np.unpackbits(np.frombuffer(joined("code"), np.uint8).reshape(z - a, -1), axis=1)[:, :d].astype(np.float32)
-            f = np.asarray(b.column("factor"))[a:z].astype(np.float32)
-            error = SIGMAS * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, d - 1)) + ROUNDING
-            estimate = (2 * code - 1) @ (x @ rotation_of(d).T).astype(np.float32).T / (f[:, None] * math.sqrt(d))
-            near = (estimate + error[:, None] >= cosine) | (estimate.T + error[None, :] >= cosine)
-            i, j = np.nonzero(np.triu(near, 1))
-            if side[a:z].any():  # a tile of two blocks: pairs inside one block belong to its own tile
+            d, m, t = int(dims[a]), z - a, int(band[a])
+            x = unit(np.frombuffer(b"".join(b.column("vec").slice(a, m).to_pylist()), kind_of).reshape(-1, d))
+            keys = flat[ends[a]:ends[z]].reshape(m, -1)
+            # A product of all with all is near enough to leave out what is clearly apart; the rest is summed pair by pair.
+            i, j = np.nonzero(np.triu(x @ x.T >= cosine - ROUNDING, 1))
+            if side[a:z].any():
                 across = side[a:z][i] != side[a:z][j]
                 i, j = i[across], j[across]
-            t = int(band[a])
             for lo in range(0, len(i), 200_000):
                 p, q = i[lo:lo + 200_000], j[lo:lo + 200_000]
                 new = ~(keys[p, :t] == keys[q, :t]).any(1) if t else np.ones(len(p), bool)
@@ -129,7 +157,7 @@ def _compare(k: int, cosine: float, kind_of: type):
                 p, q = p[real], q[real]
                 if not len(p):
                     continue
-                m, w, ids = z - a, weight[a:z], rid[a:z]
+                w, ids = weight[a:z], rid[a:z]
                 links = np.bincount(p, w[q], m) + np.bincount(q, w[p], m)
                 label = np.arange(m)
                 while True:  # smallest label among the linked, until nothing changes
@@ -145,17 +173,26 @@ def _compare(k: int, cosine: float, kind_of: type):
         cols = [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else ([], [], []))]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rid", "other", "weight"])
 
-    seen: dict[int, np.ndarray] = {}
+    return run
 
-    def rotation_of(d: int) -> np.ndarray:
-        if d not in seen:
-            seen[d] = rotation(d, 0)
-        return seen[d]
 
-    return run
+#: Steps on either side of zero, in four bits.
+MOST_STEPS = 7
+
+
+def stepped(turned: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as whole steps from -7 to 7, two in a byte, and the size of a step; rounded at random, so right on average."""
+    size = np.abs(turned).max(1) / MOST_STEPS
+    steps = np.clip(np.floor(turned / size[:, None] + rng.random(turned.shape)), -MOST_STEPS, MOST_STEPS).astype(np.int64) + MOST_STEPS
+    even = np.pad(steps, ((0, 0), (0, steps.shape[1] % 2))).astype(np.uint8)
+    return even[:, ::2] << 4 | even[:, 1::2], size
+
+
+def unpacked(packed: np.ndarray, d: int) -> np.ndarray:
+    return np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, :d].astype(np.float32) - MOST_STEPS
 
 
-UNITS = "vec_id long, vec binary, name string, code binary, factor double"
+UNITS = "vec_id long, vec binary, name string, code binary, factor double, steps binary, scale double"
 
 
 def _units(kind: type):
@@ -169,7 +206,7 @@ def _units(kind: type):
             flat = lists.flatten()
             values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            vec, name, code, factor = ([None] * len(sizes) for _ in range(4))
+            vec, name, code, factor, steps, scale = ([None] * len(sizes) for _ in range(6))
             for d in np.unique(sizes[sizes > 0]).tolist():
                 rows = np.flatnonzero(sizes == d)
                 raw = values[(ends[rows] - d)[:, None] + np.arange(d)].astype(kind)
@@ -181,9 +218,11 @@ def _units(kind: type):
                     turn[d] = rotation(d, 0)
                 turned = x @ turn[d].T
                 bits, f = np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(d)
+                packed, size = stepped(turned, np.random.default_rng([SEED, d])) if len(turned) else ([], [])
                 for j, i in enumerate(rows[good].tolist()):
                     vec[i], name[i], code[i], factor[i] = raw[j].tobytes(), hashlib.sha256(x[j].tobytes()).hexdigest(), bits[j].tobytes(), float(f[j])
-            cols = [pa.array(c, t) for c, t in ((vec, pa.binary()), (name, pa.string()), (code, pa.binary()), (factor, pa.float64()))]
+                    steps[i], scale[i] = packed[j].tobytes(), float(size[j])
+            cols = [pa.array(c, t) for c, t in ((vec, pa.binary()), (name, pa.string()), (code, pa.binary()), (factor, pa.float64()), (steps, pa.binary()), (scale, pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), *cols], names=[f.split()[0] for f in UNITS.split(", ")])
 
     return run
@@ -196,20 +235,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     kind = np.float32 if single else np.float64
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("embedding"))
     units = written(v.mapInArrow(_units(kind), UNITS), "embedding-units")
-    classes = units.filter("vec is not null").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"), F.first(F.struct("vec", "code", "factor")).alias("r")).select("name", "least_id", "size", "r.*")
+    classes = units.filter("vec is not null").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"), F.first(F.struct("vec", "code", "factor", "steps", "scale")).alias("r")).select("name", "least_id", "size", "r.*")
     classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "embedding-classes")
     k, bands = plan(classes.count(), cosine, recall)
-    banded = classes.select("rid", F.col("size").alias("weight"), "vec", "code", "factor").mapInArrow(_band(k, bands, kind), BANDED)
+    keys = written(classes.select("rid", "vec").mapInArrow(_keys(k, bands, kind), KEYED), "embedding-keys")
+    banded = keys.select("rid", "dim", F.posexplode("keys").alias("band", "key"))
     bucket = ["dim", "band", "key"]
     # Most buckets are one block. The list of the others is joined in: as a broadcast while it is short, else by key.
     large = written(banded.groupBy(*bucket).count().filter(F.col("count") > tile).select(*bucket, F.ceil(F.col("count") / tile).cast("int").alias("blocks")), "embedding-buckets")
     known = F.broadcast(large) if large.count() <= SHORT_LIST else large
-    dealt = banded.join(known, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    coded = keys.join(classes.select("rid", "code", "factor", "steps", "scale"), "rid").select("rid", "dim", "code", F.col("factor").cast("float").alias("factor"), "steps", F.col("scale").cast("float").alias("scale"), F.posexplode("keys").alias("band", "key"))
+    dealt = coded.join(known, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rid"), "blocks").cast("int")
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
-        *bucket, F.least(mine, "k").alias("b1"), F.greatest(mine, "k").alias("b2"), "rid", "weight", "keys", "vec", "code", "factor",
+        *bucket, F.least(mine, "k").alias("b1"), F.greatest(mine, "k").alias("b2"), "rid", "code", "factor", "steps", "scale",
         F.when(F.col("blocks") == 1, 0).when(F.col("k") == mine, 0).otherwise(F.when(mine > F.col("k"), 2).otherwise(1)).alias("side"))
-    found = written(by_group(dealt, parallelism(spark), [*bucket, "b1", "b2"], LINKED, _compare(k, cosine, kind)), "embedding-links")
+    opened = written(by_group(dealt, parallelism(spark), TILED, OPEN, _open(cosine)), "embedding-open")
+    full = opened.join(classes.select("rid", F.col("size").alias("weight"), "vec"), "rid").join(keys.select("rid", "keys"), "rid")
+    found = written(by_group(full, parallelism(spark), TILED, LINKED, _compare(cosine, kind)), "embedding-links")
     links = found.groupBy("rid").agg(F.sum("weight").alias("links"))
     groups = components(found.select(F.col("rid").alias("u"), F.col("other").alias("v")))
     ids = groups.withColumnRenamed("node", "rid").join(classes.select("rid", "least_id"), "rid")
