@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["catalog", "name"]
+#: Rows of a range that one task numbers.
+RANGE_ROWS = 2_000_000
 
 
 def first_records(records: DataFrame) -> DataFrame:
@@ -38,11 +40,12 @@ def ordered(files: DataFrame, *keys: Column) -> DataFrame:
 def numbered(files: DataFrame, path: str, *keys: Column) -> DataFrame:
     """All files in the order of ``ordered``, with their ``place`` in it (from 1).
 
-    Sorted ranges are numbered inside, each from the count of those before it, so no task holds all rows. They are
-    written to ``path`` first: ranges are cut from a sample, and counts and numbers must see the same cut.
+    Sorted ranges are numbered inside, each from the count of those before it; there are as many as the rows need, so no
+    task holds more than about ``RANGE_ROWS``. They are written to ``path`` first: ranges are cut from a sample, and
+    counts and numbers must see the same cut. Who reads the result deletes ``path`` afterwards.
     """
     spark, order = files.sparkSession, (*(keys or (F.col("name"),)), F.col("file_key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // RANGE_ROWS))
     files.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     ranges = spark.read.parquet(path)
     counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
