@@ -81,6 +81,26 @@ def cleared(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
     return statistics(requests, by).select("*", *zero)
 
 
+def since_clear(log: DataFrame, clears: DataFrame, by: str) -> DataFrame:
+    """The rows of a log (with ``by`` and seq) after the last clearing of their cache; all of one never cleared."""
+    last = clears.groupBy(F.col(by).alias("_by")).agg(F.max("seq").alias("_cleared"))
+    kept = log.join(last, F.col(by).eqNullSafe(F.col("_by")), "left").filter(F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared")))
+    return kept.drop("_by", "_cleared")
+
+
+def contents(puts: DataFrame, clears: DataFrame, by: str) -> DataFrame:
+    """(by, file_key, cost): what was put (seq, file_key, cost) and not cleared since; a file put again counts once, at its
+    last cost. What a cache lets go of under pressure is not defined, so nothing is taken out for its size."""
+    live = since_clear(puts, clears, by)
+    return live.groupBy(by, "file_key").agg(F.max_by("cost", "seq").alias("cost"))
+
+
+def occupancy(held: DataFrame, by: str, cost_limit: int, count_limit: int) -> DataFrame:
+    """Entries and cost of each cache, and by how much it exceeds its limits."""
+    o = held.groupBy(by).agg(F.count("*").alias("n_entries"), F.sum("cost").alias("cost"))
+    return o.select("*", F.greatest(F.lit(0), F.col("cost") - cost_limit).cast("long").alias("over_cost"), F.greatest(F.lit(0), F.col("n_entries") - count_limit).cast("long").alias("over_count"))
+
+
 def used_memory(wired: Column, active: Column, compressed: Column, page_size: Column, total: Column) -> Column:
     """Bytes of wired, active and compressed pages, at most the total."""
     return F.least((wired + active + compressed) * page_size, total)

@@ -295,6 +295,33 @@ def clear_caches(spark, d) -> DataFrame:
     return cache.cleared(s.requests(spark, d), ["user_id"])
 
 
+_CACHED = """r AS (SELECT o_custkey % 97 AS session, o_orderkey AS seq, o_custkey AS file_key, (o_totalprice::BIGINT % 1000 + 1) * 4096 AS cost, o_orderpriority AS priority, o_orderstatus AS status FROM orders),
+live AS (SELECT r.* FROM r LEFT JOIN (SELECT session, max(seq) AS cleared FROM r WHERE seq % 200 = 7 GROUP BY session) AS c ON r.session = c.session WHERE cleared IS NULL OR seq > cleared)"""
+
+
+def _cached(spark, d) -> tuple[DataFrame, DataFrame]:
+    o = s.table(spark, d, "orders")
+    r = o.select((F.col("o_custkey") % 97).alias("session"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("file_key"), ((F.rint("o_totalprice").cast("bigint") % 1000 + 1) * 4096).alias("cost"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return r, r.filter("seq % 200 = 7").select("session", "seq")
+
+
+@query(f"""WITH {_CACHED}, held AS (SELECT session, file_key, arg_max(cost, seq) AS cost FROM live WHERE status <> 'F' GROUP BY ALL)
+SELECT session, count(*) AS n_entries, sum(cost)::BIGINT AS cost, greatest(0, sum(cost) - 3000000)::BIGINT AS over_cost, greatest(0, count(*) - 2)::BIGINT AS over_count FROM held GROUP BY session""")
+def cache_occupancy(spark, d) -> DataFrame:
+    """Thumbnails put into the caches of sessions and not cleared since, against a cost and a count limit."""
+    r, clears = _cached(spark, d)
+    return cache.occupancy(cache.contents(r.filter("status <> 'F'"), clears, "session"), "session", 3_000_000, 2)
+
+
+@query(f"""WITH {_CACHED}, t AS (SELECT session, CASE WHEN priority < '3' THEN 'ram' WHEN priority < '5' THEN 'disk' ELSE 'extract' END AS tier FROM live)
+SELECT session, count(*) FILTER (tier = 'ram') AS hits, count(*) FILTER (tier = 'disk') AS misses, count(*) FILTER (tier = 'extract') AS extractions, coalesce(count(*) FILTER (tier = 'ram') * 100::DOUBLE / nullif(count(*) FILTER (tier <> 'extract'), 0), 0) AS hit_rate FROM t GROUP BY session""")
+def cache_counters_since_clear(spark, d) -> DataFrame:
+    """The counters of each session's cache, which a clearing sets to zero."""
+    r, clears = _cached(spark, d)
+    tier = F.when(F.col("priority") < "3", "ram").when(F.col("priority") < "5", "disk").otherwise("extract")
+    return cache.statistics(cache.since_clear(r, clears, "session").withColumn("tier", tier), ["session"])
+
+
 @query("SELECT c_custkey, least((c_custkey * 1000 + c_custkey % 97 * 5000 + c_nationkey * 300) * 16384, 8589934592) AS used FROM customer")
 def memory_used_pages(spark, d) -> DataFrame:
     k = F.col("c_custkey")

@@ -164,3 +164,20 @@ def test_destination_that_lists_a_file_twice(spark):
     assert sorted((r.catalog, r.action) for r in by_name.collect()) == [("a", "skip"), ("b", "skip")]
     apart = copyplan.copy_plan(f, f, there, by=("catalog", "name"))
     assert sorted((r.catalog, r.action) for r in apart.collect()) == [("a", "skip"), ("b", "create")]
+
+
+def test_cache_contents_against_a_literal_cache(spark):
+    r = random.Random(11)
+    log = [(i, r.choice(["a", "b", None]), f"k{r.randrange(9)}", r.randrange(100), r.random() < 0.05) for i in range(300)]
+    held = {}
+    for _, by, key, cost, clear in log:
+        held.setdefault(by, {})
+        if clear:
+            held[by].clear()
+        else:
+            held[by][key] = cost
+    df = spark.createDataFrame(log, "seq long, session string, file_key string, cost long, clear boolean").repartition(3)
+    got = cache.contents(df.filter("NOT clear"), df.filter("clear"), "session")
+    assert {(x.session, x.file_key, x.cost) for x in got.collect()} == {(by, k, c) for by, keys in held.items() for k, c in keys.items()}
+    o = {x.session: (x.n_entries, x.cost, x.over_cost, x.over_count) for x in cache.occupancy(got, "session", 150, 3).collect()}
+    assert o == {by: (len(k), sum(k.values()), max(0, sum(k.values()) - 150), max(0, len(k) - 3)) for by, k in held.items() if k}
