@@ -31,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,6 +234,31 @@ def _words(text: bytes) -> list[bytes]:
     return [*out, spaces + words[-1]]
 
 
+def _indexed(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the number of each word of all texts end to end, and how many words each has."""
+    odd = [i for i, x in enumerate(texts) if x[:1] == b" " or b"  " in x]  # their words are more than a split by spaces
+    plain = list(texts)
+    for i in odd:
+        plain[i] = b""
+    lists = pc.split_pattern(pa.array(plain, pa.large_binary()), b" ")
+    coded = lists.flatten().dictionary_encode()
+    _, offsets, data = coded.dictionary.buffers()
+    raw, at = data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int64)[:len(coded.dictionary) + 1].tolist()
+    words = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+    index, counts = np.asarray(coded.indices).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
+    empty = np.array([not x for x in plain], bool)  # a split leaves one empty word of them
+    if empty.any():
+        index, counts = index[np.repeat(~empty, counts)], np.where(empty, 0, counts)
+    if odd:
+        number = {w: k for k, w in enumerate(words)}
+        own = {i: np.array([number.setdefault(w, len(number)) for w in _words(texts[i])], np.int64) for i in odd}
+        parts = np.split(index, np.cumsum(counts)[:-1])
+        index = np.concatenate([own.get(i, part) for i, part in enumerate(parts)])
+        counts[odd] = [len(own[i]) for i in odd]
+        words = list(number)
+    return words, index, counts
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (unsigned 32-bit little-endian), round_trip and (if asked) ids as array<int>."""
     shuffles = parallelism(docs.sparkSession)
@@ -254,20 +280,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             texts = [x.decode("utf-8", "replace").encode() for x in texts]
         return [x.replace(space, b" ") for x in texts] if space in raw else texts
 
-    def by_bucket(texts: list[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
-        """The distinct units of a batch, sorted, by bucket; and the units of each word that has several."""
+    def by_bucket(found: list[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
+        """The distinct units of a batch's distinct words, sorted, by bucket; and the units of each word that has several."""
         by: dict[int, list[bytes]] = {}
-        many, rest, found = {}, set(), {w for x in texts for w in _words(x)}
-        for w in found:
-            unit = space + (w.replace(b" ", space) if b" " in w else w)
-            units = [unit] if len(w) < MASK else [u.encode() for u in model.cut(unit.decode())]
-            if len(units) == 1:
-                by.setdefault(zlib.crc32(unit) % n, []).append(unit)
-            else:
-                many[w] = units
-                rest.update(units)
+        many, rest = {}, set()
+        units = [space + (w.replace(b" ", space) if b" " in w else w) for w in found]
+        if max(map(len, units), default=0) >= MASK:
+            for w, unit in zip(found, units, strict=True):
+                if len(unit) >= MASK and len(cut := model.cut(unit.decode())) > 1:
+                    many[w] = [u.encode() for u in cut]
+                    rest.update(many[w])
+            units = [u for w, u in zip(found, units, strict=True) if w not in many]
+        bucket = np.fromiter(map(zlib.crc32, units), np.int64, len(units)) % n
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        for a, z in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
+            by[int(bucket[order[a]])] = [units[i] for i in order[a:z].tolist()]
+        known = set(found) if rest else ()
         for u in rest:
-            if key(u) not in found:  # else it is there as that word's
+            if key(u) not in known:  # else it is there as that word's
                 by.setdefault(zlib.crc32(u) % n, []).append(u)
         for units in by.values():
             units.sort()
@@ -292,7 +323,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            by, _ = by_bucket(texts_of(row))
+            by, _ = by_bucket(_indexed(texts_of(row))[0])
             keys = list(by)
             bodies = [_squeeze(b" ".join(by[k])) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row["bid"]] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
@@ -333,8 +364,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             ids_of: dict[bytes, bytes] = {}  # by word; by unit, where that is no word
-            texts = texts_of(row)
-            own, many = by_bucket(texts)
+            words, index, counts = _indexed(texts_of(row))
+            own, many = by_bucket(words)
             for r in row["replies"] or []:
                 names, raw = own.pop(r["bucket"]), _unsqueeze(r["body"])
                 ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4).tolist()
@@ -344,16 +375,24 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     at = end
             for w, units in many.items():
                 ids_of[w] = b"".join([ids_of[key(u)] for u in units])
-            doc_ids, out, bad = id_column(Texts(row).ids), [], wrong(ids_of)
-            for i, text in enumerate(texts):
-                words = _words(text)
-                buf = b"".join(map(ids_of.__getitem__, words))
-                right = not bad or bad.isdisjoint(words)
-                out.append((doc_ids[i].as_py(), len(buf) // 4, hashlib.sha256(buf).hexdigest(), right) + ((np.frombuffer(buf, np.uint32).astype(np.int32).tolist(),) if ids else ()))
-                if len(out) == 2000:
-                    yield _docs(out, ids)
-                    out = []
-            yield _docs(out, ids)
+            doc_ids, bad = id_column(Texts(row).ids), wrong(ids_of)
+            flat = np.frombuffer(b"".join([ids_of[w] for w in words]), np.uint32)
+            sizes = np.fromiter((len(ids_of[w]) // 4 for w in words), np.int64, len(words))
+            starts = np.cumsum(sizes) - sizes
+            faulty = np.concatenate([[0], np.cumsum(np.fromiter((w in bad for w in words), bool, len(words))[index])]) if bad else None
+            ends = np.cumsum(counts)
+            for lo in range(0, len(counts), 2000):
+                hi, out = min(lo + 2000, len(counts)), []
+                first = int(ends[lo] - counts[lo])
+                of = index[first:int(ends[hi - 1])]
+                got = flat[ranges(starts[of], sizes[of])]
+                upto = np.concatenate([[0], np.cumsum(sizes[of])])
+                for i in range(lo, hi):
+                    a, z = int(ends[i] - counts[i]), int(ends[i])
+                    mine = got[upto[a - first]:upto[z - first]]
+                    right = faulty is None or faulty[a] == faulty[z]
+                    out.append((doc_ids[i].as_py(), len(mine), hashlib.sha256(mine.tobytes()).hexdigest(), bool(right)) + ((mine.astype(np.int32).tolist(),) if ids else ()))
+                yield _docs(out, ids)
 
     sent = batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(files, "bucket")
     sent = written_by(sent, "lattice-units", "bucket", files)
