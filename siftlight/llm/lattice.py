@@ -245,13 +245,15 @@ def _indexed(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     _, offsets, data = coded.dictionary.buffers()
     raw, at = data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int64)[:len(coded.dictionary) + 1].tolist()
     words = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-    index, counts = np.asarray(coded.indices).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
+    index, counts = np.array(coded.indices, np.int32), np.asarray(lists.value_lengths()).astype(np.int64)
+    del lists, coded, raw, data, offsets, at
+    pa.default_memory_pool().release_unused()  # the split words go back before the ids come
     empty = np.array([not x for x in plain], bool)  # a split leaves one empty word of them
     if empty.any():
         index, counts = index[np.repeat(~empty, counts)], np.where(empty, 0, counts)
     if odd:
         number = {w: k for k, w in enumerate(words)}
-        own = {i: np.array([number.setdefault(w, len(number)) for w in _words(texts[i])], np.int64) for i in odd}
+        own = {i: np.array([number.setdefault(w, len(number)) for w in _words(texts[i])], np.int32) for i in odd}
         parts = np.split(index, np.cumsum(counts)[:-1])
         index = np.concatenate([own.get(i, part) for i, part in enumerate(parts)])
         counts[odd] = [len(own[i]) for i in odd]
@@ -381,8 +383,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             starts = np.cumsum(sizes) - sizes
             faulty = np.concatenate([[0], np.cumsum(np.fromiter((w in bad for w in words), bool, len(words))[index])]) if bad else None
             ends = np.cumsum(counts)
-            for lo in range(0, len(counts), 2000):
-                hi, out = min(lo + 2000, len(counts)), []
+            for lo in range(0, len(counts), 250):
+                hi, out = min(lo + 250, len(counts)), []
                 first = int(ends[lo] - counts[lo])
                 of = index[first:int(ends[hi - 1])]
                 got = flat[ranges(starts[of], sizes[of])]
