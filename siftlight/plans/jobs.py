@@ -119,11 +119,11 @@ def tag_store_state(spark: SparkSession, d: str) -> DataFrame:
     """The store as the state of a stream that was stopped in the middle: later operations come first, one file a batch."""
     path, ops = scratch(spark), s.tag_ops(spark, d)
     middle = _cut(ops)
-    with tagstate.state_store(spark):
+    with tagstate.state_store(spark, 16):
         for part in (ops.filter(F.col("seq") > middle), ops.filter(F.col("seq") <= middle)):
             part.repartitionByRange(2, "seq").write.mode("append").parquet(f"{path}/ops")
             source = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ops")
-            q = tagstate.changes(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/changes")
+            q = tagstate.changes(source, buckets=16).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/changes")
             q.awaitTermination()
         tagstate.store_of_state(spark, f"{path}/state").write.parquet(f"{path}/store")
     return spark.read.parquet(f"{path}/store")
@@ -258,7 +258,7 @@ def eta_stream(spark: SparkSession, d: str) -> DataFrame:
     """Remaining time as it is shown while completions come in, one file a batch, in two runs of the stream."""
     path, done = scratch(spark), s.completions(spark, d)
     middle = done.agg(F.expr("percentile_disc(0.5) within group (order by n)")).first()[0] or 0
-    with tagstate.state_store(spark):
+    with tagstate.state_store(spark, 16):
         for part in (done.filter(F.col("n") <= middle), done.filter(F.col("n") > middle)):
             part.coalesce(1).write.mode("append").parquet(f"{path}/done")
             source = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/done")

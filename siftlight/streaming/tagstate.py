@@ -36,15 +36,18 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession):
-    """While a stream is started or its state read, the session uses the state store that map states need."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
+def state_store(spark: SparkSession, partitions: int = BUCKETS):
+    """While a stream is started or its state read, the session uses the state store that map states need, and no more
+    partitions than there are keys: a stream keeps the number it was started with."""
+    own = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.shuffle.partitions": str(min(partitions, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    before = {key: spark.conf.get(key) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def apply(record: tuple[int | None, int | None], ops: list[tuple[int, int]], new_rating: int = NEW_RATING) -> tuple[int | None, int | None]:
