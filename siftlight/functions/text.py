@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 GIB, MIB, KIB = 1024**3, 1024**2, 1024
+#: Whole numbers beyond 64 bits.
+WIDE = "decimal(38,0)"
 
 
 def extension(name: Column) -> Column:
@@ -67,40 +69,46 @@ def bytes_unit(n: Column) -> Column:
     return F.when(n < KIB, "B").when(n < MIB, "KB").when(n < GIB, "MB").otherwise("GB")
 
 
+def _wide(n: int) -> Column:
+    return F.lit(str(n)).cast(WIDE)
+
+
 def _tenths(n: Column, bits: int) -> Column:
-    """n / 2^bits with one decimal, an exact tie to the even digit, in long arithmetic."""
-    five = 5 * F.expr(f"1L * {(1 << bits) - 1}").bitwiseAND(n)
-    half = max(bits - 1, 0)  # ten times the rest, over 2^bits
-    if not bits:
-        return F.concat(n.cast("string"), F.lit(".0"))
-    digit, rest = F.shiftrightunsigned(five, half), five.bitwiseAND((1 << half) - 1)
-    up = (rest > 1 << half - 1) | ((rest == 1 << half - 1) & (digit % 2 == 1))
-    tenths = F.shiftright(n, bits) * 10 + digit + up.cast("bigint")
-    return F.concat(F.expr("1L * 0").bitwiseOR(F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    """n / 2^bits with one decimal, an exact tie to the even digit, in decimal arithmetic."""
+    ten, unit = n.cast(WIDE) * 10, _wide(1 << bits)
+    floor, rest = F.call_function("div", ten, unit), ten % unit * 2
+    tenths = floor + ((rest > unit) | ((rest == unit) & (floor % 2 == 1))).cast("bigint")
+    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def bytes_human(n: Column) -> Column:
-    """Size over the largest power of 1024 that it reaches, with one decimal; "0 B" for nothing. Labels end at GB."""
+    """Size over the largest power of 1024 that it reaches, with one decimal; "0 B" for nothing. Labels end at GB.
+
+    Sizes here and below are whole numbers, 64 bits or decimals below 2^93.
+    """
     out = F.when(n == 0, "0 B")
-    for k, label in reversed(list(enumerate(["B", "KB", "MB", "GB", "GB", "GB", "GB"]))):
-        out = out.when(n >= 1 << 10 * k, F.concat(_tenths(n, 10 * k), F.lit(f" {label}")))
+    for k, label in reversed(list(enumerate(["B", "KB", "MB", *["GB"] * 7]))):
+        out = out.when(n >= _wide(1 << 10 * k), F.concat(_tenths(n, 10 * k), F.lit(f" {label}")))
     return out
 
 
 def file_size_text(n: Column) -> Column:
     """Decimal units (our own rule; the system formatter is not defined by the source of this engine's semantics)."""
-    return (F.when(n >= 10**9, F.concat(one_decimal(n / 10**9), F.lit(" GB")))
-            .when(n >= 10**6, F.concat(one_decimal(n / 10**6), F.lit(" MB")))
-            .when(n >= 1000, F.concat(whole(n / 1000), F.lit(" KB")))
+    x = n.cast("double")
+    return (F.when(n >= 10**9, F.concat(one_decimal(x / 10**9), F.lit(" GB")))
+            .when(n >= 10**6, F.concat(one_decimal(x / 10**6), F.lit(" MB")))
+            .when(n >= 1000, F.concat(whole(x / 1000), F.lit(" KB")))
             .otherwise(F.concat(n.cast("string"), F.lit(" bytes"))))
 
 
 def memory_text(n: Column) -> Column:
-    return F.when(n >= GIB, F.concat(whole(n / GIB), F.lit(" GB"))).otherwise(F.concat(whole(n / MIB), F.lit(" MB")))
+    x = n.cast("double")
+    return F.when(n >= GIB, F.concat(whole(x / GIB), F.lit(" GB"))).otherwise(F.concat(whole(x / MIB), F.lit(" MB")))
 
 
 def gib_text(n: Column) -> Column:
-    return F.concat(F.floor(n / GIB).cast("bigint").cast("string"), F.lit(" GB"))
+    """Whole GiB, by exact division: a double would round sizes beyond 2^53 up."""
+    return F.concat(F.call_function("div", n.cast(WIDE), _wide(GIB)).cast("string"), F.lit(" GB"))
 
 
 def duration_text(seconds: Column) -> Column:

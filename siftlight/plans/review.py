@@ -155,7 +155,8 @@ _SIZES = "x AS (SELECT *, CASE WHEN n > 0 THEN trunc(log2(n) / 10)::INT END AS k
   CASE WHEN n >= 1000000000 THEN printf('%.1f GB', n / 1000000000) WHEN n >= 1000000 THEN printf('%.1f MB', n / 1000000) WHEN n >= 1000 THEN round_even(n / 1000, 0)::BIGINT || ' KB' ELSE n || ' bytes' END AS decimal_text,
   CASE WHEN n >= 1073741824 THEN round_even(n / 1073741824, 0)::BIGINT || ' GB' ELSE round_even(n / 1048576, 0)::BIGINT || ' MB' END AS memory, (n // 1073741824) || ' GB' AS gib FROM x""")
 def bytes_human(spark, d) -> DataFrame:
-    k = F.col("o_orderkey")
+    """Cubes of keys from 2,097,152 on exceed 64 bits (where the SQL overflows): they are decimals."""
+    k = F.col("o_orderkey").cast("decimal(19,0)")
     n = F.col("n")
     return s.table(spark, d, "orders").select("o_orderkey", (k * k * k).alias("n")).select("o_orderkey", text.bytes_human(n).alias("human"), text.bytes_unit(n).alias("unit"), text.file_size_text(n).alias("decimal_text"), text.memory_text(n).alias("memory"), text.gib_text(n).alias("gib"))
 

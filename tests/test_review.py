@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import dates, text
 from siftlight.operators import cache, copyplan, images, progress, selection, tagging
+from siftlight.plans import review
 from siftlight.streaming import tags
 
 
@@ -36,6 +37,29 @@ def test_byte_units(spark):
         assert x.a == f"{tenths // 10}.{tenths % 10} {['B', 'KB', 'MB', 'GB'][min(k, 3)]}"
 
 
+def test_sizes_beyond_64_bits_and_beyond_doubles(spark):
+    r = random.Random(2)
+    n = [r.randint(1, 2 ** r.randint(50, 92)) for _ in range(300)] + [1024**k * m // 20 for k in range(6, 9) for m in range(20, 60)] + [2**30 * (2**25 + 1) - 1, 2**63 - 1, 2**63, (9 * 10**6) ** 3]
+    df = spark.createDataFrame([(str(x),) for x in n], "t string").withColumn("n", F.col("t").cast("decimal(38,0)"))
+    small = spark.createDataFrame([(x,) for x in n if x < 2**63], "n long")
+    texts = [text.bytes_human(F.col("n")).alias("a"), text.gib_text(F.col("n")).alias("g"), text.file_size_text(F.col("n")).alias("d"), text.memory_text(F.col("n")).alias("m")]
+    rows = df.select("n", *texts).collect()
+    assert len(rows) == len(n)
+    for x in [*rows, *small.select("n", *texts).collect()]:
+        v = int(x.n)
+        k = (v.bit_length() - 1) // 10
+        tenths = round(fractions.Fraction(10 * v, 1024**k))
+        assert (x.a, x.g) == (f"{tenths // 10}.{tenths % 10} GB", f"{v >> 30} GB") or v < 2**30
+        assert v < 10**9 or (x.d, x.m) == ("%.1f GB" % (float(v) / 10**9), f"{round(float(v) / 2**30)} GB") or v < 2**30
+
+
+def test_cubes_of_large_keys(spark, tmp_path):
+    keys = [0, 7, 2_097_151, 2_097_152, 9_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {x.o_orderkey: (x.human, x.gib) for x in review.bytes_human(spark, str(tmp_path)).collect()}
+    assert got == {0: ("0 B", "0 GB"), 7: ("343.0 B", "0 GB"), 2_097_151: ("8.0 GB", "8589922304 GB"), 2_097_152: ("8.0 GB", "8589934592 GB"), 9_000_000: ("632.3 GB", "678934156894 GB")}
+
+
 def test_costs_and_capacity(spark):
     reps = spark.createDataFrame([("a", 256, 256, 4, 256, 256), ("b", 0, 0, 4, 10, 10)], "image string, width long, height long, bpp int, logical_width long, logical_height long")
     assert {r.image: r.cost for r in cache.total_cost(reps, "image").collect()} == {"a": 288358, "b": 440}
