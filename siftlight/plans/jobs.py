@@ -275,10 +275,16 @@ def cache_observed(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([cache.counters(seen)], "hits long, misses long, extractions long, hit_rate double")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work that the bytes of its rows don't tell."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _images(spark: SparkSession, d: str) -> tuple[str, list[str]]:
     """Raw files from documents whose previews are images: 4 x 4 fields of 16 x 16 grey pixels, which JPEG keeps exactly."""
     folder = rawfiles.local_folder(scratch(spark))
     doc = s.table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    spread = doc.repartition(_tasks(spark), "doc_id")  # narrow rows, much work for each
 
     def drawn(parts):
         for b in parts:
@@ -288,7 +294,7 @@ def _images(spark: SparkSession, d: str) -> tuple[str, list[str]]:
                 data.append(jpeg.encode(np.kron(grey.reshape(4, 4), np.ones((16, 16), np.int64)).astype(np.uint8), 1.0))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(data, pa.binary())], names=["doc_id", "source", "jpeg"])
 
-    drawings = doc.mapInArrow(drawn, "doc_id long, source string, jpeg binary")
+    drawings = spread.mapInArrow(drawn, "doc_id long, source string, jpeg binary")
     none = lambda kind: F.lit(None).cast(kind)
     image = lambda width, data: F.struct(F.lit(width).cast("long").alias("width"), data.alias("data"))
     frames = drawings.select(
@@ -305,7 +311,7 @@ def _previews(spark: SparkSession, folders: list[str]) -> DataFrame:
 def preview_histogram(spark: SparkSession, d: str) -> DataFrame:
     """The luminance of the images inside raw files: scanned, taken out, decoded, counted."""
     _, folders = _images(spark, d)
-    bins = jpegs.histogram(_previews(spark, folders), "path").filter("n > 0")
+    bins = jpegs.counts(_previews(spark, folders), "path").filter("n > 0")
     return bins.select(F.regexp_extract("image", r"_DSC(-?\d+)\.ARW$", 1).cast("long").alias("doc_id"), "bin", "n")
 
 
@@ -316,7 +322,7 @@ def preview_thumbnails(spark: SparkSession, d: str) -> DataFrame:
     os.makedirs(cache_folder)
     small = jpegs.thumbnails(_previews(spark, folders), 32, quality=1.0, key="path")
     jpegs.write_cache(small.withColumnRenamed("image", "path"), cache_folder)
-    cached = catalog.disk_cache(spark, f"file://{cache_folder}").select("file_key", F.col("content").alias("jpeg"))
+    cached = catalog.disk_cache(spark, cache_folder).select("file_key", F.col("content").alias("jpeg"))
     back = jpegs.pixels(cached, "file_key").groupBy("image", F.col("r").alias("grey")).agg(F.count("*").alias("n"), F.max("x").alias("last_x"))
     known = catalog.scan(spark, *folders).select(F.regexp_extract("name", r"_DSC(-?\d+)\.ARW$", 1).cast("long").alias("doc_id"), F.md5("path").alias("image"))
     return known.join(back, "image").select("doc_id", "grey", "n", "last_x")

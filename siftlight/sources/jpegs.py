@@ -22,24 +22,35 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..functions import jpeg, text
 from ..operators import images
 
-#: Pixels of one record batch.
-BATCH = 1 << 16
+#: Pixels of one record batch, and bytes of one that small images share.
+BATCH, BATCH_BYTES = 1 << 16, 4 << 20
 #: Quality of thumbnails in the disk cache, and of images beside their raw files.
 CACHE_QUALITY, FULL_QUALITY = 0.7, 1.0
 
 
 def _each(df: DataFrame, schema: str, fn: Callable[[str | None, np.ndarray | None], Iterator[list]]) -> DataFrame:
-    """Columns (behind the key) of the batches that ``fn`` makes of each image; df: key, jpeg."""
+    """Columns (behind the key) that ``fn`` makes of each image, of small images together; df: key, jpeg."""
     fields = [f.split() for f in schema.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(n, kinds[k]) for n, k in fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=arrow)
+
         for b in parts:
             for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 pixels = jpeg.decode(data.as_buffer().to_pybytes()) if data.is_valid else None
                 for cols in fn(key, pixels):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[key] * len(cols[0]), *cols], arrow, strict=True)], schema=arrow)
+                    held.append([pa.repeat(pa.scalar(key, pa.string()), len(cols[0])), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]])
+                    rows, size = rows + len(cols[0]), size + sum(c.nbytes for c in held[-1])
+                    if rows >= BATCH or size >= BATCH_BYTES:
+                        yield batch()
+                        held, rows, size = [], 0, 0
+        if held:
+            yield batch()
 
     return df.mapInArrow(run, schema)
 
@@ -54,22 +65,34 @@ def pixels(df: DataFrame, key: str = "image", column: str = "jpeg", max_dimensio
         step = max(1, BATCH // p.shape[1])
         for lo in range(0, p.shape[0], step):
             part = p[lo:lo + step]
-            y, x = np.mgrid[lo:lo + part.shape[0], :part.shape[1]]
-            yield [x.ravel(), y.ravel(), *[part[..., k].ravel() for k in range(3)]]
+            y, x = np.indices(part.shape[:2], np.int32).reshape(2, -1)
+            yield [x, y + np.int32(lo), *part.reshape(-1, 3).T.astype(np.int32)]
 
     return _each(df.select(F.col(key).cast("string").alias("image"), column), "image string, x int, y int, r int, g int, b int", rows)
 
 
-def histogram(df: DataFrame, key: str = "image", column: str = "jpeg") -> DataFrame:
-    """(image, bin, n): all 256 bins of every image, counted in its task; an image that doesn't decode has zeros."""
+def counts(df: DataFrame, key: str = "image", column: str = "jpeg") -> DataFrame:
+    """(image, bin, n): the bins that an image has pixels in, and for one that doesn't decode bin 0 without any.
+
+    An image travels as one row, to the rows that repeat its key, and is taken apart there.
+    """
 
     def bins(_, p: np.ndarray | None) -> Iterator[list]:
         # Weighted in the order of ``images.luminance``, so that both truncate the same number.
-        luma = [] if p is None else (0.299 * p[..., 0] + 0.587 * p[..., 1] + 0.114 * p[..., 2]).astype(np.int64).ravel()
-        yield [np.arange(images.BINS), np.bincount(luma, minlength=images.BINS) if len(luma) else np.zeros(images.BINS, np.int64)]
+        luma = np.zeros(0, np.int64) if p is None else (0.299 * p[..., 0] + 0.587 * p[..., 1] + 0.114 * p[..., 2]).astype(np.int64).ravel()
+        n = np.bincount(luma, minlength=images.BINS)
+        found = np.flatnonzero(n) if len(luma) else np.zeros(1, np.int64)
+        yield [[found], [n[found]]]
 
-    counted = _each(df.select(F.col(key).cast("string").alias("image"), column), "image string, bin int, n long", bins)
-    return counted.groupBy("image", "bin").agg(F.sum("n").alias("n"))
+    one = _each(df.select(F.col(key).cast("string").alias("image"), column), "image string, bins array<int>, ns array<long>", bins).repartition("image")
+    return one.select("image", F.inline(F.arrays_zip(F.col("bins").alias("bin"), F.col("ns").alias("n")))).groupBy("image", "bin").agg(F.sum("n").alias("n"))
+
+
+def histogram(df: DataFrame, key: str = "image", column: str = "jpeg") -> DataFrame:
+    """(image, bin, n): all 256 bins of every image, counted in its task; an image that doesn't decode has zeros."""
+    of = counts(df, key, column).groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("of"))
+    every = of.select("image", "of", F.explode(F.sequence(F.lit(0), F.lit(images.BINS - 1))).alias("bin"))
+    return every.select("image", "bin", F.coalesce(F.try_element_at("of", "bin"), F.lit(0).cast("long")).alias("n"))
 
 
 def thumbnails(df: DataFrame, max_dimension: int, quality: float = CACHE_QUALITY, key: str = "image", column: str = "jpeg") -> DataFrame:

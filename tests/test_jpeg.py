@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def test_tables_of_images(spark):
     assert jpeg.decode(bytes(t["a"].thumbnail)).shape == (11, 16, 3)
 
 
+def test_code_tables_are_as_large_as_their_longest_code():
+    most, length, value = jpeg._lookup(bytes([0, 2, 3] + [0] * 13), bytes([5, 6, 7, 8, 9]))
+    assert (most, length, value) == (3, [2, 2, 2, 2, 3, 3, 3, 0], [5, 5, 6, 6, 7, 8, 9, 0])
+
+
+def test_counts_travel_as_one_row_an_image(spark):
+    rows = [("a", jpeg.encode(picture(40, 60, 1), 0.9)), ("a", jpeg.encode(picture(20, 30, 2), 0.9)), ("bad", b"x"), ("none", None)]
+    df = spark.createDataFrame(rows, "image string, jpeg binary").repartition(2)
+    got, every = ({(r.image, r.bin): r.n for r in f(df).collect()} for f in (jpegs.counts, jpegs.histogram))
+    assert got == {k: v for k, v in every.items() if v or k in (("bad", 0), ("none", 0))} and len(every) == 3 * 256
+    assert sum(got.values()) == 40 * 60 + 20 * 30
+    # Small images share a record batch: one came with each before.
+    def batches(parts):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in parts)
+    assert jpegs.pixels(df.filter("jpeg is not null").coalesce(1)).mapInArrow(batches, "n long").count() == 1
+
+
 def test_files_appear_when_all_tasks_have_ended(spark, tmp_path):
     thumbs = spark.createDataFrame([(f"/p/{k}.ARW", jpeg.encode(picture(8, 8, k), 0.7)) for k in range(20)], "path string, thumbnail binary").repartition(4)
     jpegs.write_cache(thumbs.union(thumbs), str(tmp_path))
