@@ -109,3 +109,14 @@ def test_raw_files_written_twice_are_written_once(spark, tmp_path):
     assert (e.shutterSpeed, e.aperture, e.iso, e.focalLength, e.lensModel) == ("1/2", None, "ISO 200", "35.0mm", None)
     with pytest.raises(ValueError, match="mounted"):
         rawfiles.local_folder("hdfs://x/y")
+
+
+def test_cache_is_listed_in_tasks(spark, tmp_path):
+    names = [f"k{i}.jpg" for i in range(50)]
+    for n in [*names, ".hidden.jpg", "other.txt"]:
+        (tmp_path / n).write_bytes(n.encode())
+    cached = catalog.disk_cache(spark, f"file://{tmp_path}", tasks=7)
+    assert sorted((r.file_key + ".jpg", r.length, bytes(r.content).decode()) for r in cached.collect()) == sorted((n, len(n), n) for n in names)
+    assert cached.rdd.getNumPartitions() == 7 and all(r.modified.year >= 2020 for r in cached.select("modified").collect())
+    assert catalog.disk_cache(spark, str(tmp_path), content=False).columns == ["file_key", "length", "modified"]
+    assert catalog.disk_cache(spark, f"{tmp_path}/none").count() == 0
