@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BINS = 256
 MAX_WIDTH = 4320
+#: Rows of an image that meet its size together.
+BAND = 64
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
@@ -49,10 +51,15 @@ def needs_downsampling(w: Column, full_size: bool = False) -> Column:
 def thumbnail(pixels: DataFrame, max_dimension: int, key: str = "image") -> DataFrame:
     """Decoded pixels (x, y, r, g, b) averaged into a grid whose longer side is at most ``max_dimension``.
 
-    Smaller images keep their size. Averages combine on the map side, so an image may span any number of partitions.
+    Smaller images keep their size. Pixels of one place are added up before they meet the size of their image, and meet it
+    by bands of rows, so an image spans any number of partitions and no task reads more than a band.
     """
+    places = pixels.groupBy(key, "x", "y").agg(*[F.sum(c).alias(c) for c in "rgb"], F.count("*").alias("n"))
+    band = lambda y: F.floor(y / BAND)
     size = pixels.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    size = size.select(key, "w", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), band(F.coalesce("h", F.lit(0)))))).alias("band"))
     side = F.greatest("w", "h")
     cell = lambda v: F.when(side > max_dimension, F.floor(F.col(v) * max_dimension / side)).otherwise(F.col(v)).cast("int")
-    placed = pixels.join(size, key).select(key, cell("x").alias("x"), cell("y").alias("y"), "r", "g", "b")
-    return placed.groupBy(key, "x", "y").agg(*[F.floor(F.sum(c) / F.count("*")).cast("int").alias(c) for c in "rgb"])
+    placed = places.withColumn("band", F.greatest(F.lit(0), F.coalesce(band(F.col("y")), F.lit(0)))).join(size, [key, "band"])
+    placed = placed.select(key, cell("x").alias("x"), cell("y").alias("y"), "r", "g", "b", "n")
+    return placed.groupBy(key, "x", "y").agg(*[F.floor(F.sum(c) / F.sum("n")).cast("int").alias(c) for c in "rgb"])

@@ -2,6 +2,7 @@
 
 import fractions
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ def test_cubes_of_large_keys(spark, tmp_path):
     assert got == {0: ("0 B", "0 GB"), 7: ("343.0 B", "0 GB"), 2_097_151: ("8.0 GB", "8589922304 GB"), 2_097_152: ("8.0 GB", "8589934592 GB"), 9_000_000: ("632.3 GB", "678934156894 GB")}
 
 
+def test_large_image_meets_its_size_by_bands(spark):
+    r = random.Random(6)
+    px = [("a", r.randrange(40), r.randrange(300), *(r.randrange(256) for _ in "rgb")) for _ in range(3000)] + [("a", 3, 299, 1, 2, 3)] * 5 + [("b", 0, 0, 9, 8, 7)]
+    small = images.thumbnail(spark.createDataFrame(px, "image string, x int, y int, r int, g int, b int").repartition(3), 32)
+    cells, side = {}, {k: max(max(p[1], p[2]) for p in px if p[0] == k) + 1 for k in "ab"}
+    for k, x, y, *rgb in px:
+        at = (k, x * 32 // side[k], y * 32 // side[k]) if side[k] > 32 else (k, x, y)
+        cells.setdefault(at, []).append(rgb)
+    assert {tuple(x) for x in small.collect()} == {(*at, *(sum(c) // len(v) for c in zip(*v))) for at, v in cells.items()}
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(\(image#\d+ = image#\d+\) AND \(band#", plan)
+
+
 def test_costs_and_capacity(spark):
     reps = spark.createDataFrame([("a", 256, 256, 4, 256, 256), ("b", 0, 0, 4, 10, 10)], "image string, width long, height long, bpp int, logical_width long, logical_height long")
     assert {r.image: r.cost for r in cache.total_cost(reps, "image").collect()} == {"a": 288358, "b": 440}
