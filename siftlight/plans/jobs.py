@@ -111,8 +111,8 @@ def sort_by_size_desc_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cut(ops: DataFrame) -> int:
-    """The middle sequence number."""
-    return int(ops.agg(F.expr("percentile_disc(0.5) within group (order by seq)")).first()[0] or 0)
+    """About the middle sequence number; no task holds them all."""
+    return int(ops.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0)
 
 
 def tag_store_state(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +200,11 @@ def catalog_discover(spark: SparkSession, d: str) -> DataFrame:
     return catalog.discover(spark, folder).select(F.expr(f"substring(path, {len(folder) + 2})").alias("path"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work that the bytes of its rows don't tell."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _write_outputs(lines: DataFrame, folder: str, done: bool) -> None:
     """Lines (output, line_no, record) as process output: a file each, replaced as a whole, and its mark when done."""
     where = rawfiles.local_folder(folder)
@@ -225,7 +230,7 @@ def _write_outputs(lines: DataFrame, folder: str, done: bool) -> None:
         close()
         yield from ()
 
-    lines.repartition("output").sortWithinPartitions("output", "line_no").select("output", "record").mapInArrow(run, "output string").write.format("noop").mode("overwrite").save()
+    lines.repartition(_tasks(lines.sparkSession), "output").sortWithinPartitions("output", "line_no").select("output", "record").mapInArrow(run, "output string").write.format("noop").mode("overwrite").save()
 
 
 def output_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -275,11 +280,6 @@ def cache_observed(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([cache.counters(seen)], "hits long, misses long, extractions long, hit_rate double")
 
 
-def _tasks(spark: SparkSession) -> int:
-    """Tasks for work that the bytes of its rows don't tell."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _images(spark: SparkSession, d: str) -> tuple[str, list[str]]:
     """Raw files from documents whose previews are images: 4 x 4 fields of 16 x 16 grey pixels, which JPEG keeps exactly."""
     folder = rawfiles.local_folder(scratch(spark))

@@ -5,14 +5,16 @@ with the suffix of the option ``suffix``; offsets are bytes of each file up to i
 it is whole, once, and with its number, across batches and restarts. When ``<file>.done`` appears the output is complete:
 what stands after its last newline is a line too, and a row with ``done`` and no record carries the number of its lines.
 
-New bytes beyond ``SPLIT`` are dealt to several tasks; a task counts the newlines before its part in its file. Outputs
-only grow; folders are read where they are mounted.
+New bytes beyond ``SPLIT`` are dealt to several tasks; a task counts the newlines before its part in its file. Small
+outputs share a task, a file counting as ``OPEN`` bytes at least, so tasks grow with what is new and not by the file.
+Outputs only grow; folders are read where they are mounted.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "output string, line_no long, record string, done boolean"
 COLUMNS = pa.schema([("output", pa.string()), ("line_no", pa.int64()), ("record", pa.string()), ("done", pa.bool_())])
-SPLIT, CHUNK, BATCH = 32 << 20, 1 << 20, 8192
+SPLIT, CHUNK, BATCH, OPEN = 32 << 20, 1 << 20, 8192, 1 << 16
 
 
 class ProcessOutput(DataSource):
@@ -35,12 +37,23 @@ class ProcessOutput(DataSource):
         return OutputReader(self.options)
 
 
-class Piece(InputPartition):
-    """Bytes of one output; ``ends`` if they complete it."""
+@dataclass
+class Piece:
+    """Bytes of one output; ``first`` of what is new, ``ends`` if they complete it."""
 
-    def __init__(self, output: str, start: int, end: int, first: bool, ends: bool):
-        super().__init__(output)
-        self.output, self.start, self.end, self.first, self.ends = output, start, end, first, ends
+    output: str
+    start: int
+    end: int
+    first: bool
+    ends: bool
+
+
+class Share(InputPartition):
+    """Pieces that one task reads."""
+
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(pieces[0].output)
+        self.pieces = pieces
 
 
 def whole_lines(path: str, size: int) -> int:
@@ -77,54 +90,65 @@ class OutputReader(DataSourceStreamReader):
         """{output: bytes}, negative (-1 - bytes) once it is complete."""
         out = {}
         try:
-            names = sorted(e.name for e in os.scandir(self.folder) if e.name.endswith(self.suffix) and e.is_file())
+            with os.scandir(self.folder) as found:
+                entries = [e for e in found if e.name.endswith((self.suffix, f"{self.suffix}.done"))]
         except OSError:
             return {}
-        for name in names:
-            path = f"{self.folder}/{name}"
-            done = os.path.exists(f"{path}.done")  # looked at first: what was written before it is there now
-            size = os.path.getsize(path)
-            out[name] = -1 - size if done else whole_lines(path, size)
+        marks = {e.name for e in entries if e.name.endswith(".done")}  # looked at first: what was written before one is there now
+        sizes = [(e.name, e.stat().st_size) for e in entries if e.name.endswith(self.suffix) and e.is_file()]
+        for name, size in sorted(sizes):
+            out[name] = -1 - size if f"{name}.done" in marks else whole_lines(f"{self.folder}/{name}", size)
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        pieces = []
+        shares, held, size = [], [], 0
         for name, to in end.items():
             since = start.get(name, 0)
             if since < 0 or 0 <= to <= since:  # complete already, or nothing new
                 continue
             upto, ends = (-1 - to, True) if to < 0 else (to, False)
             cuts = [*range(since, upto, self.split), upto] if upto > since else [since, since]
-            pieces += [Piece(name, a, b, a == since, ends and b == upto) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pieces
-
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the piece (its first piece: at its start; others: behind a newline)."""
-        path, held = f"{self.folder}/{partition.output}", []
-
-        def batch() -> pa.RecordBatch:
-            n = len(held)
-            return pa.RecordBatch.from_arrays([pa.array([partition.output] * n, pa.string()), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array([h[2] for h in held], pa.bool_())], schema=COLUMNS)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                cost = max(b - a, OPEN)
+                if held and size + cost > self.split:
+                    shares.append(Share(held))
+                    held, size = [], 0
+                held.append(Piece(name, a, b, a == since, ends and b == upto))
+                size += cost
+        return shares + ([Share(held)] if held else [])
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        held = []
+        for piece in partition.pieces:
+            for row in self._lines(piece):
+                held.append(row)
+                if len(held) == BATCH:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
 
+    def _lines(self, piece: Piece) -> Iterator[tuple]:
+        """The lines that begin in a piece (the first: at its start; others: behind a newline)."""
+        path = f"{self.folder}/{piece.output}"
         with open(path, "rb") as f:
-            if partition.first:
-                f.seek(partition.start)
+            if piece.first:
+                f.seek(piece.start)
             else:
-                f.seek(partition.start - 1)
+                f.seek(piece.start - 1)
                 f.readline()  # the line that began in the piece before
             number = newlines(path, f.tell())
-            while f.tell() < partition.end:
+            while f.tell() < piece.end:
                 line = f.readline()
                 number += 1
-                held.append((number, line.removesuffix(b"\n").decode("utf-8", "replace"), False))
-                if len(held) == BATCH:
-                    yield batch()
-                    held.clear()
-            if partition.ends:  # a last line without a newline may have begun in the piece before
-                f.seek(max(0, partition.end - 1))
-                held.append((newlines(path, partition.end) + (f.read(1) not in (b"\n", b"")), None, True))
-        if held:
-            yield batch()
+                yield piece.output, number, line.removesuffix(b"\n").decode("utf-8", "replace"), False
+            if piece.ends:  # a last line without a newline may have begun in the piece before
+                f.seek(max(0, piece.end - 1))
+                yield piece.output, newlines(path, piece.end) + (f.read(1) not in (b"\n", b"")), None, True
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)
 
 
 def output_lines(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:

@@ -55,6 +55,20 @@ def test_pieces_of_a_file_hold_its_lines(tmp_path):
     assert reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
 
 
+def test_small_outputs_share_a_task(tmp_path):
+    for i in range(1200):
+        (tmp_path / f"{i}.txt").write_text(f"{i}\n" * (i % 3))
+        if i % 2:
+            (tmp_path / f"{i}.txt.done").touch()
+    reader = processout.OutputReader({"path": str(tmp_path)})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) <= 4 and len(end) == 1200
+    rows = [t for p in parts for b in reader.read(p) for t in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(r for r in rows if not r[3]) == sorted((f"{i}.txt", k + 1, str(i), False) for i in range(1200) for k in range(i % 3))
+    assert sorted(r[:2] for r in rows if r[3]) == sorted((f"{i}.txt", i % 3) for i in range(1, 1200, 2))
+
+
 STATS = ["Number of files: 3,956 (reg: 3,197, dir: 758, link: 1)", "Number of created files: 12 (reg: 11, dir: 1)", "Number of deleted files: 2", "Number of regular files transferred: 1,011", "Total file size: 1,016,382,148 bytes",
          "Total transferred file size: 97,145,000 bytes", "Literal data: 0 bytes", "sent 97,145 bytes  received 771 bytes  48,958.00 bytes/sec", "total size is 1,016,382,148  speedup is 10,380.14"]
 
