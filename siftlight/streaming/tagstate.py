@@ -32,6 +32,8 @@ EPOCH_OF, EPOCH = "catalog string, everything boolean", "seq long"
 CHANGES = "catalog string, name string, tagged boolean, rating int, tagged_seq long, late int"
 #: A rating of this value in ``ratings`` stands for a toggle.
 TOGGLE = -1
+#: Operations of a key that are put together before its rows are read and written: each costs a call to the state store.
+TOGETHER = 200_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -78,6 +80,8 @@ class TagStore(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changed: dict[tuple, tuple] = {}
+        ops: dict[tuple, list] = {}
+        n = 0
         for frame in rows:
             resets = frame[frame["op"].isin(["reset", "reset_all"])]
             for catalog, everything, seq in zip(resets["catalog"], resets["op"] == "reset_all", resets["seq"], strict=True):
@@ -85,20 +89,27 @@ class TagStore(StatefulProcessor):
                 was = self.epochs.getValue(at)
                 if was is None or was[0] < seq:
                     self.epochs.updateValue(at, (int(seq),))
-            epochs: dict[str | None, int] = {}
-            ops: dict[tuple, list] = {}
             one = frame[frame["op"].isin(["toggle", "rate"])]
             for catalog, name, op, rating, seq in zip(one["catalog"], one["name"], one["op"], one["rating"], one["seq"], strict=True):
                 ops.setdefault((catalog, name), []).append((int(seq), TOGGLE if op == "toggle" else int(rating)))
-            for at, new in ops.items():
-                if at[0] not in epochs:
-                    epochs[at[0]] = self._epoch(at[0])
-                changed[at] = self._merged(at, new, epochs[at[0]], changed.get(at, (0,) * 4)[3])
+            n += len(one)
+            if n >= TOGETHER:
+                self._take(ops, changed)
+                ops, n = {}, 0
+        self._take(ops, changed)
         if changed:
             yield pd.DataFrame(
                 {"catalog": pd.Series([k[0] for k in changed], dtype=object), "name": pd.Series([k[1] for k in changed], dtype=object), "tagged": [v[0] is not None for v in changed.values()],
                  "rating": pd.array([v[1] for v in changed.values()], "Int32"), "tagged_seq": pd.array([v[0] for v in changed.values()], "Int64"), "late": [v[3] for v in changed.values()]})
 
+    def _take(self, ops: dict[tuple, list], changed: dict[tuple, tuple]) -> None:
+        """Operations by name into the state, a row read and written once for all of them."""
+        epochs: dict[str | None, int] = {}
+        for at, new in ops.items():
+            if at[0] not in epochs:
+                epochs[at[0]] = self._epoch(at[0])
+            changed[at] = self._merged(at, new, epochs[at[0]], changed.get(at, (0,) * 4)[3])
+
     def _merged(self, at: tuple, new: list, epoch: int, late: int) -> tuple:
         tagged, rating, settled_to, seqs, ratings = self.names.getValue(at) or (None, None, -1, [], [])
         held = list(zip(seqs or [], ratings or [], strict=True))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,33 @@ def test_a_large_catalog_is_dealt_to_many_keys(spark, tmp_path):
     assert len({row.key.bucket for row in state}) == 8 and max(len(row.user_map_value.seqs) for row in state) < 30
 
 
+class CountedMap(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+
+@pytest.mark.parametrize("together", [7, 10**6])
+def test_a_row_is_read_and_written_once_for_many_frames(spark, monkeypatch, together):
+    monkeypatch.setattr(tagstate, "TOGETHER", together)
+    r = random.Random(7)
+    ops = [(90, "c", None, "reset", None)] + [(i, "c", f"n{r.randrange(5)}", r.choice(["toggle", "rate"]), r.randint(0, 5)) for i in range(200) if i != 90]
+    frames = [pd.DataFrame(ops[k:k + 10], columns=["seq", "catalog", "name", "op", "rating"]) for k in range(0, len(ops), 10)]
+    held = tagstate.TagStore()
+    held.names, held.epochs = CountedMap(), CountedMap()
+    out = pd.concat(held.handleInputRows(("c",), iter(frames), None))
+    assert sorted((x.catalog, x.name, x.rating) for x in out[out.tagged].itertuples()) == [tuple(x) for x in folded(spark, ops)]
+    assert together < 10**6 or held.names.calls == 2 * 5
+
+
 def test_lateness_bounds_what_a_row_holds(spark, tmp_path):
     r = random.Random(5)
     ops = [(i, "c", f"n{r.randrange(4)}", r.choice(["toggle", "rate", "toggle"]), r.randint(0, 5)) for i in range(300)]
