@@ -120,6 +120,14 @@ class Model:
         """(piece, id, rank) of the pieces of two characters and more."""
         return spark.createDataFrame([(p, i, r) for p, (r, i) in self.known.items() if len(p) > 1], "piece string, id int, rank int")
 
+    def reaches(self, spark: SparkSession) -> DataFrame:
+        """(head, lengths): the first three characters of pieces, and the lengths from there on of those that begin so."""
+        by: dict[str, set[int]] = {}
+        for p in self.known:
+            if len(p) > 2:
+                by.setdefault(p[:3], set()).add(len(p))
+        return spark.createDataFrame([(h, sorted(m)) for h, m in by.items()], "head string, lengths array<int>")
+
     def characters(self, text: str) -> list[int]:
         """Ids of characters by themselves: pieces, or else their bytes."""
         return [i for c in text for i in ([self.single[c]] if c in self.single else [self.first_byte + x for x in c.encode()])]
@@ -195,11 +203,13 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
 
     Exploding and the broadcast join leave a partitioning by bucket in place, so grouping the edges moves nothing.
     """
+    spark = units.sparkSession
     cut = units.select("bucket", "k", "n", "block", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
-    reach = F.least(F.lit(model.longest), F.char_length("block") - F.col("s"))
-    cut = cut.select("bucket", "k", "n", "block", "s", F.explode(F.sequence(F.lit(2), reach)).alias("m"))
-    cut = cut.select("bucket", "k", "n", "s", "m", F.expr("substring(block, s + 1, m)").alias("piece"))
-    edges = cut.join(F.broadcast(model.table(units.sparkSession)), "piece")
+    cut = cut.withColumn("head", F.expr("substring(block, s + 1, 3)")).join(F.broadcast(model.reaches(spark)), "head", "left")
+    # Two characters always; of longer substrings those of a length that a piece with these first three characters has.
+    cut = cut.select("bucket", "k", "n", "block", "s", F.explode(F.expr("if(lengths is null, array(2), array_prepend(lengths, 2))")).alias("m"))
+    cut = cut.filter("m = 2 or s + m <= char_length(block)").select("bucket", "k", "n", "s", "m", F.expr("substring(block, s + 1, m)").alias("piece"))
+    edges = cut.join(F.broadcast(model.table(spark)), "piece")
     # An edge is one number, so that it sorts by rank, then place in its block: rank (17 bits), start (21), length (5), id (20).
     packed = "shiftleft(cast(rank as bigint), 46) | shiftleft(cast(s as bigint), 25) | shiftleft(cast(m as bigint), 20) | id"
     lattice = edges.select("bucket", "k", "n", F.expr(packed).alias("e")).groupBy("bucket", "k", "n").agg(F.sort_array(F.collect_list("e")).alias("edges"))
@@ -207,7 +217,8 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     ends, between = f"(shiftleft(1L, {s}) | shiftleft(1L, {t}))", f"((shiftleft(1L, {t}) - 1) ^ (shiftleft(2L, {s}) - 1))"
     folded = lattice.select("bucket", "k", "n", "edges", F.expr(f"""if(n > {MASK}, 0L, aggregate(
         edges, -1L, (b, e) -> if((b & {ends}) = {ends}, b & ~{between}, b)))""").alias("b"))
-    path = F.expr(f"array_sort(filter(edges, e -> (b & {ends}) = {ends} and (b & {between}) = 0), (x, y) -> cast((shiftright(x, 25) & 63) - (shiftright(y, 25) & 63) as int))")
+    # Without the rank an edge sorts by its place.
+    path = F.expr(f"sort_array(transform(filter(edges, e -> (b & {ends}) = {ends} and (b & {between}) = 0), e -> e & {(1 << 46) - 1}L))")
     return folded.select("bucket", "k", "n", F.when(F.col("n") > MASK, F.col("edges")).otherwise(path).alias("edges"))
 
 
@@ -336,10 +347,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def distinct(rows: pa.Table) -> pa.Table:
         with uncollected():
-            made = [row for k, u in enumerate(numbered(rows.column("body"))) for row in blocks(k, u.decode(), model.longest)]
-            cols = list(zip(*made, strict=True)) or [[]] * 4
-            kinds = [pa.int32()] * 3 + [pa.string()]
-            return pa.table([pa.array([rows.column("bucket")[0].as_py()] * len(made), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[f.split()[0] for f in BLOCKS.split(", ")])
+            units = pa.array(numbered(rows.column("body")), pa.binary()).cast(pa.string())
+            n = pc.utf8_length(units)
+            short = np.flatnonzero((np.asarray(n) > 1) & (np.asarray(n) <= MASK))
+            made = [row for k in np.flatnonzero(np.asarray(n) > MASK).tolist() for row in blocks(k, units[k].as_py(), model.longest)]
+            n, names = n.take(pa.array(short)), [f.split()[0] for f in BLOCKS.split(", ")]
+            few = [pa.array(short.astype(np.int32)), n, pc.subtract(n, pa.scalar(1, pa.int32())), units.take(pa.array(short))]
+            cols = [pa.concat_arrays([a, pa.array(c, a.type)]) for a, c in zip(few, list(zip(*made, strict=True)) or [[]] * 4, strict=True)]
+            return pa.table([pa.repeat(rows.column("bucket")[0], len(cols[0])), *cols], names=names)
 
     def reply(sent: pa.Table, paths: pa.Table) -> pa.Table:
         with uncollected():

@@ -175,6 +175,13 @@ def test_lattice_equals_the_library(spark, docs, odd, pairs, odd_pairs):
     assert model.decode(np.array(library.encode("a  b\nÉ日"))).decode() == "a  b\nÉ日"
 
 
+def test_substrings_are_cut_at_lengths_that_pieces_have(spark):
+    model = lattice.Model(lattice.default_model())
+    lengths = {r["head"]: set(r["lengths"]) for r in model.reaches(spark).collect()}
+    assert all(len(p) in lengths[p[:3]] for p in model.known if len(p) > 2)
+    assert sum(map(len, lengths.values())) == len({(p[:3], len(p)) for p in model.known if len(p) > 2})
+
+
 def test_lattice_takes_long_units_without_spaces(spark):
     import sentencepiece
 
