@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 The model is BPE with byte fallback; a text becomes its characters with every space written as U+2581 and one in front.
-No piece holds U+2581 after another character, so a text falls into units (a run of U+2581 and what follows) that are
-encoded by themselves; a long unit also ends between two characters that stand together in no piece. Each distinct unit
-is encoded once:
+A text is cut between any two characters that stand together in no piece, for no merge goes across: the units are encoded
+by themselves. No piece holds U+2581 after another character, so they are found in the distinct words, each a run of
+U+2581 and what follows; a mark behind a word mostly is a unit of its own. Each distinct unit is encoded once:
 
 1. batches send their distinct units, by hash, to buckets, which number them; both tables are laid out by bucket, so
    nothing below moves units again;
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Texts, id_column, pack, rows_of
+from .batches import id_column, pack, rows_of
 from .common import parallelism, written_by
-from .textkit import ranges, trimmed, uncollected
+from .textkit import ranges, squeeze, trimmed, uncollected, unsqueeze
 
 SPACE = "▁"
 #: Characters of a unit whose boundaries fit a bit mask.
@@ -128,49 +128,70 @@ class Model:
                 by.setdefault(p[:3], set()).add(len(p))
         return spark.createDataFrame([(h, sorted(m)) for h, m in by.items()], "head string, lengths array<int>")
 
-    def characters(self, text: str) -> list[int]:
-        """Ids of characters by themselves: pieces, or else their bytes."""
-        return [i for c in text for i in ([self.single[c]] if c in self.single else [self.first_byte + x for x in c.encode()])]
-
-    def cut(self, unit: str) -> list[str]:
-        """A long unit, cut between characters that stand together in no piece."""
-        if len(unit) <= MASK:
-            return [unit]
-        at = [0, *[k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in self.neighbours], len(unit)]
-        return [unit[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-
-    def ids(self, unit: str, edges: list[int]) -> list[int]:
-        """Ids of a unit within the mask from the edges on its path, in order of place."""
-        out, at = [], 0
-        for e in edges:
-            s = e >> 25 & 63
-            if s > at:
-                out += self.characters(unit[at:s])
-            out.append(e & (1 << 20) - 1)
-            at = s + (e >> 20 & 31)
-        return out + self.characters(unit[at:]) if at < len(unit) else out
-
-    def long_ids(self, unit: str, bases: np.ndarray, counts: np.ndarray, edges: list[int]) -> list[int]:
-        """Ids of a longer unit from the edges of all its blocks (where they begin, and how many edges each has): folded
-        in the same order, by rank and then by place in the unit."""
-        e = np.array(edges, np.int64)
-        start = np.repeat(bases, counts) + (e >> 25 & 63)
-        order = np.lexsort((start, e >> 46))  # edges of one rank and start keep their order
-        alive, path = bytearray([1]) * (len(unit) + 1), {}
-        for s, x in zip(start[order].tolist(), e[order].tolist(), strict=True):
+    @cached_property
+    def together(self) -> tuple[np.ndarray, np.ndarray]:
+        """A class for each character (0: it stands beside another in no piece), and by two classes whether they stand together."""
+        letters = {c: k for k, c in enumerate(sorted(set("".join(self.neighbours))), 1)}
+        classes, pairs = np.zeros(0x110000, np.int32), np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        classes[[ord(c) for c in letters]] = list(letters.values())
+        first, second = zip(*[(letters[p[0]], letters[p[1]]) for p in self.neighbours], strict=True)
+        pairs[first, second] = True
+        return classes, pairs
+
+    @cached_property
+    def ids_alone(self) -> np.ndarray:
+        """Id of each character by itself; -1: it is its bytes."""
+        out = np.full(0x110000, -1, np.int64)
+        out[[ord(c) for c in self.single]] = list(self.single.values())
+        return out
+
+    def units(self, words: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct units of some words, the number of each unit of all words end to end, and how many units each has."""
+        space = SPACE.encode()
+        marked = [space + (w.replace(b" ", space) if b" " in w else w) for w in words]
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))])
+        raw = b"".join(marked)
+        del marked
+        at, code = places(raw)
+        classes, pairs = self.together
+        kind = classes[code]
+        new = np.zeros(len(raw), bool)
+        new[at[1:]] = ~pairs[kind[:-1], kind[1:]]
+        new[begins[:-1]] = True
+        cut = np.append(np.flatnonzero(new), len(raw))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(raw)]).dictionary_encode()
+        return coded.dictionary, np.asarray(coded.indices), np.diff(np.searchsorted(cut, begins))
+
+    def long_path(self, n: int, bases: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, length, id) of the pieces on the path of a unit beyond the mask, from the edges of all its blocks (where
+        they begin, and how many edges each has): folded in the same order, by rank and then by place in the unit."""
+        start = np.repeat(bases, counts) + (edges >> 25 & 63)
+        order = np.lexsort((start, edges >> 46))  # edges of one rank and start keep their order
+        alive, path = bytearray([1]) * (n + 1), {}
+        for s, x in zip(start[order].tolist(), edges[order].tolist(), strict=True):
             m = x >> 20 & 31
             if alive[s] and alive[s + m]:
                 alive[s + 1:s + m] = bytes(m - 1)
                 path[s] = (m, x & (1 << 20) - 1)
-        out, at = [], 0
-        for s in sorted(path):
-            m, piece = path[s]
-            if alive[s] and not any(alive[s + 1:s + m]):
-                if s > at:
-                    out += self.characters(unit[at:s])
-                out.append(piece)
-                at = s + m
-        return out + self.characters(unit[at:]) if at < len(unit) else out
+        return [(s, *path[s]) for s in sorted(path) if alive[s] and not any(alive[s + 1:s + path[s][0]])]
+
+    def ids(self, raw: bytes, begins: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units end to end, and how many each has, from the pieces on their paths (place among all characters,
+        characters, id); what no piece covers is characters by themselves, or else their bytes. ``begins``: in characters."""
+        at, code = places(raw)
+        size = np.diff(at, append=len(raw))
+        value = self.ids_alone[code]
+        width = np.where(value < 0, size, 1)
+        inside = np.zeros(len(code) + 1, np.int64)
+        inside[start] += 1  # pieces on a path don't overlap
+        np.subtract.at(inside, start + length, 1)
+        width[np.cumsum(inside[:-1]) > 0] = 0
+        width[start], value[start] = 1, piece
+        upto = np.concatenate([[0], np.cumsum(width)])
+        out = np.repeat(value, width)
+        as_bytes = np.flatnonzero((value < 0) & (width > 0))
+        out[ranges(upto[as_bytes], width[as_bytes])] = np.frombuffer(raw, np.uint8)[ranges(at[as_bytes], size[as_bytes])].astype(np.int64) + self.first_byte
+        return out, np.diff(upto[begins])
 
     def pieces_of(self, ids: np.ndarray) -> bytes:
         """The pieces of the ids, UTF-8, with spaces."""
@@ -182,6 +203,11 @@ class Model:
         return out[1:] if out[:1] == b" " else out
 
 
+def places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 begin, and their code points."""
+    return np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+
+
 #: Starts in one block of a long unit: a substring costs its distance from the block's beginning.
 BLOCK = 64
 BLOCKS = "bucket long, k int, n int, starts int, block string"
@@ -230,6 +256,22 @@ def _unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _numbers(*columns: np.ndarray, rest: bytes = b"") -> bytes:
+    """Columns of numbers below 2^32, each byte of them by itself as it compresses best, and what follows."""
+    parts = [np.ascontiguousarray(np.array(c, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
+    return squeeze(np.array([len(columns), *map(len, columns)], "<i8").tobytes() + b"".join(parts) + rest, 3)
+
+
+def _columns(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = _unsqueeze(data)
+    count = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 * (count + 1), []
+    for size in np.frombuffer(raw, "<i8", count, 8).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4").ravel().astype(np.int64))
+        at += 4 * size
+    return out, raw[at:]
+
+
 def _words(text: bytes) -> list[bytes]:
     """What stands between single spaces; further spaces stay in front of the word they precede."""
     words = text.split(b" ") if text else []
@@ -277,15 +319,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     shuffles = parallelism(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     files = max(shuffles, min(size // FILE_BYTES, MOST_FILES))
-    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches", level=6, buckets=files)
     n = max(files, size // BUCKET_BYTES)
     model = Model(model_path)
     width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
     space = SPACE.encode()
 
-    def texts_of(row: dict) -> list[bytes]:
-        t = Texts(row)
-        raw, offs = t.data.tobytes(), t.offsets.tolist()
+    def texts_of(raw: bytes, offsets: np.ndarray) -> list[bytes]:
+        offs = offsets.tolist()
         texts = [raw[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
         try:
             raw.decode()
@@ -293,61 +333,51 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             texts = [x.decode("utf-8", "replace").encode() for x in texts]
         return [x.replace(space, b" ") for x in texts] if space in raw else texts
 
-    def by_bucket(found: list[bytes]) -> tuple[dict[int, list[bytes]], dict[bytes, list[bytes]]]:
-        """The distinct units of a batch's distinct words, sorted, by bucket; and the units of each word that has several."""
-        by: dict[int, list[bytes]] = {}
-        many, rest = {}, set()
-        units = [space + (w.replace(b" ", space) if b" " in w else w) for w in found]
-        if max(map(len, units), default=0) >= MASK:
-            for w, unit in zip(found, units, strict=True):
-                if len(unit) >= MASK and len(cut := model.cut(unit.decode())) > 1:
-                    many[w] = [u.encode() for u in cut]
-                    rest.update(many[w])
-            units = [u for w, u in zip(found, units, strict=True) if w not in many]
-        bucket = np.fromiter(map(zlib.crc32, units), np.int64, len(units)) % n
-        order = np.argsort(bucket, kind="stable")
+    def coded(raw: bytes, offsets: np.ndarray) -> tuple[bytes, bytes]:
+        """Texts as numbers: words of each text, the word at each place, units of each distinct word, the unit at each
+        place. And the distinct units by bucket (sorted inside): the buckets, how many units and bytes each has, and they
+        themselves with a space between; the units are numbered in this order."""
+        words, index, counts = _indexed(texts_of(raw, offsets))
+        units, own, many = model.units(words)
+        del words
+        bucket = np.fromiter(map(zlib.crc32, units.to_pylist()), np.int64, len(units)) % n
+        order = np.asarray(pc.sort_indices(units)).astype(np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        for a, z in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
-            by[int(bucket[order[a]])] = [units[i] for i in order[a:z].tolist()]
-        known = set(found) if rest else ()
-        for u in rest:
-            if key(u) not in known:  # else it is there as that word's
-                by.setdefault(zlib.crc32(u) % n, []).append(u)
-        for units in by.values():
-            units.sort()
-        return by, many
-
-    def key(unit: bytes) -> bytes:
-        """The word that a unit is; a unit inside a word, which has no space in front, gets a key that is no word."""
-        if not unit.startswith(space):
-            return b" \0 " + unit
-        word = unit[len(space):]
-        return word.replace(space, b" ") if space in word else word
-
-    def wrong(ids_of: dict[bytes, bytes]) -> set[bytes]:
-        """Words that their ids do not decode to. A text is its words with a space between, its ids are theirs in a row."""
-        out, words = set(), list(ids_of)
-        for lo in range(0, len(words), 50_000):
-            some = words[lo:lo + 50_000]
-            spaced = [w[3:] if w.startswith(b" \0 ") else b" " + w for w in some]
-            if model.pieces_of(np.frombuffer(b"".join([ids_of[w] for w in some]), np.uint32)) != b"".join(spaced):
-                out.update(w for w, s in zip(some, spaced, strict=True) if model.pieces_of(np.frombuffer(ids_of[w], np.uint32)) != s)
-        return out
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        names = units.take(pa.array(order)).to_pylist()
+        bodies = [b" ".join(names[a:z]) for a, z in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)]
+        return _numbers(counts, index, many, number[own]), _numbers(bucket[order[ends - 1]], np.diff(ends, prepend=0), [len(b) for b in bodies], rest=b" ".join(bodies))
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            by, _ = by_bucket(_indexed(texts_of(row))[0])
-            keys = list(by)
-            bodies = [_squeeze(b" ".join(by[k])) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row["bid"]] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
+            (buckets, _, sizes), units = _columns(row["rest"])
+            ends = np.cumsum(sizes + 1).tolist()
+            bodies = [_squeeze(units[a:z - 1]) for a, z in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["bid"]] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "bid", "body"])
+
+    def wrong(units: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Units that their ids do not decode to. A text is its units in a row, its ids are theirs."""
+        out, upto = np.zeros(len(units), bool), np.concatenate([[0], np.cumsum(sizes)])
+        for lo in range(0, len(units), 50_000):
+            some = [u.replace(space, b" ") for u in units[lo:lo + 50_000]]
+            if model.pieces_of(ids[upto[lo]:upto[lo + len(some)]]) != b"".join(some):
+                out[lo:lo + len(some)] = [model.pieces_of(ids[upto[lo + i]:upto[lo + i + 1]]) != u for i, u in enumerate(some)]
+        return out
 
-    def numbered(bodies: pa.ChunkedArray) -> list[bytes]:
-        """The distinct units of a bucket; their order numbers them."""
-        return sorted({u for b in bodies for u in _unsqueeze(b.as_py()).split(b" ")})
+    def numbered(bodies: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+        """The distinct units of a bucket, sorted; their order numbers them. And the numbers of each message's units."""
+        raw = [_unsqueeze(b.as_py()) for b in bodies]
+        coded = pc.split_pattern(pa.array([b" ".join(raw)], pa.large_binary()), b" ").flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        number = np.empty(len(order), np.int64)
+        number[np.asarray(order)] = np.arange(len(order))
+        return coded.dictionary.take(order), np.split(number[np.asarray(coded.indices)], np.cumsum([r.count(b" ") + 1 for r in raw])[:-1])
 
     def distinct(rows: pa.Table) -> pa.Table:
         with uncollected():
-            units = pa.array(numbered(rows.column("body")), pa.binary()).cast(pa.string())
+            units = numbered(rows.column("body"))[0].cast(pa.large_string()).cast(pa.string())
             n = pc.utf8_length(units)
             short = np.flatnonzero((np.asarray(n) > 1) & (np.asarray(n) <= MASK))
             made = [row for k in np.flatnonzero(np.asarray(n) > MASK).tolist() for row in blocks(k, units[k].as_py(), model.longest)]
@@ -361,42 +391,44 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             k_of, n_of = (np.asarray(paths.column(c)).astype(np.int64) for c in ("k", "n"))
             order = np.lexsort((n_of, k_of))
             lists = paths.column("edges").combine_chunks().take(pa.array(order))
-            counts = np.asarray(lists.value_lengths(), np.int64)
-            flat, ends, k_of, n_of = lists.flatten().to_pylist(), np.cumsum(counts), k_of[order], n_of[order]
-            units, ids_of = numbered(sent.column("body")), {}
-            short = np.flatnonzero(n_of < LONG)
-            for k, a, z in zip(k_of[short].tolist(), (ends - counts)[short].tolist(), ends[short].tolist(), strict=True):
-                ids_of[units[k]] = model.ids(units[k].decode(), flat[a:z])
-            long = np.flatnonzero(n_of >= LONG)  # a unit's blocks stand in a row
+            counts = np.asarray(lists.value_lengths()).astype(np.int64)
+            flat, ends, k_of, n_of = np.asarray(lists.flatten()).astype(np.int64), np.cumsum(counts), k_of[order], n_of[order]
+            units, asked = numbered(sent.column("body"))
+            begins = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(units.cast(pa.large_string()))))])
+            short = n_of < LONG
+            e = flat[np.repeat(short, counts)]
+            found = [(np.repeat(begins[k_of[short]], counts[short]) + (e >> 25 & 63), e >> 20 & 31, e & (1 << 20) - 1)]
+            long = np.flatnonzero(~short)  # a unit's blocks stand in a row
             for part in np.split(long, np.flatnonzero(np.diff(k_of[long])) + 1) if len(long) else []:
                 k, a, z = int(k_of[part[0]]), int(ends[part[0]] - counts[part[0]]), int(ends[part[-1]])
-                ids_of[units[k]] = model.long_ids(units[k].decode(), n_of[part] - LONG, counts[part], flat[a:z])
-            bodies = []
-            for b in sent.column("body"):
-                got = [ids_of[u] if u in ids_of else model.characters(u.decode()) for u in _unsqueeze(b.as_py()).split(b" ")]
-                sizes = np.fromiter(map(len, got), np.uint32, len(got))
-                bodies.append(_squeeze(sizes.tobytes() + np.fromiter(chain.from_iterable(got), width, int(sizes.sum())).tobytes()))
+                path = model.long_path(int(begins[k + 1] - begins[k]), n_of[part] - LONG, counts[part], flat[a:z])
+                found.append(tuple(np.array(path, np.int64).reshape(-1, 3).T + np.array([[begins[k]], [0], [0]])))
+            got, sizes = model.ids(b"".join(units.to_pylist()), begins, *[np.concatenate(c) for c in zip(*found, strict=True)])
+            starts, bodies = np.cumsum(sizes) - sizes, []
+            for k in asked:
+                bodies.append(_squeeze(sizes[k].astype(np.uint32).tobytes() + got[ranges(starts[k], sizes[k])].astype(width).tobytes()))
             return pa.table({"bid": sent.column("bid"), "bucket": sent.column("bucket"), "body": pa.array(bodies, pa.binary())})
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            ids_of: dict[bytes, bytes] = {}  # by word; by unit, where that is no word
-            words, index, counts = _indexed(texts_of(row))
-            own, many = by_bucket(words)
-            for r in row["replies"] or []:
-                names, raw = own.pop(r["bucket"]), _unsqueeze(r["body"])
-                ends = (np.cumsum(np.frombuffer(raw, np.uint32, len(names))) * 4).tolist()
-                wide, at = np.frombuffer(raw, width, offset=4 * len(names)).astype(np.uint32).tobytes(), 0
-                for u, end in zip(names, ends, strict=True):
-                    ids_of[key(u)] = wide[at:end]
-                    at = end
-            for w, units in many.items():
-                ids_of[w] = b"".join([ids_of[key(u)] for u in units])
-            doc_ids, bad = id_column(Texts(row).ids), wrong(ids_of)
-            flat = np.frombuffer(b"".join([ids_of[w] for w in words]), np.uint32)
-            sizes = np.fromiter((len(ids_of[w]) // 4 for w in words), np.int64, len(words))
-            starts = np.cumsum(sizes) - sizes
-            faulty = np.concatenate([[0], np.cumsum(np.fromiter((w in bad for w in words), bool, len(words))[index])]) if bad else None
+            (buckets, held, _), units = _columns(row["rest"])
+            (counts, index, many, own), _ = _columns(row["texts"])
+            raw, found = {r["bucket"]: r["body"] for r in row["replies"] or []}, []
+            for b, k in zip(buckets.tolist(), held.tolist(), strict=True):
+                body = _unsqueeze(raw.pop(b))
+                found.append((np.frombuffer(body, np.uint32, k), np.frombuffer(body, width, offset=4 * k)))
+            sizes, flat = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.uint32), np.empty(0, width))
+            sizes = sizes.astype(np.int64)
+            bad = wrong(units.split(b" ") if len(sizes) else [], sizes, flat)
+            starts, doc_ids, faulty = np.cumsum(sizes) - sizes, id_column(unsqueeze(row["ids"], np.int64)), None
+            del raw, found, units
+            # From here on by word: the ids of its units in a row.
+            flat, last = flat[ranges(starts[own], sizes[own])].astype(np.uint32), np.cumsum(many)
+            if bad.any():
+                upto = np.concatenate([[0], np.cumsum(bad[own])])
+                faulty = np.concatenate([[0], np.cumsum((upto[last] > upto[last - many])[index])])
+            upto = np.concatenate([[0], np.cumsum(sizes[own])])
+            starts, sizes = upto[last - many], upto[last] - upto[last - many]
             ends = np.cumsum(counts)
             for lo in range(0, len(counts), 250):
                 hi, out = min(lo + 250, len(counts)), []
@@ -411,7 +443,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     out.append((doc_ids[i].as_py(), len(mine), hashlib.sha256(mine.tobytes()).hexdigest(), bool(right)) + ((mine.astype(np.int32).tolist(),) if ids else ()))
                 yield _docs(out, ids)
 
-    sent = batches.mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(files, "bucket")
+    batches = pack(docs, id_col, text_col, batch_bytes=BATCH_BYTES, name="lattice-batches", coded=coded, buckets=files)
+    sent = batches.select("bid", "rest").mapInArrow(trimmed(send), "bucket long, bid long, body binary").repartition(files, "bucket")
     sent = written_by(sent, "lattice-units", "bucket", files)
     unique = written_by(sent.groupBy("bucket").applyInArrow(distinct, BLOCKS), "lattice-distinct", "bucket", files)
     replies = sent.groupBy("bucket").cogroup(encode_units(unique, model).groupBy("bucket")).applyInArrow(reply, "bid long, bucket long, body binary")

@@ -182,6 +182,28 @@ def test_substrings_are_cut_at_lengths_that_pieces_have(spark):
     assert sum(map(len, lengths.values())) == len({(p[:3], len(p)) for p in model.known if len(p) > 2})
 
 
+def test_lattice_cuts_words_where_no_piece_goes_on(spark, monkeypatch):
+    import sentencepiece
+
+    seen = []
+    real = lattice.encode_units
+    monkeypatch.setattr(lattice, "encode_units", lambda units, model: (seen.extend(r.block for r in units.collect()), real(units, model))[1])
+    library = sentencepiece.SentencePieceProcessor(model_file=lattice.default_model())
+    texts = [" ".join("abend" + a + b for a in ["", ",", "\n", "\u4e00"] for b in ["", "7", "\U0001f600", "\x00"]), "abend", "", "\n", "a \u2581  b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionAll(spark.sql("SELECT 9L, cast(unhex('41FF42') AS string)"))
+    got = {r.doc_id: r for r in lattice.encode(df, lattice.default_model()).collect()}
+    assert {i: list(r.ids) for i, r in got.items()} == {i: library.encode(t) for i, t in [*enumerate(texts), (9, "A\ufffdB")]}
+    assert all(r.round_trip for r in got.values())
+    assert sum("abend" in u for u in seen) == 1
+
+
+def test_lattice_stores_columns_of_numbers():
+    columns = [np.arange(5) * 70_000_003, np.empty(0, np.int64), np.array([2**32 - 1])]
+    found, rest = lattice._columns(lattice._numbers(*columns, rest=b"end"))
+    assert [c.tolist() for c in found] == [c.tolist() for c in columns] and rest == b"end"
+    assert [len(c) for c in lattice._columns(lattice._numbers([], []))[0]] == [0, 0]
+
+
 def test_lattice_takes_long_units_without_spaces(spark):
     import sentencepiece
 
